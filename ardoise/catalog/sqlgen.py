@@ -6,10 +6,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ardoise.catalog.standin import DIGITS, role_sql
-from ardoise.functions.exprs import finite
+from ardoise.functions.aggspec import quoted
+from ardoise.operators.clean import finite_sql
 from ardoise.plans import specs
 from ardoise.plans.specs import KEY
 
@@ -45,13 +45,13 @@ def tidy(df: DataFrame) -> DataFrame:
     """Infinite results cleared, unstable decimals cut."""
     out = []
     for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
+        value = quoted(name)
         if kind == "double":
-            c = finite(c) + F.lit(0.0)
+            value = f"{finite_sql(name)} + 0d"
             if digits_of(name) is not None:
-                c = F.round(c, digits_of(name))
-        out.append(c.alias(name))
-    return df.select(*out)
+                value = f"round({value}, {digits_of(name)})"
+        out.append(f"{value} as {quoted(name)}")
+    return df.selectExpr(*out)
 
 
 def tidy_sql(name: str) -> str:

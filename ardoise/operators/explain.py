@@ -12,8 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ardoise.functions.aggspec import literal, quoted
 from ardoise.functions.exprs import clean_label, sign_label
 from ardoise.operators.clean import long_counts
+from ardoise.operators.median import double_literal
 from ardoise.operators.profile import top_abs, top_group_mean
 from ardoise.operators.skew import lookup_join
 
@@ -73,16 +75,12 @@ def local_contributions(
     df: DataFrame, key: str, coefficients: Mapping[str, float], means: Mapping[str, float], n: int = TOP_LOCAL
 ) -> DataFrame:
     """Exact explanation of a linear score: coefficient times distance from the mean, the n largest."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("feature"),
-                (F.lit(float(w)) * (F.col(f).cast("double") - F.lit(float(means[f])))).alias("contribution"),
-            )
-            for f, w in coefficients.items()
-        ]
-    )
-    return _explained(df, [key], n, entries)
+    cells = [
+        f"named_struct('feature', {literal(f)}, 'contribution', "
+        f"{double_literal(w)} * (cast({quoted(f)} as double) - {double_literal(means[f])}))"
+        for f, w in coefficients.items()
+    ]
+    return _explained(df, [key], n, F.expr(f"array({', '.join(cells)})"))
 
 
 def feature_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -93,20 +91,17 @@ def feature_means(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
 def background(df: DataFrame, features: Sequence[str]) -> dict[str, np.ndarray]:
     """What the surrogate needs of the reference rows: quartiles, and per feature and quarter the share,
     mean, spread and extremes.  Two aggregates; its size depends on the number of features only."""
-    q = F.array(*[F.lit(x) for x in QUARTILES])
-    cuts = df.agg(*[F.percentile_approx(c, q, 10_000).alias(c) for c in features]).first()
-    edges = np.array([cuts[c] for c in features], dtype=float)
+    q = f"array({', '.join(f'{x}d' for x in QUARTILES)})"
+    cuts = df.agg(*[F.expr(f"percentile_approx({quoted(c)}, {q}, 10000) as c{i}") for i, c in enumerate(features)]).first()
+    edges = np.array([cuts[f"c{i}"] for i in range(len(features))], dtype=float)
     measures = []
     for c, e in zip(features, edges):
-        for b in range(4):
-            inside = F.lit(True)
-            if b > 0:
-                inside = inside & (F.col(c) > F.lit(float(e[b - 1])))
-            if b < 3:
-                inside = inside & (F.col(c) <= F.lit(float(e[b])))
-            v = F.when(inside, F.col(c))
-            measures.append(F.array(F.count(v).cast("double"), F.avg(v), F.stddev_pop(v), F.min(v), F.max(v)))
-    row = df.agg(F.array(*measures).alias("m")).first()["m"]
+        above = ["true"] + [f"{quoted(c)} > {double_literal(x)}" for x in e]
+        upto = [f"{quoted(c)} <= {double_literal(x)}" for x in e] + ["true"]
+        for lo, hi in zip(above, upto):
+            v = f"case when {lo} and {hi} then {quoted(c)} end"
+            measures.append(f"array(cast(count({v}) as double), avg({v}), stddev_pop({v}), min({v}), max({v}))")
+    row = df.agg(F.expr(f"array({', '.join(measures)}) as m")).first()["m"]
     stats = np.array([[np.nan if x is None else x for x in r] for r in row], dtype=float).reshape(len(features), 4, 5)
     share = stats[:, :, 0] / stats[:, :, 0].sum(1, keepdims=True)
     return {"edges": edges, "share": share, "stats": np.nan_to_num(stats[:, :, 1:])}
@@ -197,17 +192,18 @@ def look_up(dictionary: DataFrame, variable: str) -> DataFrame:
 def compare_client(df: DataFrame, key: str, client: DataFrame, features: Sequence[str], cohort: str) -> DataFrame:
     """One client beside all clients and beside its cohort: value, both averages, and the share of clients
     with a smaller value.  ``client`` is a one-row selection of ``df``; one aggregate over all rows."""
-    me = client.select(F.struct(cohort, *features)).scalar()
-    alike = F.col(cohort).eqNullSafe(F.col("_me")[cohort])
-    tagged = df.select(key, cohort, *features).withColumn("_me", me)
+    mine = client.select(F.struct(cohort, *features)).scalar()
+    tagged = df.select(key, cohort, *features).withColumn("_me", mine)
+    alike = f"{quoted(cohort)} <=> _me.{quoted(cohort)}"
     measures = {}
     for c in features:
-        mine = F.col("_me")[c]
+        x, me = quoted(c), f"_me.{quoted(c)}"
+        peer = f"case when {alike} then {x} end"
         measures[c] = {
-            "value": F.max(mine.cast("double")),
-            "mean_all": F.avg(F.col(c).cast("double")),
-            "mean_cohort": F.avg(F.when(alike, F.col(c).cast("double"))),
-            "share_below_all": F.count_if(F.col(c) < mine) / F.count(c),
-            "share_below_cohort": F.try_divide(F.count_if(alike & (F.col(c) < mine)), F.count(F.when(alike, F.col(c)))),
+            "value": f"cast(max({me}) as double)",
+            "mean_all": f"avg({x})",
+            "mean_cohort": f"avg({peer})",
+            "share_below_all": f"try_divide(count_if({x} < {me}), count({x}))",
+            "share_below_cohort": f"try_divide(count_if({alike} and {x} < {me}), count({peer}))",
         }
     return long_counts(tagged, measures, key="feature")

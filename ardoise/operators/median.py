@@ -6,80 +6,97 @@ bracket that surely holds the middle ranks (this is checked), and only values in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ardoise.functions.aggspec import quoted
+
 BRACKET_VALUES = 50_000
+INFINITE = float("inf")
+
+
+def double_literal(x: float) -> str:
+    names = {INFINITE: "Infinity", -INFINITE: "-Infinity"}
+    return f"double('{names.get(x, repr(float(x)))}')"
+
+
+@dataclass
+class ColumnStats:
+    """First look at a column: filled rows, extremes, bracket around the middle."""
+
+    filled: int
+    low: float | None
+    high: float | None
+    bracket: tuple[float, float] | None
 
 
-def _accuracy(rows: int) -> int:
+def accuracy_for(rows: int) -> int:
     return int(min(1_000_000, max(10_000, rows // BRACKET_VALUES)))
 
 
-def brackets_agg(columns: Sequence[str], accuracy: int, widen: int = 1) -> list:
-    """Aggregates of the first pass: count and a bracket around the middle, per column."""
+def column_stats(df: DataFrame, columns: Sequence[str], accuracy: int = 10_000, widen: int = 1) -> dict[str, ColumnStats]:
+    """One pass over the table for all columns."""
     delta = min(0.5, 2.0 * widen / accuracy)
-    q = F.array(F.lit(0.5 - delta), F.lit(0.5 + delta))
-    return [
-        F.struct(
-            F.count(c).alias("n"), F.percentile_approx(c, q, accuracy).alias("q")
-        ).alias(c)
-        for c in columns
-    ]
+    parts = []
+    for i, c in enumerate(columns):
+        v = f"cast({quoted(c)} as double)"
+        parts += [
+            f"count({v}) as n{i}", f"min({v}) as l{i}", f"max({v}) as h{i}",
+            f"percentile_approx({v}, array({0.5 - delta}d, {0.5 + delta}d), {accuracy}) as q{i}",
+        ]
+    row = df.agg(*[F.expr(p) for p in parts]).first()
+    return {
+        c: ColumnStats(row[f"n{i}"], row[f"l{i}"], row[f"h{i}"], tuple(row[f"q{i}"]) if row[f"n{i}"] else None)
+        for i, c in enumerate(columns)
+    }
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], rows: int | None = None) -> dict[str, float | None]:
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], stats: Mapping[str, ColumnStats] | None = None, accuracy: int | None = None
+) -> dict[str, float | None]:
     """Median of each column (mean of the two middle values for an even count); None when all are missing.
 
-    Missing values are NULL; infinite ones must be cleared before.
+    Missing values are NULL; infinite ones must be cleared before.  ``stats`` from an earlier pass saves one.
     """
     columns = list(columns)
-    accuracy = _accuracy(df.count() if rows is None else rows)
-    result: dict[str, float | None] = {}
-    open_columns, widen = columns, 1
-    while open_columns:
-        first = df.agg(*brackets_agg(open_columns, accuracy, widen)).first()
-        brackets = {}
-        for c in open_columns:
-            n, q = first[c]["n"], first[c]["q"]
-            if n == 0:
-                result[c] = None
-            elif widen > accuracy:
-                brackets[c] = (n, float("-inf"), float("inf"))
-            else:
-                brackets[c] = (n, float(q[0]), float(q[1]))
-        found = _middle_values(df, brackets) if brackets else {}
-        result.update(found)
-        open_columns = [c for c in open_columns if c not in result]
+    if not columns:
+        return {}
+    if accuracy is None:
+        accuracy = accuracy_for(df.count()) if stats is None else 10_000
+    if stats is None:
+        stats = column_stats(df, columns, accuracy)
+    result: dict[str, float | None] = {c: None for c in columns if stats[c].filled == 0}
+    brackets = {c: stats[c].bracket for c in columns if c not in result}
+    widen = 1
+    while brackets:
+        result.update(_middle_values(df, {c: (stats[c].filled, *b) for c, b in brackets.items()}))
+        missed = [c for c in brackets if c not in result]
         widen *= 10
+        if widen <= accuracy:
+            again = column_stats(df, missed, accuracy, widen) if missed else {}
+            brackets = {c: again[c].bracket for c in missed}
+        else:
+            brackets = {c: (-INFINITE, INFINITE) for c in missed}
     return {c: result[c] for c in columns}
 
 
-def _middle_values(df: DataFrame, brackets: dict[str, tuple[int, float, float]]) -> dict[str, float]:
+def _middle_values(df: DataFrame, brackets: Mapping[str, tuple[int, float, float]]) -> dict[str, float]:
     names = list(brackets)
-    below = df.agg(
-        *[F.count(F.when(F.col(c) < F.lit(brackets[c][1]), F.lit(1))).alias(c) for c in names]
-    ).first()
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                F.when(F.col(c).between(F.lit(lo), F.lit(hi)), F.col(c).cast("double")).alias("v"),
-            )
-            for i, (c, (_, lo, hi)) in enumerate(brackets.items())
-        ]
-    )
-    inside = df.select(F.explode(F.filter(cells, lambda x: x.v.isNotNull())).alias("x")).select("x.i", "x.v")
+    below, cells = [], []
+    for i, c in enumerate(names):
+        v, low, high = f"cast({quoted(c)} as double)", double_literal(brackets[c][1]), double_literal(brackets[c][2])
+        below.append(f"count(case when {v} < {low} then 1 end) as b{i}")
+        cells.append(f"named_struct('i', {i}, 'v', case when {v} between {low} and {high} then {v} end)")
+    under = df.agg(*[F.expr(b) for b in below]).first()
+    inside = df.selectExpr(f"inline(filter(array({', '.join(cells)}), x -> x.v is not null)) as (i, v)")
     counts = inside.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k"))
     # A bracket holds a fixed small share of the ranks, so one column's window is bounded.
     upto = F.sum("k").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
     ranks = df.sparkSession.createDataFrame(
-        [
-            (i, below[c], (brackets[c][0] - 1) // 2, brackets[c][0] // 2)
-            for i, c in enumerate(names)
-        ],
+        [(i, under[f"b{i}"], (brackets[c][0] - 1) // 2, brackets[c][0] // 2) for i, c in enumerate(names)],
         "i int, below bigint, lo bigint, hi bigint",
     )
     placed = counts.select("i", "v", "k", upto.alias("u")).join(F.broadcast(ranks), "i")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ardoise.functions.aggspec import literal, quoted
 from ardoise.functions.exprs import truncate_percent
 from ardoise.operators.clean import fill_counts
 from ardoise.operators.skew import BROADCAST_ROWS
@@ -16,7 +15,7 @@ from ardoise.operators.skew import BROADCAST_ROWS
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """Per column: type, rows, filled and missing cells, fill percentage (cut to whole percent)."""
-    types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
+    types = F.expr("map(" + ", ".join(x for c, t in df.dtypes for x in (literal(c), literal(t))) + ")")
     fill = fill_counts(df, df.columns)
     return fill.select(
         "column",
@@ -30,7 +29,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 def row_fill_percent(columns: Sequence[str]) -> Column:
     """Fill percentage of one row over the given columns."""
-    filled = reduce(add, [F.col(c).isNotNull().cast("int") for c in columns])
+    filled = F.expr(" + ".join(f"cast({quoted(c)} is not null as int)" for c in columns))
     return truncate_percent(filled, F.lit(len(columns)))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ardoise.functions.aggspec import quoted
 from ardoise.functions.exprs import decide
-from ardoise.operators.clean import Preparation
+from ardoise.operators.clean import Preparation, filled_sql, finite_sql, scaled_sql
 from ardoise.operators.metrics import best_threshold, f1_curve
 from ardoise.operators.models import LABEL, assembler, logistic, predict, vectors
 from ardoise.operators.split import add_class_weights
@@ -22,14 +22,10 @@ from ardoise.plans.specs import KEY
 
 def cleaning_stage(p: Preparation) -> SQLTransformer:
     """Cleaning and scaling with frozen statistics as a pipeline stage: ``s_<feature>`` columns."""
-    def one(c: str) -> str:
-        low, high = p.ranges[c]
-        width = (high - low) or 1.0
-        value = f"cast({quoted(c)} as double)"
-        filled = f"coalesce(case when abs({value}) < double('Infinity') then {value} end, double('{p.medians[c]!r}'))"
-        return f"({filled} - double('{low!r}')) / double('{width!r}') as {quoted('s_' + c)}"
-
-    return SQLTransformer(statement=f"select *, {', '.join(one(c) for c in p.features)} from __THIS__")
+    cells = [
+        f"{scaled_sql(filled_sql(finite_sql(c), p.medians[c]), *p.ranges[c])} as {quoted('s_' + c)}" for c in p.features
+    ]
+    return SQLTransformer(statement=f"select *, {', '.join(cells)} from __THIS__")
 
 
 def as_pipeline(p: Preparation, model) -> PipelineModel:
