@@ -25,6 +25,7 @@ from pyspark.storagelevel import StorageLevel
 from ardoise.operators.metrics import roc_auc
 from ardoise.operators.smote import oversample
 from ardoise.operators.split import FOLDS, REPEATS, add_class_weights, stratified_folds
+from ardoise.sources.workdir import materialise
 
 LABEL = "TARGET"
 SEED = 42
@@ -119,33 +120,37 @@ def grid_search(
         raise ValueError("class_imb must be 'CW' or 'SMOTE'")
     fit = FITTERS[model_name]
     params = combinations(grid)
+    spark = rows.sparkSession
     parts = []
     for repeat in range(n_fold_repeats):
         folded = stratified_folds(rows.select(key, label, *features), label, key, n_fold, repeat)
-        folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+        folded = materialise(folded, "folds")
+        packed = materialise(vectors(folded, features, key, label, "fold"), "vectors")
         for fold in range(n_fold):
-            train = folded.where(F.col("fold") != fold)
             if class_imb == "SMOTE":
-                train = oversample(train, label, key, features).withColumn("weight", F.lit(1.0))
+                train = oversample(folded.where(F.col("fold") != fold), label, key, features)
+                train = vectors(train.withColumn("weight", F.lit(1.0)), features, label, "weight")
             else:
-                train = add_class_weights(train, label)
-            train = vectors(train, features, label, "weight").persist(StorageLevel.MEMORY_AND_DISK)
+                train = add_class_weights(packed.where(F.col("fold") != fold), label).select(label, "weight", "features")
+            train = train.persist(StorageLevel.MEMORY_AND_DISK)
             train.count()
-            held = vectors(folded.where(F.col("fold") == fold), features, label)
-            pool = ThreadPool(min(parallelism, len(params)))
-            try:
-                models = pool.map(inheritable_thread_target(rows.sparkSession)(lambda p: fit(train, label=label, **p)), params)
-            finally:
-                pool.close()
-            for i, model in enumerate(models):
-                tags = [F.lit(i).alias("params_id"), F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold")]
-                parts.append(predict(model, held).select(*tags, label, "proba"))
+            with ThreadPool(min(parallelism, len(params))) as pool:
+                one = inheritable_thread_target(spark)(lambda p: fit(train, label=label, **p))
+                models = pool.map(one, params)
             train.unpersist()
+            # All models of the fold score its held-out rows in one scan, written before the next fold.
+            held, cells = packed.where(F.col("fold") == fold).select(label, "features"), []
+            for i, model in enumerate(models):
+                model.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("")
+                held = model.transform(held)
+                cells.append(
+                    F.struct(F.lit(i).alias("params_id"), vector_to_array(f"_p{i}")[1].alias("proba"))
+                )
+            tags = [F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold")]
+            parts.append(materialise(held.select(label, *tags, F.inline(F.array(*cells))), "scored"))
     scored = reduce(DataFrame.unionByName, parts)
     areas = roc_auc(scored, label, "proba", ["params_id", "repeat", "fold"])
-    names = rows.sparkSession.createDataFrame(
-        [(i, str(p)) for i, p in enumerate(params)], "params_id int, params string"
-    )
+    names = spark.createDataFrame([(i, str(p)) for i, p in enumerate(params)], "params_id int, params string")
     return areas.join(F.broadcast(names), "params_id").select("params_id", "params", "repeat", "fold", "auc")
 
 
@@ -184,11 +189,10 @@ def tree_error_curve(
         tree.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("")
         rows = tree.transform(rows)
         probabilities.append(vector_to_array(f"_p{i}")[1])
-    scored = rows.select(label, F.array(*probabilities).alias("_p"))
-    wrong = {}
-    for n in sizes:
-        total = F.aggregate(F.slice("_p", 1, n), F.lit(0.0), lambda a, x: a + x)
-        wrong[n] = F.avg(((total / n > 0.5).cast("int") != F.col(label).cast("int")).cast("int"))
-    return scored.agg(
-        F.array(*[F.struct(F.lit(n).alias("n"), w.alias("error")) for n, w in wrong.items()]).alias("_all")
-    ).select(F.inline("_all"))
+    scored = rows.select(F.col(label).cast("int").alias("y"), F.array(*probabilities).alias("p"))
+    # Inside the row: the vote of the first n trees for each n.
+    votes = F.expr(
+        f"transform(array({', '.join(str(n) for n in sizes)}), n -> named_struct('n', n, 'wrong', "
+        "cast((aggregate(slice(p, 1, n), 0d, (a, x) -> a + x) / n > 0.5) <> (y = 1) as int)))"
+    )
+    return scored.select(F.inline(votes)).groupBy("n").agg(F.avg("wrong").alias("error"))

@@ -30,10 +30,13 @@ def parts(wide: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return train, valid, wide.where(~F.col(IS_TRAIN)).drop(IS_TRAIN, "TARGET")
 
 
-def prepare(wide: DataFrame, limit: int = FILL_LIMIT, test_own_median: bool = False, scaled: bool = True) -> Prepared:
-    """Fit on the training part, apply to all.  The wide table is written once; fitting and the three
-    results are scans of the copy.  ``test_own_median`` fills the test rows with their own medians."""
-    wide = materialise(wide, "wide")
+def prepare(wide: DataFrame, limit: int = FILL_LIMIT, test_own_median: bool = False, scaled: bool = True,
+            written: bool = False) -> Prepared:
+    """Fit on the training part, apply to all.  The wide table is written once (unless it is a ``written``
+    one already); fitting and the three results are scans of the copy.  ``test_own_median`` fills the test
+    rows with their own medians."""
+    if not written:
+        wide = materialise(wide, "wide")
     train, valid, test = parts(wide)
     features = feature_columns(wide, exclude=("TARGET", KEY, "SK_ID_BUREAU", "SK_ID_PREV", "index", IS_TRAIN))
     fitted = fit_preparation(train, features, limit)
