@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ardoise.catalog import sqlgen
 from ardoise.catalog.registry import query
 from ardoise.catalog.sqlgen import q
-from ardoise.catalog.standin import applications, load, loan_tables, role, with_roles
+from ardoise.catalog.shared import prepared, wide_table
+from ardoise.catalog.standin import applications, load, role, with_roles
+from ardoise.functions.aggspec import quoted
 from ardoise.operators import clean, encode, median, profile
 from ardoise.plans import blocks, prepare, wide
 from ardoise.plans.specs import KEY
@@ -188,7 +190,7 @@ FEATURES = [n for n in sqlgen.wide_block().names if n not in ("is_train", "TARGE
 )
 def drop_sparse(spark: SparkSession, folder: str) -> DataFrame:
     """Features of the wide table that fewer than 80 % of the training rows fill."""
-    train, _, _ = prepare.parts(wide.wide_features(loan_tables(spark, folder)))
+    train, _, _ = prepare.parts(wide_table(spark, folder))
     features = clean.feature_columns(train)
     return clean.sparse_columns(clean.fill_counts(clean.clear_infinite(train, features), features))
 
@@ -258,19 +260,17 @@ def _prepared_sql() -> str:
 @query("prepared_dataset", _prepared_sql())
 def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """The whole cleaning chain; per part and kept feature the extremes and mean of the prepared values."""
-    done = prepare.prepare(wide.wide_features(loan_tables(spark, folder)))
+    done = prepared(spark, folder)
     features = done.preparation.features
     both = [
         d.select(F.lit(p).alias("part"), *features)
         for p, d in (("train", done.train), ("valid", done.valid), ("test", done.test))
     ]
     rows = both[0].unionByName(both[1]).unionByName(both[2])
-    cells = [
-        F.struct(
-            F.lit(c).alias("feature"), F.count(c).alias("n"), F.round(F.min(c) + F.lit(0.0), 9).alias("lowest"),
-            F.round(F.max(c) + F.lit(0.0), 9).alias("highest"), F.round(F.avg(c), 7).alias("mean"),
-        )
+    cells = ", ".join(
+        f"named_struct('feature', '{c}', 'n', count({quoted(c)}), 'lowest', round(min({quoted(c)}) + 0d, 9), "
+        f"'highest', round(max({quoted(c)}) + 0d, 9), 'mean', round(avg({quoted(c)}), 7))"
         for c in features
-    ]
-    wide_stats = rows.groupBy("part").agg(F.array(*cells).alias("cells"))
+    )
+    wide_stats = rows.groupBy("part").agg(F.expr(f"array({cells}) as cells"))
     return wide_stats.select("part", F.inline("cells"))

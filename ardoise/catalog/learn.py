@@ -6,47 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ardoise.catalog.registry import query
-from ardoise.catalog.standin import loan_tables, role, with_roles
+from ardoise.catalog.shared import prepared, scorer, vectors_of, wide_table
+from ardoise.catalog.standin import role, with_roles
 from ardoise.operators import clean, explain, models, smote
 from ardoise.operators.models import LABEL
-from ardoise.operators.split import add_class_weights
 from ardoise.plans import scoring
-from ardoise.plans.prepare import Prepared, parts, prepare
+from ardoise.plans.prepare import parts
 from ardoise.plans.specs import KEY
-from ardoise.plans.wide import wide_features
 from ardoise.sources import tables
 from ardoise.sources.workdir import fresh_path, materialise
 from ardoise.streaming import requests
 
-_WIDE: dict[tuple[str, str], DataFrame] = {}
-_PREPARED: dict[tuple[str, str], Prepared] = {}
-_SCORERS: dict[tuple[str, str], scoring.Scorer] = {}
-
-
-def _once(store: dict, spark: SparkSession, folder: str, make):
-    """The queries below share one written wide table, one preparation and one scorer per session."""
-    at = (spark.sparkContext.applicationId, folder)
-    if at not in store:
-        store[at] = make()
-    return store[at]
-
-
-def wide_table(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(_WIDE, spark, folder, lambda: materialise(wide_features(loan_tables(spark, folder)), "features"))
-
-
-def prepared(spark: SparkSession, folder: str) -> Prepared:
-    return _once(_PREPARED, spark, folder, lambda: prepare(wide_table(spark, folder), written=True))
-
-
-def scorer(spark: SparkSession, folder: str) -> scoring.Scorer:
-    return _once(_SCORERS, spark, folder, lambda: scoring.train_scorer(prepared(spark, folder)))
-
-
-def training_vectors(data: Prepared) -> DataFrame:
-    return models.vectors(add_class_weights(data.train, LABEL), data.preparation.features, LABEL, "weight")
-
-
 @query("smote")
 def oversampled(spark: SparkSession, folder: str) -> DataFrame:
     """Class sizes and means after adding synthetic minority rows to the training part."""
@@ -62,7 +32,7 @@ def lr_fit_score(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted logistic regression, scored on all training and validation rows."""
     data = prepared(spark, folder)
     features = data.preparation.features
-    model = models.logistic(training_vectors(data).persist())
+    model = models.logistic(vectors_of(spark, folder))
     rows = data.train.withColumn("part", F.lit("train")).unionByName(data.valid.withColumn("part", F.lit("valid")))
     return models.predict(model, models.vectors(rows, features, KEY, "part", LABEL)).drop("features")
 
@@ -71,7 +41,7 @@ def lr_fit_score(spark: SparkSession, folder: str) -> DataFrame:
 def rf_fit_score(spark: SparkSession, folder: str) -> DataFrame:
     data = prepared(spark, folder)
     features = data.preparation.features
-    model = models.forest(training_vectors(data).persist(), n_estimators=50, min_samples_leaf=5, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5, max_depth=12)
     return models.predict(model, models.vectors(data.valid, features, KEY, LABEL)).drop("features")
 
 
@@ -87,7 +57,7 @@ def grid_cv(spark: SparkSession, folder: str) -> DataFrame:
 def tree_error_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Validation error of the first 10, 20, .. 200 trees of one forest."""
     data = prepared(spark, folder)
-    model = models.forest(training_vectors(data).persist(), n_estimators=200, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=200, max_depth=12)
     held = models.vectors(data.valid, data.preparation.features, LABEL)
     return models.tree_error_curve(model, held, range(10, 201, 10))
 
@@ -103,7 +73,7 @@ def global_importance(spark: SparkSession, folder: str) -> DataFrame:
 @query("rf_importance")
 def rf_importance(spark: SparkSession, folder: str) -> DataFrame:
     data = prepared(spark, folder)
-    model = models.forest(training_vectors(data).persist(), n_estimators=50, min_samples_leaf=5, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5, max_depth=12)
     table = explain.importance_table(spark, data.preparation.features, model.featureImportances.toArray())
     return explain.forest_importance(table)
 

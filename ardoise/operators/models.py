@@ -3,6 +3,7 @@ folds."""
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -20,7 +21,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ardoise.operators.metrics import roc_auc
 from ardoise.operators.smote import oversample
@@ -51,6 +51,17 @@ def vectors(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
     return assembler(features).transform(df).select(*keep, "features")
 
 
+# Training data is read once per iteration: partitions smaller than this cost more in scheduling than they
+# gain in parallelism.
+PARTITION_BYTES = 32 * 1024 * 1024
+
+
+def compact(rows: DataFrame, count: int) -> DataFrame:
+    """Fewer, fuller partitions for small training data; large data keeps the partitions it has."""
+    size = rows.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 1_000)
+    return rows.coalesce(max(1, math.ceil(count * size * 8 / PARTITION_BYTES)))
+
+
 def dummy_scores(train: DataFrame, scored: DataFrame, label: str = LABEL) -> DataFrame:
     """Baseline: every row gets the most frequent training class (the smaller one on a tie)."""
     counts = train.groupBy(F.col(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
@@ -64,11 +75,11 @@ def logistic(rows: DataFrame, C: float = 1.0, penalty: str = "l2", weight: str =
     ``regParam`` is over the weighted mean, hence the division."""
     if penalty not in ("l1", "l2"):
         raise ValueError("penalty must be 'l1' or 'l2'")
-    total = rows.agg(F.sum(weight)).first()[0]
+    total, count = rows.agg(F.sum(weight), F.count(F.lit(1))).first()
     return LogisticRegression(
         labelCol=label, weightCol=weight, maxIter=max_iter, tol=1e-6, standardization=False,
         regParam=1.0 / (C * total), elasticNetParam=1.0 if penalty == "l1" else 0.0,
-    ).fit(rows)
+    ).fit(compact(rows, count))
 
 
 def forest(rows: DataFrame, n_estimators: int = 100, min_samples_leaf: int = 1, max_depth: int = MAX_DEPTH,
@@ -78,7 +89,7 @@ def forest(rows: DataFrame, n_estimators: int = 100, min_samples_leaf: int = 1,
         labelCol=label, weightCol=weight, numTrees=n_estimators, minInstancesPerNode=min_samples_leaf,
         maxDepth=min(int(max_depth), MAX_DEPTH), featureSubsetStrategy="sqrt", seed=SEED,
         maxMemoryInMB=512,
-    ).fit(rows)
+    ).fit(compact(rows, rows.count()))
 
 
 FITTERS = {"LR_clf": logistic, "RF_clf": forest}
@@ -132,12 +143,11 @@ def grid_search(
                 train = vectors(train.withColumn("weight", F.lit(1.0)), features, label, "weight")
             else:
                 train = add_class_weights(packed.where(F.col("fold") != fold), label).select(label, "weight", "features")
-            train = train.persist(StorageLevel.MEMORY_AND_DISK)
-            train.count()
+            # Spark ML caches its own blocks of the rows; a second cache would only take their memory.
+            train = materialise(train, "fold")
             with ThreadPool(min(parallelism, len(params))) as pool:
                 one = inheritable_thread_target(spark)(lambda p: fit(train, label=label, **p))
                 models = pool.map(one, params)
-            train.unpersist()
             # All models of the fold score its held-out rows in one scan, written before the next fold.
             held, cells = packed.where(F.col("fold") == fold).select(label, "features"), []
             for i, model in enumerate(models):

@@ -77,6 +77,8 @@ def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
     ranged = with_range(placed, "p", bounds, "range")
     # A range where many points share one projection is cut by hash, so no block outgrows its size.
     cuts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("cuts"))
+    # At most MAX_RANGES rows.
+    cuts = F.broadcast(cuts)
     blocks = ranged.join(cuts, "range").withColumn(
         "cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     )

@@ -18,6 +18,7 @@ from ardoise.operators.models import LABEL, assembler, logistic, predict, vector
 from ardoise.operators.split import add_class_weights
 from ardoise.plans.prepare import Prepared
 from ardoise.plans.specs import KEY
+from ardoise.sources.workdir import materialise
 
 
 def cleaning_stage(p: Preparation) -> SQLTransformer:
@@ -59,13 +60,17 @@ class Scorer:
         return scored.select(key, decide("p", self.threshold).alias("rep"), F.round("p", 2).alias("proba"))
 
 
+def training_vectors(data: Prepared) -> DataFrame:
+    """Weighted training vectors, written once: fitting scans them again and again."""
+    rows = vectors(add_class_weights(data.train, LABEL), data.preparation.features, LABEL, "weight")
+    return materialise(rows, "vectors")
+
+
 def train_scorer(data: Prepared, C: float = 1.0, penalty: str = "l2") -> Scorer:
     """Logistic regression with balanced class weights on the prepared (scaled) training rows; threshold
     of the highest F1 on the validation rows."""
     features = data.preparation.features
-    rows = vectors(add_class_weights(data.train, LABEL), features, LABEL, "weight").persist()
-    model = logistic(rows, C=C, penalty=penalty)
-    rows.unpersist()
+    model = logistic(training_vectors(data), C=C, penalty=penalty)
     held = predict(model, vectors(data.valid, features, LABEL))
     best = best_threshold(f1_curve(held, LABEL, "proba")).first()
     return Scorer(as_pipeline(data.preparation, model), best["threshold"])
