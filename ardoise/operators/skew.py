@@ -7,38 +7,50 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ardoise.functions.aggspec import quoted
+
 # A key is hot when it holds more than one in HOT_SHARE rows; there can be at most HOT_SHARE such keys.
 HOT_SHARE = 500
 
 
+# Values the sketch tracks per hot key sought: its error stays far below the share that makes a key hot.
+TRACKED = 20
+
+
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> list:
-    """Keys that hold more than ``1/share`` of the rows: at most ``share`` values, whatever the data.
+    """Keys that hold more than ``1/share`` of the rows: at most ``share`` values, whatever the data;
+    ``None`` among them when missing keys are that many.
 
-    One scan of the key column with map-side counts.
+    One scan of the key column into a frequent-items sketch of fixed size; no key is shuffled.  A wrong
+    guess would cost time, never rows.
     """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_t"))
-    hot = counts.where(F.col("_n") * F.lit(share) > total.scalar())
+    top = f"approx_top_k({quoted(key)}, {share}, {share * TRACKED})"
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"{top} as top")).first()
     # A table of few rows has no skew worth a second join.
-    hot = hot.where(F.col("_n") > F.lit(share))
-    return sorted(r[0] for r in hot.select(key).collect())
+    floor = max(row["n"] / share, share)
+    return [item["item"] for item in row["top"] or [] if item["count"] > floor]
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", share: int = HOT_SHARE) -> DataFrame:
     """Equi-join of a large side with a side that is unique on ``key``.
 
     Rows of hot keys meet their few partners by broadcast, where they already lie; all other rows take
-    the ordinary shuffle join.  No row is dropped, and the broadcast holds at most ``share`` rows.
+    the ordinary shuffle join.  Missing keys meet nothing; many of them stay out of the shuffle as well.
+    No row is dropped, and the broadcast holds at most ``share`` rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be 'inner' or 'left'")
-    hot = hot_keys(left, key, share)
-    if not hot:
+    found = hot_keys(left, key, share)
+    hot = [k for k in found if k is not None]
+    if not found:
         return left.join(right, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    is_hot = F.col(key).isNull() if None in found else F.lit(False)
+    if hot:
+        is_hot = is_hot | F.coalesce(F.col(key).isin(hot), F.lit(False))
+    partners = right.where(F.col(key).isin(hot)) if hot else right.limit(0)
     parts = [
         left.where(~is_hot).join(right, key, how),
-        left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how),
+        left.where(is_hot).join(F.broadcast(partners), key, how),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -44,13 +44,15 @@ def stratified_folds(
     rows = df.withColumn("_h", order).withColumn(
         "_b", (F.conv(F.substring("_h", 1, 4), 16, 10).cast("int") * F.lit(buckets) / F.lit(65536)).cast("int")
     )
-    sizes = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(label, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(label, "_b").orderBy("_h", key)
+    # As text, so that rows without a class are a class too.
+    rows = rows.withColumn("_l", F.coalesce(F.col(label).cast("string"), F.lit("")))
+    sizes = rows.groupBy("_l", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_l").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_l", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_l", "_b").orderBy("_h", key)
     numbered = rows.withColumn("_i", F.row_number().over(inside) - 1)
     # Both sides are already laid out by (label, bucket).
-    joined = numbered.join(starts, [label, "_b"])
+    joined = numbered.join(starts, ["_l", "_b"])
     fold = ((F.col("_start") + F.col("_i")) % F.lit(folds)).cast("int")
     return joined.select(*df.columns, fold.alias(output))
 

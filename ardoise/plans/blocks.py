@@ -30,6 +30,7 @@ from ardoise.operators.encode import (
     factorize_fit,
     numeric_columns,
 )
+from ardoise.operators.skew import skew_join
 from ardoise.plans import specs
 from ardoise.plans.specs import KEY
 
@@ -83,13 +84,12 @@ def bureau_and_balance(
 ) -> DataFrame:
     """Bureau credits with their balances: ``BURO_*``, ``ACTIVE_*`` and ``CLOSED_*`` per client.
 
-    The balances shrink to one row per credit before they meet the credits, so the join is unique on both
-    sides.
+    The balances shrink to one row per credit before they meet the credits.
     """
     categories = discover_categories(bureau, nan_category=nan_category) if categories is None else categories
     if balance_categories is None:
         balance_categories = discover_categories(balance, nan_category=nan_category)
-    credits = bureau.join(balance_per_credit(balance, balance_categories), "SK_ID_BUREAU", "left")
+    credits = skew_join(bureau, balance_per_credit(balance, balance_categories), "SK_ID_BUREAU", "left")
     means = [f"{dummy_name(c, v)}_MEAN" for c, values in balance_categories.items() for v in values]
     aggregates = aggregate_columns(specs.BUREAU, "BURO_", digits=digits)
     aggregates += category_share(categories, "BURO_")

@@ -163,12 +163,24 @@ def test_csv_reading(spark, tmp_path):
 
 
 def test_hot_key_join_keeps_all_rows(spark):
-    left = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    seven = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))
+    missing = F.when(F.col("id") % 4 == 1, None)
+    plain = spark.range(3000).select(F.col("id").alias("k"), "id")
+    hot = spark.range(6000).select(seven.alias("k"), "id")
+    both = spark.range(6000).select(missing.otherwise(seven).alias("k"), "id")
+    only_missing = spark.range(6000).select(missing.otherwise(F.col("id")).alias("k"), "id")
     right = spark.range(0, 5000).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
-    assert skew.hot_keys(left, "k") == [7]
-    for how in ("inner", "left"):
-        a = skew.skew_join(left, right, "k", how).select("k", "id", "v").orderBy("id").collect()
-        assert a == left.join(right, "k", how).select("k", "id", "v").orderBy("id").collect()
+    for left, keys in ((plain, set()), (hot, {7}), (both, {7, None}), (only_missing, {None})):
+        assert set(skew.hot_keys(left, "k")) == keys
+        for how in ("inner", "left"):
+            a = skew.skew_join(left, right, "k", how).select("k", "id", "v").orderBy("id").collect()
+            assert a == left.join(right, "k", how).select("k", "id", "v").orderBy("id").collect()
+
+
+def test_folds_keep_rows_without_a_class(spark):
+    df = spark.range(200).select("id", F.when(F.col("id") % 10 != 0, F.col("id") % 2).alias("y"))
+    out = split.stratified_folds(df, "y", "id").groupBy("y", "fold").count().toPandas()
+    assert out["count"].sum() == 200 and out[out.y.isna()]["count"].tolist() == [4] * 5
 
 
 def test_running_totals_in_ranges(spark):
