@@ -35,7 +35,8 @@ APPLICATION_CATEGORIES = {
 def digits_of(column: str) -> int | None:
     """Decimals that survive a different order of additions; None where sums are exact anyway."""
     if column.endswith("_VAR"):
-        return 1 if "AMT_" in column or "PAYMENT_DIFF" in column else 6
+        # Variances of short decimals end on short decimals: few digits for the large, many for the small.
+        return 1 if "AMT_" in column or "PAYMENT_DIFF" in column else 9 if "PERC" in column else 6
     if "PERC" in column or column.endswith("_MEAN_MEAN"):
         return 9
     return None

@@ -28,6 +28,8 @@ SURROGATE_SAMPLES = 5000
 KERNEL_FACTOR = 0.75
 QUARTILES = (0.25, 0.5, 0.75)
 
+ROWS_PER_TASK = 1_000
+
 
 def importance_table(spark: SparkSession, features: Sequence[str], values: Sequence[float]) -> DataFrame:
     """(Features, Importance): one row per feature of a fitted model."""
@@ -170,8 +172,10 @@ def local_surrogate(
             yield pd.DataFrame(out, columns=["k", "rank", "feature", "contribution"])
 
     rows = df.select(F.col(key).cast("bigint").alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    # Much work per row: spread the rows, whatever files they came from.
-    spread = rows.repartition("k").mapInPandas(explain, "k bigint, rank int, feature string, contribution double")
+    # Much work per row: spread the rows, whatever files they came from.  A given number of partitions is
+    # not merged again for their small size.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_PER_TASK)
+    spread = rows.repartition(tasks, "k").mapInPandas(explain, "k bigint, rank int, feature string, contribution double")
     return spread.select(
         F.col("k").alias(key), "rank", "feature", "contribution",
         clean_label("feature").alias("label"), sign_label("contribution").alias("effect"),

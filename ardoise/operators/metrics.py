@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ardoise.functions.exprs import ACCEPTED, REJECTED, above
 from ardoise.operators.profile import class_share
 from ardoise.operators.ranges import running_totals
+from ardoise.sources.workdir import materialise
 
 # Thresholds 0.00 to 0.99, each the product i * 0.01.
 THRESHOLDS = 100
@@ -32,7 +33,8 @@ def roc_auc(scored: DataFrame, label: str, score: str, by: Sequence[str] = (), r
     ties = scored.groupBy(*by, score).agg(
         F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg")
     )
-    cum = running_totals(ties, score, ["_neg"], by, ranges)
+    # Written once: cutting it into ranges reads it several times, and scoring again would cost more.
+    cum = running_totals(materialise(ties, "ties"), score, ["_neg"], by, ranges)
     # Doubles: products of counts leave the range of long integers on very large tables.
     below, pos, neg = [c.cast("double") for c in (F.col("_neg_upto") - F.col("_neg"), F.col("_pos"), F.col("_neg"))]
     wins = F.sum(pos * (2 * below + neg))
