@@ -89,7 +89,7 @@ def forest(rows: DataFrame, n_estimators: int = 100, min_samples_leaf: int = 1,
         labelCol=label, weightCol=weight, numTrees=n_estimators, minInstancesPerNode=min_samples_leaf,
         maxDepth=min(int(max_depth), MAX_DEPTH), featureSubsetStrategy="sqrt", seed=SEED,
         maxMemoryInMB=512,
-    ).fit(compact(rows, rows.count()))
+    ).fit(rows)
 
 
 FITTERS = {"LR_clf": logistic, "RF_clf": forest}
