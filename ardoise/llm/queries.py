@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ardoise.llm import pages as web
 from ardoise.llm import urls
 from ardoise.llm.common import table
 
@@ -85,3 +86,9 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
     number = F.regexp_extract(urls.url_parts(F.col("url"))[1], "/([0-9]{1,18})(?:[./]|$)", 1)
     pages = table(spark, folder, "pages").select("page_id", "url", F.when(number != "", number.cast("long")).alias("doc_id"))
     return urls.judge_urls(pages.join(marks, "doc_id", "left"))
+
+
+@query("op8_html_text")
+def html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return web.extract_pages(table(spark, folder, "pages"))
