@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ardoise.llm import pages as web
+from ardoise.llm import pieces
 from ardoise.llm import urls
 from ardoise.llm.common import table
 
+#: Files of the public tokenizers, by name.
+PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
+
+
+def vocabulary(name: str) -> bytes:
+    """The contents of a tokenizer's file, read by the driver and sent with the tasks; a few MB at most."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +105,9 @@ def url_filter(spark: SparkSession, folder: str) -> DataFrame:
 def html_text(spark: SparkSession, folder: str) -> DataFrame:
     """The main text of every page."""
     return web.extract_pages(table(spark, folder, "pages"))
+
+
+@query("op2_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of every document, decoded again; digests of ids, decoded text and source spans."""
+    return pieces.piece_digests(table(spark, folder, "documents"), vocabulary(PIECES))
