@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ardoise.llm import packing
 from ardoise.llm import pages as web
 from ardoise.llm import pieces
 from ardoise.llm import urls
@@ -111,3 +112,9 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of every document, decoded again; digests of ids, decoded text and source spans."""
     return pieces.piece_digests(table(spark, folder, "documents"), vocabulary(PIECES))
+
+
+@query("op3_packing")
+def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary(BYTES))
