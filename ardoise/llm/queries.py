@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ardoise.llm import packing
 from ardoise.llm import pages as web
 from ardoise.llm import pieces
+from ardoise.llm import quality
 from ardoise.llm import urls
 from ardoise.llm.common import table
 
@@ -118,3 +119,15 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), vocabulary(BYTES))
+
+
+def document_ratings(spark: SparkSession, folder: str) -> DataFrame:
+    """Grade of each labelled document; the lowest where labels disagree."""
+    return table(spark, folder, "labels").select("doc_id", quality.grade().alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+
+
+@query("op9_quality")
+def quality_grades(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade, probability of the best grade, and decision for every document."""
+    documents = table(spark, folder, "documents")
+    return quality.fit_grader(documents, document_ratings(spark, folder)).score(documents)
