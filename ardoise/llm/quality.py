@@ -1,118 +1,228 @@
 """Quality classifier: ordinal regression on graded ratings with hashed text.
 
-A cumulative-link model: the odds that the grade of a text is at least k are ``exp(w.x - t_k)``, one weight
-vector ``w`` for all k and ordered thresholds ``t_k``.  It is fitted as one logistic regression in which each
-rated text stands once per threshold (is its grade at least k?) with a mark for the threshold, so the weights
-are shared by construction.  ``x`` holds which words occur (hashed) and the shares of word shapes (letters and
-digits replaced by one sign each, so ``(ab9)`` has the shape ``(a9)``).  Fitting, features and scores are Spark
-ML; no text leaves the JVM.
-
-The model is fitted on at most ``RATED`` rated texts, chosen by a hash of the key; scoring covers every row.
-
-Defined results: a null or empty text has no features and gets the thresholds' probabilities.  Repeated rows
-are scored alike.  Rows of the ratings with a null grade or key are left out; ratings without two different
-grades give no model: probability 1 and keep, grade null.  An empty table gives an empty table.  Only the
-named columns are read.
+A cumulative-link model: the log-odds that the grade of a text is at least k are ``w.x - t_k``, with one weight
+vector ``w`` for all k and ordered thresholds ``t_k``.  ``x`` holds which words occur (hashed) and the shares
+of word shapes (runs of small letters, capitals and digits become one sign each, so ``(ab9)`` has the shape
+``(a9)``, hashed too).  Features enter the model when at least ``SEEN`` rated texts have them and the grades of
+those differ from all grades by more than ``APART`` standard errors.
+
+The model is fitted by one task on at most ``RATED`` rated texts, chosen by a hash of the key; features of the
+rated texts and the scores of all rows are made where the rows lie, without a shuffle.
+
+Defined results: a null or empty text has no features and gets the probabilities of the thresholds alone.
+Repeated rows are scored alike; a text that is rated several times has its lowest grade.  Ratings with a null
+grade or key are left out; ratings without two different grades give no model: probability 1 and keep, grade
+null.  An empty table gives an empty table.  Whole texts are read; only the named columns are.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer, SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.llm.common import texts
+from ardoise.llm.common import texts, to_spark
 from ardoise.sources.workdir import materialise
 
 #: Rated texts that the model is fitted on, at most (about; a hash chooses them).
 RATED = 20_000
 WORDS, SHAPES = 1 << 17, 1 << 12
-ROUNDS, PENALTY = 40, 1e-4
-#: A threshold's mark; large, so that the penalty hardly holds thresholds back.
-MARK = 10.0
+SEEN, APART = 20, 5.0
+ROUNDS, BATCH, RATE, PENALTY = 40, 64, 0.3, 1e-3
+#: Value of a word that occurs, and of a shape that all words have.
+OCCURS, SHARE = 1.0, 16.0
 #: A text is kept when it has the highest grade with at least this probability.
 SURE = 0.5
+#: Remembered words of a worker process; all are forgotten beyond it, to bound the memory.
+REMEMBERED = 700_000
 
+LETTERS = re.compile(r"[^\W\d_]+")
+RUNS = [(re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "9")]
 
-def grade(quality: str = "quality", toxic: str = "toxic"):
+
+def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
     """0: poor; 1: well-formed but toxic; 2: good."""
     return F.when(F.col(quality) == 0, 0).when((F.col(quality) == 1) & (F.col(toxic) == 1), 1).when(F.col(quality) == 1, 2)
 
 
-def features() -> PipelineModel:
-    """Columns of ``id, text`` to ``id, x``; nothing in it is fitted."""
-    shape = r"regexp_replace(regexp_replace(regexp_replace(text, '\\p{Ll}+', 'a'), '\\p{Lu}+', 'A'), '\\p{Nd}+', '9')"
-    cut = rf"select *, split(lower(text), '[^\\p{{L}}\\p{{N}}]+') as words, split({shape}, '\\s+') as shapes from __THIS__"
-    return Pipeline(
-        stages=[
-            SQLTransformer(statement=cut),
-            HashingTF(inputCol="words", outputCol="occurs", numFeatures=WORDS, binary=True),
-            HashingTF(inputCol="shapes", outputCol="counts", numFeatures=SHAPES),
-            Normalizer(inputCol="counts", outputCol="shares", p=1.0),
-            VectorAssembler(inputCols=["occurs", "shares"], outputCol="x"),
-        ]
-    )
+def word_features(word: str) -> tuple[int, int]:
+    """Numbers of the word and of its shape."""
+    core = "".join(LETTERS.findall(word)).lower()
+    for run, sign in RUNS:
+        word = run.sub(sign, word)
+    return zlib.crc32(core.encode()) % WORDS, WORDS + zlib.crc32(word.encode()) % SHAPES
+
+
+class _Codes(dict):
+    """Both numbers of a word in one, remembered; numbers without a weight become 0."""
+
+    def __init__(self, slot: np.ndarray | None = None):
+        super().__init__()
+        self.slot = slot
+
+    def __missing__(self, word: str) -> int:
+        a, b = word_features(word)
+        if self.slot is not None:
+            a, b = int(self.slot[a]), int(self.slot[b])
+        self[word] = code = a << 20 | b
+        return code
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words that occur, shapes, and the shapes' shares."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        words = text.split()
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        shapes, times = np.unique(codes & 0xFFFFF, return_counts=True)
+        return np.unique(codes >> 20), shapes, times / max(1, len(words))
+
+
+def _odds(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, top: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered thresholds of the likeliest model, found by scaled gradient steps.
+
+    ``rows``: feature numbers and values of each text; ``y``: grades from 0 to ``top``.
+    """
+    w, scale = np.zeros(size), np.full(size, 1e-2)
+    share = np.clip([(y >= k).mean() for k in range(1, top + 1)], 1e-3, 1 - 1e-3)
+    t, t_scale = -np.log(share / (1 - share)), np.full(top, 1e-2)
+    rng = np.random.default_rng(7)
+    for _ in range(ROUNDS):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(rows), BATCH):
+            part = order[at : at + BATCH]
+            index = np.concatenate([rows[i][0] for i in part])
+            value = np.concatenate([rows[i][1] for i in part])
+            row = np.repeat(np.arange(len(part)), [len(rows[i][0]) for i in part])
+            margin = np.bincount(row, w[index] * value, len(part))
+            # tail[k] is the probability of a grade of at least k; the grade's own lies between two tails.
+            tail = np.ones((len(part), top + 2))
+            tail[:, 1:-1], tail[:, -1] = _odds(margin[:, None] - t), 0
+            slope, each, own = tail * (1 - tail), np.arange(len(part)), y[part]
+            p = np.maximum(tail[each, own] - tail[each, own + 1], 1e-9)
+            g = np.bincount(index, ((slope[each, own + 1] - slope[each, own]) / p)[row] * value, size)
+            used = np.unique(index)
+            step = g[used] / len(part) + PENALTY * w[used]
+            scale[used] += step**2
+            w[used] -= RATE * step / np.sqrt(scale[used])
+            k = np.arange(1, top + 1)
+            t_step = np.where(own[:, None] == k, slope[:, 1:-1] / p[:, None], 0) - np.where(own[:, None] == k - 1, slope[:, 1:-1] / p[:, None], 0)
+            t_step = t_step.mean(0)
+            t_scale += t_step**2
+            t = np.maximum.accumulate(t - RATE * t_step / np.sqrt(t_scale))
+    return w, t
+
+
+def telling(rows: list[np.ndarray], y: np.ndarray, top: int) -> np.ndarray:
+    """Which features enter the model."""
+    size = WORDS + SHAPES
+    index, length = np.concatenate(rows), [len(r) for r in rows]
+    seen, apart = np.bincount(index, minlength=size), np.zeros(size)
+    for k in range(1, top + 1):
+        high = (y >= k).astype(float)
+        p = high.mean()
+        hits = np.bincount(index, np.repeat(high, length), size)
+        apart = np.maximum(apart, np.abs(hits - seen * p) / np.sqrt(seen * p * (1 - p) + 1))
+    return np.flatnonzero((seen >= SEEN) & (apart > APART))
+
+
+RATED_ROWS = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
+MODEL = pa.schema([("index", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))])
+SCORES = pa.schema([("id", pa.int64()), ("expected_grade", pa.float64()), ("p_top", pa.float64()), ("keep", pa.bool_())])
+
+
+def _rated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codes = _Codes()
+    for batch in it:
+        found = [codes.of(x.as_py()) for x in batch["text"]]
+        index = [np.concatenate([a, b]).astype(np.int32) for a, b, _ in found]
+        value = [np.concatenate([np.full(len(a), OCCURS), SHARE * s]).astype(np.float32) for a, _, s in found]
+        yield pa.RecordBatch.from_arrays(
+            [batch["id"], batch["y"], pa.array(index, RATED_ROWS.field("index").type), pa.array(value, RATED_ROWS.field("value").type)],
+            schema=RATED_ROWS,
+        )
+
 
+def _fit(top: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in it:
+            rows += zip(batch["id"].to_pylist(), batch["y"].to_pylist(), batch["index"], batch["value"])
+        if not rows:
+            return
+        rows.sort(key=lambda r: r[:2])
+        y = np.array([r[1] for r in rows])
+        index = [r[2].values.to_numpy() for r in rows]
+        value = [r[3].values.to_numpy() for r in rows]
+        chosen = telling(index, y, top)
+        slot = np.full(WORDS + SHAPES, -1)
+        slot[chosen] = np.arange(len(chosen))
+        kept = [slot[i] >= 0 for i in index]
+        w, t = fit_ordinal([(slot[i][k], v[k].astype(float)) for i, v, k in zip(index, value, kept)], y, top, max(1, len(chosen)))
+        yield pa.RecordBatch.from_pydict({"index": [chosen], "weight": [w[: len(chosen)]], "thresholds": [t]}, schema=MODEL)
 
-def _with_features(df: DataFrame) -> DataFrame:
-    return features().fit(df).transform(df)
+    return run
 
 
 @dataclass
 class Grader:
-    """A fitted model: margin of the first threshold and how far the others lie from it."""
+    """A fitted model; without thresholds everything is kept."""
 
-    model: LogisticRegressionModel | None
-    shifts: list[float]
+    grades: list[int]
+    index: np.ndarray
+    weight: np.ndarray
+    thresholds: np.ndarray
 
     def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
-        """``key``, expected grade, probability of the highest grade, and whether it is kept."""
-        rows = texts(df, key, text)
-        if self.model is None:
-            none = F.lit(None).cast("double")
-            return rows.select(F.col("id").alias(key), none.alias("expected_grade"), F.lit(1.0).alias("p_top"), F.lit(True).alias("keep"))
-        marks = array_to_vector(F.array([F.lit(MARK if k == 0 else 0.0) for k in range(len(self.shifts))]))
-        x = _with_features(rows).select("id", "x", marks.alias("mark"))
-        both = VectorAssembler(inputCols=["x", "mark"], outputCol="features").transform(x)
-        margin = vector_to_array(F.col("rawPrediction"))[1]
-        tails = [1 / (1 + F.exp(-(F.col("m") + s))) for s in self.shifts]
-        return (
-            self.model.transform(both)
-            .select("id", margin.alias("m"))
-            .select(F.col("id").alias(key), sum(tails, F.lit(0.0)).alias("expected_grade"), tails[-1].alias("p_top"))
-            .withColumn("keep", F.col("p_top") >= sure)
-        )
+        """``key``, expected grade, probability of the highest grade, and whether the text is kept."""
+        slot = np.zeros(WORDS + SHAPES, np.int64)
+        slot[self.index] = np.arange(1, len(self.index) + 1)
+        weight, thresholds, grades = np.concatenate([[0.0], self.weight]), self.thresholds, np.array(self.grades, float)
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes = _Codes(slot)
+            for batch in it:
+                n = batch.num_rows
+                if len(thresholds):
+                    found = [codes.of(x.as_py()) for x in batch["text"]]
+                    margin = np.array([OCCURS * weight[a].sum() + SHARE * (weight[b] @ s) for a, b, s in found])
+                    tails = _odds(margin[:, None] - thresholds)
+                    expected, top = pa.array(grades[0] + tails @ np.diff(grades)), tails[:, -1]
+                else:
+                    expected, top = pa.nulls(n, pa.float64()), np.ones(n)
+                yield pa.RecordBatch.from_arrays([batch["id"], expected, pa.array(top), pa.array(top >= sure)], schema=SCORES)
+
+        rows = texts(df, key, text).select(F.col("id").cast("long"), "text")
+        return rows.mapInArrow(run, to_spark(SCORES)).withColumnRenamed("id", key)
 
 
 def fit_grader(
     df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", rated: int = RATED
 ) -> Grader:
     """Fit on the rows of ``df`` that ``ratings`` (``key``, ``grade``) has."""
-    known = ratings.select(F.col(key).alias("id"), F.col(grade).cast("int").alias("grade")).where("id is not null and grade is not null")
+    none = Grader([], np.zeros(0, int), np.zeros(0), np.zeros(0))
+    known = ratings.where(F.col(key).isNotNull() & F.col(grade).isNotNull())
+    known = known.groupBy(F.col(key).alias("id")).agg(F.min(F.col(grade).cast("int")).alias("grade"))
     found = known.groupBy("grade").count().collect()  # a row per grade
     grades, n = sorted(r["grade"] for r in found), sum(r["count"] for r in found)
     if len(grades) < 2:
-        return Grader(None, [])
+        return none
     if n > rated:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * rated / n))
+    place = F.array_position(F.array([F.lit(g) for g in grades]), F.col("grade")) - 1
     # The rated rows are bounded by ``rated``, whatever the table's size.
-    sample = texts(df, key, text).join(F.broadcast(known), "id")
-    x = materialise(_with_features(sample).select("x", "grade"), "rated")
-    steps = grades[1:]
-    each = x.withColumn("k", F.explode(F.array([F.lit(k) for k in range(len(steps))])))
-    limit = F.element_at(F.array([F.lit(s) for s in steps]), F.col("k") + 1)
-    marks = array_to_vector(F.array([F.when(F.col("k") == k, MARK).otherwise(0.0) for k in range(len(steps))]))
-    each = each.select("x", (F.col("grade") >= limit).cast("double").alias("label"), marks.alias("mark"))
-    rows = VectorAssembler(inputCols=["x", "mark"], outputCol="features").transform(each).select("features", "label")
-    fitted = LogisticRegression(
-        maxIter=ROUNDS, regParam=PENALTY, fitIntercept=False, standardization=False, tol=1e-5, family="binomial"
-    ).fit(rows)
-    at = MARK * fitted.coefficients.toArray()[-len(steps) :]
-    if any(a < b for a, b in zip(at, at[1:])):
-        raise ValueError("the thresholds are not in order")
-    return Grader(fitted, [float(a - at[0]) for a in at])
+    sample = texts(df, key, text).join(F.broadcast(known), "id").select(F.col("id").cast("long"), place.cast("int").alias("y"), "text")
+    rows = materialise(sample.mapInArrow(_rated, to_spark(RATED_ROWS)), "rated")
+    made = rows.coalesce(1).mapInArrow(_fit(len(grades) - 1), to_spark(MODEL)).collect()
+    if not made:
+        return none
+    return Grader(grades, *(np.array(made[0][c]) for c in ("index", "weight", "thresholds")))
