@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ardoise.llm import packing
 from ardoise.llm import pages as web
-from ardoise.llm import pieces
+from ardoise.llm import pieces, pii
 from ardoise.llm import quality
 from ardoise.llm import urls
 from ardoise.llm.common import table
@@ -131,3 +131,10 @@ def quality_grades(spark: SparkSession, folder: str) -> DataFrame:
     """Expected grade, probability of the best grade, and decision for every document."""
     documents = table(spark, folder, "documents")
     return quality.fit_grader(documents, document_ratings(spark, folder)).score(documents)
+
+
+@query("op1_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    documents = table(spark, folder, "documents")
+    return pii.find_pii(documents, pii.train(documents))
