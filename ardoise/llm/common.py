@@ -44,7 +44,7 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "lef
 
 def to_spark(schema: pa.Schema) -> str:
     """The same schema as Spark's DDL."""
-    names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.binary(): "binary",
+    names = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint", pa.string(): "string", pa.binary(): "binary",
              pa.float64(): "double", pa.float32(): "float", pa.bool_(): "boolean"}
 
     def kind(t: pa.DataType) -> str:

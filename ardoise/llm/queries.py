@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ardoise.llm import packing
+from ardoise.llm import neighbours, packing
 from ardoise.llm import pages as web
 from ardoise.llm import pieces, pii
 from ardoise.llm import quality
@@ -138,3 +138,9 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document."""
     documents = table(spark, folder, "documents")
     return pii.find_pii(documents, pii.train(documents))
+
+
+@query("op10_nearest")
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
