@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ardoise.llm import neighbours, packing
 from ardoise.llm import pages as web
 from ardoise.llm import pieces, pii
-from ardoise.llm import quality
-from ardoise.llm import urls
+from ardoise.llm import quality, textdedup
+from ardoise.llm import urls, vectordedup
 from ardoise.llm.common import table
 
 #: Files of the public tokenizers, by name.
@@ -144,3 +144,15 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The ten nearest vectors of every hundredth vector."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op5_vector_dedup")
+def vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links, component and decision of every vector, among vectors of its label."""
+    return vectordedup.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op7_near_documents")
+def near_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, links and decision of every document."""
+    return textdedup.near_documents(table(spark, folder, "documents")).drop("h", "g")
