@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ardoise.llm import neighbours, packing
 from ardoise.llm import pages as web
-from ardoise.llm import pieces, pii
+from ardoise.llm import passages, pieces, pii
 from ardoise.llm import quality, textdedup
 from ardoise.llm import urls, vectordedup
 from ardoise.llm.common import table
@@ -156,3 +156,9 @@ def vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Class, links and decision of every document."""
     return textdedup.near_documents(table(spark, folder, "documents")).drop("h", "g")
+
+
+@query("op6_repeated_passages")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """What repeated strings of 100 bytes take away from every document."""
+    return passages.remove_repeats(table(spark, folder, "documents"))
