@@ -28,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
@@ -345,7 +346,7 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
     """The rows of ``df`` with the repeated bytes taken out of ``text``; a character cut at an edge goes whole."""
 
     @F.pandas_udf("string")
-    def cut(whole, spans):
+    def cut(whole: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for t, found in zip(whole, spans):
             if t is None or found is None:
@@ -353,7 +354,7 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
                 continue
             data = t.encode()
             out.append(keep(data, merged([(x["s"], x["e"]) for x in found], len(data))).decode(errors="ignore"))
-        return type(whole)(out)
+        return pd.Series(out, dtype=object)
 
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))

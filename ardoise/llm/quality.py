@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -182,28 +183,50 @@ class Grader:
     weight: np.ndarray
     thresholds: np.ndarray
 
-    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
-        """``key``, expected grade, probability of the highest grade, and whether the text is kept."""
+    def _tails(self):
+        """A function from texts to the probabilities of reaching each threshold."""
         slot = np.zeros(WORDS + SHAPES, np.int64)
         slot[self.index] = np.arange(1, len(self.index) + 1)
-        weight, thresholds, grades = np.concatenate([[0.0], self.weight]), self.thresholds, np.array(self.grades, float)
+        weight, thresholds = np.concatenate([[0.0], self.weight]), self.thresholds
+
+        def tails(codes: _Codes, many: Iterable[str]) -> np.ndarray:
+            found = [codes.of(x) for x in many]
+            margin = np.array([OCCURS * weight[a].sum() + SHARE * (weight[b] @ s) for a, b, s in found])
+            return _odds(margin[:, None] - thresholds)
+
+        return slot, tails
+
+    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
+        """``key``, expected grade, probability of the highest grade, and whether the text is kept."""
+        (slot, tails), grades, fitted = self._tails(), np.array(self.grades, float), len(self.thresholds) > 0
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = _Codes(slot)
             for batch in it:
-                n = batch.num_rows
-                if len(thresholds):
-                    found = [codes.of(x.as_py()) for x in batch["text"]]
-                    margin = np.array([OCCURS * weight[a].sum() + SHARE * (weight[b] @ s) for a, b, s in found])
-                    tails = _odds(margin[:, None] - thresholds)
-                    expected, top = pa.array(grades[0] + tails @ np.diff(grades)), tails[:, -1]
+                if fitted:
+                    p = tails(codes, (x.as_py() for x in batch["text"])) if batch.num_rows else np.zeros((0, len(grades) - 1))
+                    expected, top = pa.array(grades[0] + p @ np.diff(grades)), p[:, -1]
                 else:
-                    expected, top = pa.nulls(n, pa.float64()), np.ones(n)
+                    expected, top = pa.nulls(batch.num_rows, pa.float64()), np.ones(batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch["id"], expected, pa.array(top), pa.array(top >= sure)], schema=SCORES)
 
         rows = texts(df, key, text).select(F.col("id").cast("long"), "text")
         return rows.mapInArrow(run, to_spark(SCORES)).withColumnRenamed("id", key)
 
+    def keeps(self, text: Column, sure: float = SURE) -> Column:
+        """Whether a text is kept, as a condition on the rows where they lie."""
+        slot, tails = self._tails()
+        if not len(self.thresholds):
+            return F.lit(True)
+
+        @F.pandas_udf("boolean")
+        def kept(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            codes = _Codes(slot)
+            for part in parts:
+                yield pd.Series(tails(codes, part)[:, -1] >= sure if len(part) else [], dtype=bool)
+
+        return kept(F.coalesce(text, F.lit("")))
+
 
 def fit_grader(
     df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", grade: str = "grade", rated: int = RATED

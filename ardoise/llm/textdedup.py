@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ardoise.llm.blocks import block_pairs, parts, runs
-from ardoise.llm.common import texts, to_spark
+from ardoise.llm.common import join_lookup, texts, to_spark
 from ardoise.llm.components import components
 from ardoise.sources.workdir import materialise
 
@@ -286,3 +286,19 @@ def near_documents(
         F.col("id").alias(key), F.col("hash").alias("h"), "g", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
     )
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """The rows of ``df`` with one document of each class; rows without a key stay."""
+    columns, by = df.columns, ["_id", "_h", "_g"]
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.withColumns({"_id": F.col(key).cast("long"), "_h": F.xxhash64(t), "_g": F.hash(t)})
+    near = near_documents(df, key, text, **parameters).where(F.col(key).isNotNull())
+    near = materialise(near.select(F.col(key).alias("_id"), F.col("h").alias("_h"), F.col("g").alias("_g"), "kept"), "near")
+    gone = materialise(near.where(~F.col("kept")).select(by).distinct(), "gone")
+    left = join_lookup(rows, gone, by, "left_anti")
+    again = materialise(near.where("kept").groupBy(by).count().where("count > 1").select(by), "again")
+    if again.limit(1).count():  # the same row several times
+        once = left.join(again, by, "left_semi").dropDuplicates(by)
+        left = left.join(again, by, "left_anti").unionByName(once)
+    return left.select(*[F.col(f"`{c}`") for c in columns])
