@@ -248,4 +248,4 @@ def fit_grader(
     made = rows.coalesce(1).mapInArrow(_fit(len(grades) - 1), to_spark(MODEL)).collect()
     if not made:
         return none
-    return Grader(grades, *(np.array(made[0][c]) for c in ("index", "weight", "thresholds")))
+    return Grader(grades, np.array(made[0]["index"], int), np.array(made[0]["weight"], float), np.array(made[0]["thresholds"], float))
