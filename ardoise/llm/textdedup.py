@@ -273,7 +273,7 @@ def near_documents(
     clusters = components(alike.select(F.col("id").alias("a"), F.col("root").alias("b")))
     clusters = clusters.unionByName(clusters.select(F.col("component").alias("id"), "component").distinct())
     members = materialise(clusters.join(classes.select("id", "h", "g", "times"), "id"), "members")
-    whole = plain.join(members, ["id", "h", "g"]).select("component", "id", "times", "text")
+    whole = join_lookup(plain, members, ["id", "h", "g"], "inner").select("component", "id", "times", "text")
     links = _compared(whole, ["component"], ["text"], block, _verified(limit, words), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
