@@ -45,7 +45,7 @@ MARKS = frozenset(
 #: These mark boilerplate only outside an article, where a heading may stand in a header of its own.
 OUTSIDE = frozenset("header masthead topbar".split())
 CONTAINERS = frozenset("html body div section article main center td blockquote figure details ul ol dl table tr tbody header".split())
-VOTERS = frozenset("body div section article main center td".split())
+VOTERS = frozenset("html body div section article main center td".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub "
     "sup time tt u var wbr".split()
