@@ -41,7 +41,7 @@ def lr_fit_score(spark: SparkSession, folder: str) -> DataFrame:
 def rf_fit_score(spark: SparkSession, folder: str) -> DataFrame:
     data = prepared(spark, folder)
     features = data.preparation.features
-    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5)
     return models.predict(model, models.vectors(data.valid, features, KEY, LABEL)).drop("features")
 
 
@@ -57,7 +57,7 @@ def grid_cv(spark: SparkSession, folder: str) -> DataFrame:
 def tree_error_curve(spark: SparkSession, folder: str) -> DataFrame:
     """Validation error of the first 10, 20, .. 200 trees of one forest."""
     data = prepared(spark, folder)
-    model = models.forest(vectors_of(spark, folder), n_estimators=200, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=200)
     held = models.vectors(data.valid, data.preparation.features, LABEL)
     return models.tree_error_curve(model, held, range(10, 201, 10))
 
@@ -73,19 +73,19 @@ def global_importance(spark: SparkSession, folder: str) -> DataFrame:
 @query("rf_importance")
 def rf_importance(spark: SparkSession, folder: str) -> DataFrame:
     data = prepared(spark, folder)
-    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5, max_depth=12)
+    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5)
     table = explain.importance_table(spark, data.preparation.features, model.featureImportances.toArray())
     return explain.forest_importance(table)
 
 
 @query("local_surrogate")
 def local_surrogate(spark: SparkSession, folder: str) -> DataFrame:
-    """Five heaviest features per test request by a local regression around it."""
+    """Ten heaviest features per test request by a local regression around it."""
     data, lr = prepared(spark, folder), scorer(spark, folder).pipeline.stages[-1]
     features = data.preparation.features
     bg = explain.background(data.valid, features)
     return explain.local_surrogate(
-        data.test, KEY, features, bg, lr.coefficients.toArray(), float(lr.intercept), n=5, samples=500
+        data.test, KEY, features, bg, lr.coefficients.toArray(), float(lr.intercept)
     )
 
 

@@ -13,9 +13,6 @@ from ardoise.functions.aggspec import dummy_columns, dummy_name
 from ardoise.operators.ranges import running_totals
 from ardoise.operators.skew import lookup_join
 
-# Each category becomes a column; a plan beyond this many is refused, never cut.
-MAX_CATEGORIES = 10_000
-
 Categories = dict[str, list]
 
 
@@ -45,15 +42,20 @@ def discover_categories(
     df: DataFrame,
     columns: Sequence[str] | None = None,
     nan_category: bool = True,
-    max_categories: int = MAX_CATEGORIES,
+    max_categories: int | None = None,
 ) -> Categories:
     """Sorted categories per column.  With ``nan_category`` each list ends with ``None``, the category of
-    missing values, whether or not any value is missing."""
+    missing values, whether or not any value is missing.
+
+    Each category becomes a column of a plan.  A caller who wants to be told when that gets too wide gives
+    ``max_categories``: more are an error, never cut.
+    """
     columns = categorical_columns(df) if columns is None else list(columns)
     found: Categories = {c: [] for c in columns}
     if columns:
-        rows = category_pairs(df, columns).limit(max_categories + 1).collect()
-        if len(rows) > max_categories:
+        pairs = category_pairs(df, columns)
+        rows = (pairs if max_categories is None else pairs.limit(max_categories + 1)).collect()
+        if max_categories is not None and len(rows) > max_categories:
             raise ValueError(
                 f"more than {max_categories} categories in {columns}: one column each is too wide; "
                 "leave such columns out or raise max_categories"

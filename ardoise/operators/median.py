@@ -84,13 +84,28 @@ def exact_medians(
 
 
 def _middle_values(df: DataFrame, brackets: Mapping[str, tuple[int, float, float]]) -> dict[str, float]:
+    """Medians of the columns whose bracket holds the middle ranks.
+
+    Where both ends of a bracket are equal, as for flags and mostly-zero columns, the median is decided by two
+    counts and no value travels.
+    """
     names = list(brackets)
     below, cells = [], []
     for i, c in enumerate(names):
         v, low, high = f"cast({quoted(c)} as double)", double_literal(brackets[c][1]), double_literal(brackets[c][2])
         below.append(f"count(case when {v} < {low} then 1 end) as b{i}")
+        if brackets[c][1] == brackets[c][2]:
+            below.append(f"count(case when {v} = {low} then 1 end) as e{i}")
+            continue
         cells.append(f"named_struct('i', {i}, 'v', case when {v} between {low} and {high} then {v} end)")
     under = df.agg(*[F.expr(b) for b in below]).first()
+    found = {}
+    for i, c in enumerate(names):
+        filled, low, high = brackets[c]
+        if low == high and under[f"b{i}"] <= (filled - 1) // 2 and filled // 2 < under[f"b{i}"] + under[f"e{i}"]:
+            found[c] = float(low)
+    if not cells:
+        return found
     inside = df.selectExpr(f"inline(filter(array({', '.join(cells)}), x -> x.v is not null)) as (i, v)")
     counts = inside.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k"))
     # A bracket holds a fixed small share of the ranks, so one column's window is bounded.
@@ -107,7 +122,7 @@ def _middle_values(df: DataFrame, brackets: Mapping[str, tuple[int, float, float
         return F.max(F.when((start <= F.col(rank)) & (F.col(rank) <= last), F.col("v")))
 
     rows = placed.groupBy("i").agg(at("lo").alias("lo"), at("hi").alias("hi")).collect()
-    return {
+    return found | {
         names[r["i"]]: (r["lo"] + r["hi"]) / 2.0
         for r in rows
         if r["lo"] is not None and r["hi"] is not None

@@ -3,7 +3,6 @@ folds."""
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -37,8 +36,13 @@ LR_GRID = {"C": [0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"]}
 
 
 def rf_grid(n_features: int) -> dict[str, list]:
-    """The grid of the random forest; depths follow from the number of features."""
-    depths = [n_features // 2, n_features // 3, n_features // 4]
+    """The grid of the random forest; depths follow from the number of features.
+
+    The grid asks for a half, a third and a quarter of that number.  Where a half is deeper than Spark's trees
+    go, the three keep their ratios below the deepest tree, so that no two combinations are the same model.
+    """
+    deepest = max(3, min(n_features // 2, MAX_DEPTH))
+    depths = [deepest, deepest * 2 // 3, deepest // 2]
     return {"n_estimators": [50, 70, 90], "min_samples_leaf": [2, 5, 10], "max_depth": depths}
 
 
@@ -51,17 +55,6 @@ def vectors(df: DataFrame, features: Sequence[str], *keep: str) -> DataFrame:
     return assembler(features).transform(df).select(*keep, "features")
 
 
-# Training data is read once per iteration: partitions smaller than this cost more in scheduling than they
-# gain in parallelism.
-PARTITION_BYTES = 32 * 1024 * 1024
-
-
-def compact(rows: DataFrame, count: int) -> DataFrame:
-    """Fewer, fuller partitions for small training data; large data keeps the partitions it has."""
-    size = rows.schema["features"].metadata.get("ml_attr", {}).get("num_attrs", 1_000)
-    return rows.coalesce(max(1, math.ceil(count * size * 8 / PARTITION_BYTES)))
-
-
 def dummy_scores(train: DataFrame, scored: DataFrame, label: str = LABEL) -> DataFrame:
     """Baseline: every row gets the most frequent training class (the smaller one on a tie)."""
     counts = train.groupBy(F.col(label).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
@@ -75,19 +68,22 @@ def logistic(rows: DataFrame, C: float = 1.0, penalty: str = "l2", weight: str =
     ``regParam`` is over the weighted mean, hence the division."""
     if penalty not in ("l1", "l2"):
         raise ValueError("penalty must be 'l1' or 'l2'")
-    total, count = rows.agg(F.sum(weight), F.count(F.lit(1))).first()
+    total = rows.agg(F.sum(weight)).first()[0]
     return LogisticRegression(
         labelCol=label, weightCol=weight, maxIter=max_iter, tol=1e-6, standardization=False,
         regParam=1.0 / (C * total), elasticNetParam=1.0 if penalty == "l1" else 0.0,
-    ).fit(compact(rows, count))
+    ).fit(rows)
 
 
 def forest(rows: DataFrame, n_estimators: int = 100, min_samples_leaf: int = 1, max_depth: int = MAX_DEPTH,
            weight: str = "weight", label: str = LABEL) -> RandomForestClassificationModel:
-    """Weighted random forest with square-root feature subsets; depth is capped at Spark's limit."""
+    """Weighted random forest with square-root feature subsets.  Spark's trees have a greatest depth; asking
+    for a deeper one is an error."""
+    if max_depth > MAX_DEPTH:
+        raise ValueError(f"max_depth is {max_depth}; Spark's trees are at most {MAX_DEPTH} deep")
     return RandomForestClassifier(
         labelCol=label, weightCol=weight, numTrees=n_estimators, minInstancesPerNode=min_samples_leaf,
-        maxDepth=min(int(max_depth), MAX_DEPTH), featureSubsetStrategy="sqrt", seed=SEED,
+        maxDepth=int(max_depth), featureSubsetStrategy="sqrt", seed=SEED,
         maxMemoryInMB=512,
     ).fit(rows)
 

@@ -26,7 +26,6 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 2_048
 VISITOR_ROWS = 8_192
-MAX_RANGES = 65_536
 
 
 def block_candidates(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -72,12 +71,12 @@ def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
         return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.sqrt(size)
 
     placed = points.select("id", "x", on_line(F.col("x"), F.size("x")).alias("p"))
-    ranges = min(MAX_RANGES, placed.count() // block_rows + 1)
+    ranges = placed.count() // block_rows + 1
     bounds = range_bounds(placed, "p", ranges)
     ranged = with_range(placed, "p", bounds, "range")
     # A range where many points share one projection is cut by hash, so no block outgrows its size.
     cuts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("cuts"))
-    # At most MAX_RANGES rows.
+    # One row per block.
     cuts = F.broadcast(cuts)
     blocks = ranged.join(cuts, "range").withColumn(
         "cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")

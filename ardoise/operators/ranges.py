@@ -12,7 +12,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_RANGES = 1024
 ROWS_PER_RANGE = 50_000
 
 
@@ -20,7 +19,7 @@ def range_bounds(df: DataFrame, column: str, ranges: int | None = None) -> list[
     """Increasing boundaries that cut the rows into about equal parts; constants, so that every later
     pass puts a row in the same range."""
     if ranges is None:
-        ranges = min(MAX_RANGES, df.count() // ROWS_PER_RANGE + 1)
+        ranges = df.count() // ROWS_PER_RANGE + 1
     if ranges <= 1:
         return []
     steps = [i / ranges for i in range(1, ranges)]

@@ -38,8 +38,10 @@ def synthetic_rows(
     # Copies of a point are neighbours at distance 0 and come before all others.
     numbered = running_totals(rows.select(F.col(key).cast("bigint").alias("source")).withColumn("_one", F.lit(1)),
                               "source", ["_one"])
-    i, share = F.col("_one_upto") - 1, F.lit(missing) / F.lit(few)
-    times = (F.floor((i + 1) * share) - F.floor(i * share)).cast("int")
+    # Whole numbers: shares in doubles would lose a row now and then.
+    upto = f"cast(_one_upto as decimal(19,0)) * {missing}BD div {few}"
+    before = f"cast(_one_upto - 1 as decimal(19,0)) * {missing}BD div {few}"
+    times = F.expr(f"cast(({upto}) - ({before}) as int)")
     x = point(features)
     bases = rows.select(F.col(key).cast("bigint").alias("source"), x.alias("x")).join(
         numbered.select("source", times.alias("times")), "source"

@@ -58,18 +58,20 @@ def stratified_folds(
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """(label, n, weight) with weight = rows / (classes * rows of the class)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    """(label, n, weight) with weight = rows / (classes * rows of the class).  Rows without a label count for
+    no class."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").cast("double").alias("t"), F.count(F.lit(1)).alias("k"))
     both = total.select(F.struct("t", "k")).scalar()
     return counts.withColumn("weight", both["t"] / (both["k"] * F.col("n")))
 
 
 def add_class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Attach the balanced weight of the row's class."""
+    """Attach the balanced weight of the row's class; NULL for a row without a label."""
     rows = {r[label]: r["weight"] for r in class_weights(df, label).collect()}
     pairs = [F.lit(x) for value, weight in rows.items() for x in (value, weight)]
-    return df.withColumn(output, F.create_map(*pairs)[F.col(label)])
+    weight = F.create_map(*pairs)[F.col(label)] if pairs else F.lit(None).cast("double")
+    return df.withColumn(output, F.when(F.col(label).isNotNull(), weight))
 
 
 def pick_row(df: DataFrame, key: str) -> DataFrame:

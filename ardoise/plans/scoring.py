@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +51,16 @@ class Scorer:
         row = spark.read.schema("Threshold double").json(f"{path}/threshold").first()
         return cls(PipelineModel.load(f"{path}/pipeline"), row["Threshold"])
 
+    def features(self) -> list[str]:
+        """Features in the order of the pipeline's vector."""
+        vector = next(s for s in self.pipeline.stages if isinstance(s, VectorAssembler))
+        return [c.removeprefix("s_") for c in vector.getInputCols()]
+
     def probabilities(self, wide: DataFrame, *keep: str) -> DataFrame:
+        """Probability of class 1.  A feature that the table lacks, because no applicant in it has that category,
+        is 0, as for any applicant without it; columns that the pipeline does not know are ignored."""
+        absent = {c: F.lit(0.0) for c in self.features() if c not in wide.columns}
+        wide = wide.withColumns(absent) if absent else wide
         return self.pipeline.transform(wide).select(*keep, vector_to_array("probability")[1].alias("p"))
 
     def decisions(self, wide: DataFrame, key: str = KEY) -> DataFrame:

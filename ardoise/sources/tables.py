@@ -8,35 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ardoise.functions.aggspec import quoted
+
 # Fixed value: encoding of the column dictionary file.
 DICTIONARY_ENCODING = "ISO-8859-1"
 
-# Columns that FIXTURES.md names; further columns of a file follow from its header.
-KEYS = {"SK_ID_CURR", "SK_ID_BUREAU", "SK_ID_PREV"}
-STRINGS = {
-    "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "CREDIT_ACTIVE", "CREDIT_CURRENCY", "CREDIT_TYPE", "STATUS",
-    "OCCUPATION_TYPE", "ORGANIZATION_TYPE", "WEEKDAY_APPR_PROCESS_START",
-}
-STRING_PREFIXES = ("NAME_", "CODE_")
-STRING_SUFFIXES = ("_MODE",)
-
-
-def declared_type(column: str, strings: Sequence[str] = ()) -> T.DataType:
-    """Type of a column by its name: keys are long, TARGET is int, named categories are strings, all other
-    columns are numbers."""
-    if column in KEYS:
-        return T.LongType()
-    if column == "TARGET":
-        return T.IntegerType()
-    if column in STRINGS or column in strings or column.startswith(STRING_PREFIXES):
-        return T.StringType()
-    return T.DoubleType()
+# Types that a column may turn out to have, narrowest first.
+TYPES = {"bigint": T.LongType(), "double": T.DoubleType()}
 
 
 def csv_schema(spark: SparkSession, path: str, strings: Sequence[str] = ()) -> T.StructType:
-    """Schema from the header line; no pass over the data to infer it."""
-    header = spark.read.option("header", True).csv(path).columns
-    return T.StructType([T.StructField(c, declared_type(c, strings)) for c in header])
+    """Schema of a CSV file from its values, in one aggregate over the file read as text: the narrowest of whole
+    number, number and text that holds every value of a column.  Columns in ``strings`` stay text; a column
+    without values is a number.  Keep the schema (``schema.json()``) and pass it to later reads."""
+    raw = spark.read.option("header", True).csv(path)
+    cells = []
+    for i, c in enumerate(raw.columns):
+        cells.append(f"count({quoted(c)}) as n{i}")
+        cells += [f"count(try_cast({quoted(c)} as {t})) as {t}{i}" for t in TYPES]
+    seen = raw.agg(*[F.expr(x) for x in cells]).first()
+
+    def kind(i: int, c: str) -> T.DataType:
+        if c in strings:
+            return T.StringType()
+        if not seen[f"n{i}"]:
+            return T.DoubleType()
+        return next((k for t, k in TYPES.items() if seen[f"{t}{i}"] == seen[f"n{i}"]), T.StringType())
+
+    return T.StructType([T.StructField(c, kind(i, c)) for i, c in enumerate(raw.columns)])
 
 
 def null_nan(df: DataFrame) -> DataFrame:
@@ -48,9 +47,10 @@ def null_nan(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, strings: Sequence[str] = ()) -> DataFrame:
-    """A loan table from CSV with header.  Pass the schema, or the names of further text columns."""
+    """A table from CSV with header.  Without a schema the types come from the values (``csv_schema``), text for
+    the columns in ``strings`` whatever their values.  A value that does not fit the schema is an error."""
     schema = csv_schema(spark, path, strings) if schema is None else schema
-    return null_nan(spark.read.schema(schema).option("header", True).csv(path))
+    return null_nan(spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

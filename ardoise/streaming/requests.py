@@ -4,8 +4,10 @@ table of features."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ardoise.functions.exprs import decide
 from ardoise.plans.scoring import Scorer
 from ardoise.plans.specs import KEY
 
@@ -23,9 +25,20 @@ def request_stream(
     return reader.load(folder)
 
 
+# Answer to a request about an applicant without features.
+UNKNOWN = "Inconnue"
+
+
 def decide_stream(requests: DataFrame, wide: DataFrame, scorer: Scorer, key: str = KEY) -> DataFrame:
-    """One decision per request with known features."""
-    return scorer.decisions(requests.select(key).join(wide, key), key)
+    """One answer per request: the decision, or ``UNKNOWN`` without a probability where no features are known."""
+    known = requests.select(key).join(wide.withColumn("_known", F.lit(True)), key, "left")
+    scored = scorer.probabilities(known, key, "_known")
+    sure = F.col("_known").isNotNull()
+    return scored.select(
+        key,
+        F.when(sure, decide("p", scorer.threshold)).otherwise(F.lit(UNKNOWN)).alias("rep"),
+        F.when(sure, F.round("p", 2)).alias("proba"),
+    )
 
 
 def write_decisions(

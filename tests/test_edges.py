@@ -158,6 +158,13 @@ def test_csv_reading(spark, tmp_path):
     df = tables.read_csv(spark, str(tmp_path / "t.csv"))
     assert dict(df.dtypes) == {"SK_ID_CURR": "bigint", "NAME_X": "string", "AMT": "double"}
     assert [tuple(r) for r in df.orderBy("SK_ID_CURR").collect()] == [(1, "é", 2.5), (2, None, None)]
+    (tmp_path / "u.csv").write_text("CHANNEL_TYPE,N,EMPTY,FEW\nweb,1,,\nshop,2.5,,7\n", encoding="utf-8")
+    df = tables.read_csv(spark, str(tmp_path / "u.csv"))
+    assert dict(df.dtypes) == {"CHANNEL_TYPE": "string", "N": "double", "EMPTY": "double", "FEW": "bigint"}
+    assert [tuple(r) for r in df.orderBy("N").collect()] == [("web", 1.0, None, None), ("shop", 2.5, None, 7)]
+    (tmp_path / "u.csv").write_text("CHANNEL_TYPE,N,EMPTY,FEW\nweb,many,,\n", encoding="utf-8")
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        tables.read_csv(spark, str(tmp_path / "u.csv"), df.schema).collect()
     (tmp_path / "d.csv").write_bytes("Row,Description\nA,d\xe9j\xe0\n".encode("latin-1"))
     assert tables.read_dictionary(spark, str(tmp_path / "d.csv")).first()["Description"] == "déjà"
 
@@ -250,3 +257,24 @@ def test_oversampling_evens_out_and_stays_between(spark):
     pd.testing.assert_frame_equal(
         new.sort_values(list("abck"), ignore_index=True), again.sort_values(list("abck"), ignore_index=True)
     )
+
+
+@pytest.mark.parametrize("few,many", [(49, 50), (7, 20), (3, 10)])
+def test_oversampling_makes_every_missing_row(spark, few, many):
+    rng = np.random.default_rng(few)
+    pdf = pd.DataFrame(rng.random((few + many, 2)), columns=list("ab")).assign(k=range(few + many), y=[1] * few + [0] * many)
+    assert smote.synthetic_rows(spark.createDataFrame(pdf), "y", "k", list("ab")).count() == many - few
+
+
+def test_rows_without_a_label_have_no_weight(spark):
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, None)], "k int, y int")
+    got = {r.k: r.weight for r in split.add_class_weights(df, "y").collect()}
+    assert got == {1: 0.75, 2: 0.75, 3: 1.5, 4: None}
+
+
+def test_medians_of_flags_send_no_values(spark):
+    df = spark.range(1000).selectExpr("cast(id % 3 = 0 as int) as flag", "case when id % 7 = 0 then 1.0 else 0.0 end as mostly", "cast(id as double) as x")
+    stats = median.column_stats(df, ["flag", "mostly", "x"])
+    assert stats["flag"].bracket == (0.0, 0.0) and stats["mostly"].bracket == (0.0, 0.0)
+    assert median.exact_medians(df, ["flag", "mostly", "x"]) == {"flag": 0.0, "mostly": 0.0, "x": 499.5}
+    assert median._middle_values(df, {"flag": (1000, 0.0, 0.0), "x": (1000, 0.0, 0.0)}) == {"flag": 0.0}

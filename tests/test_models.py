@@ -79,7 +79,10 @@ def test_grid_search(data, imbalance):
 
 def test_forest_error_curve_ends_at_the_forest(data):
     rows = models.vectors(add_class_weights(data.train, "TARGET"), FEATURES, "TARGET", "weight")
-    model = models.forest(rows, n_estimators=12, max_depth=60)
+    model = models.forest(rows, n_estimators=12)
+    with pytest.raises(ValueError):
+        models.forest(rows, max_depth=models.MAX_DEPTH + 1)
+    assert all(len(set(models.rf_grid(n)["max_depth"])) == 3 for n in (6, 40, 228))
     held = models.vectors(data.valid, FEATURES, "TARGET")
     curve = {r["n"]: r["error"] for r in models.tree_error_curve(model, held, [4, 8, 12]).collect()}
     whole = models.predict(model, held).agg(F.avg((F.col("prediction") != F.col("TARGET")).cast("int"))).first()[0]
