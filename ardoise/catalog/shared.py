@@ -32,6 +32,12 @@ def _once(store: dict, spark: SparkSession, folder: str, make):
     return store[at]
 
 
+def forget() -> None:
+    """Later queries make their shared tables anew."""
+    for store in (_WIDE, _PREPARED, _VECTORS, _SCORERS):
+        store.clear()
+
+
 def wide_table(spark: SparkSession, folder: str) -> DataFrame:
     return _once(_WIDE, spark, folder, lambda: materialise(wide_features(loan_tables(spark, folder)), "features"))
 

@@ -4,6 +4,7 @@ import pytest
 from check_oracle import differences, oracle_connection
 
 import __spark_entry__ as entry
+from ardoise import catalog
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -25,3 +26,9 @@ def test_entry(spark):
 
 def test_oracle_keys_are_queries():
     assert set(ORACLE) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(ORACLE)))
+def test_queries_without_sql_run(spark, folder, name):
+    df = QUERIES[name](spark, folder)
+    assert df.count() > 0 and len(df.columns) > 1
