@@ -146,13 +146,47 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
 
 
-@query("op5_vector_dedup")
+VECTORS_SQL = """
+with recursive v as (
+    select vec_id, label, cast(embedding as double[]) e from embeddings
+    where label is not null and vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (
+    select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+    where list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) c from reach group by a),
+n as (select a, count(*) n from links group by a)
+select vec_id, coalesce(n.n, 0) n_links, coalesce(least(vec_id, c), vec_id) component_id, coalesce(least(vec_id, c), vec_id) = vec_id kept
+from embeddings left join n on n.a = vec_id left join low on low.a = vec_id
+"""
+
+
+@query("op5_vector_dedup", VECTORS_SQL)
 def vector_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links, component and decision of every vector, among vectors of its label."""
     return vectordedup.near_vectors(table(spark, folder, "embeddings"))
 
 
-@query("op7_near_documents")
+NEAR_SQL = """
+with recursive w as (
+    select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\v\\f]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' '))) x from w where len(w) > 0),
+bag as (select doc_id, x, count(*) k from s group by all),
+total as (select doc_id, sum(k) t from bag group by all),
+pairs as (
+    select a.doc_id a, b.doc_id b, sum(least(a.k, b.k)) o from bag a join bag b on a.x = b.x and a.doc_id <> b.doc_id group by all),
+links as (
+    select a, b from pairs join total p on p.doc_id = a join total q on q.doc_id = b where o * 10 >= 8 * (p.t + q.t - o)),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on l.a = r.b),
+low as (select a, min(b) c from reach group by a),
+n as (select a, count(*) n from links group by a)
+select doc_id, coalesce(least(doc_id, c), doc_id) class_id, coalesce(n.n, 0) n_links, coalesce(least(doc_id, c), doc_id) = doc_id kept
+from documents left join n on n.a = doc_id left join low on low.a = doc_id
+"""
+
+
+@query("op7_near_documents", NEAR_SQL)
 def near_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Class, links and decision of every document."""
     return textdedup.near_documents(table(spark, folder, "documents")).drop("h", "g")
