@@ -41,7 +41,7 @@ OCCURS, SHARE = 1.0, 16.0
 #: A text is kept when it has the highest grade with at least this probability.
 SURE = 0.5
 #: Remembered words of a worker process; all are forgotten beyond it, to bound the memory.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 RUNS = [(re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[0-9]+"), "9")]

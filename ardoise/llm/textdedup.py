@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.llm.blocks import block_pairs, parts, runs
+from ardoise.llm.blocks import block_pairs, linked, parts, runs
 from ardoise.llm.common import join_lookup, texts, to_spark
 from ardoise.llm.components import components
 from ardoise.sources.workdir import materialise
@@ -41,8 +41,10 @@ BANDS, ROWS = 24, 4
 CLEARLY = 0.6
 #: Documents of a block; a pair of blocks is compared by one task at once.
 BLOCK = 1024
+#: Bytes of text of a block of documents, about.
+BLOCK_BYTES = 3 << 20
 #: Bytes of text that are hashed together.
-STEP = 2 << 20
+STEP = 1 << 20
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -171,7 +173,7 @@ def _sign(size: int, words: int):
 
 def _links(ids: np.ndarray, times: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     some = link.any(1)
-    return ids[some], (link @ times)[some], parts(link, ids)[some]
+    return ids[some], linked(link, times)[some], parts(link, ids)[some]
 
 
 def _tasks(by: list[str], link_of):
@@ -239,7 +241,8 @@ def _verified(limit: float, words: int):
 
 def _compared(rows: DataFrame, by: list[str], columns: list[str], block: int, link_of, name: str) -> DataFrame:
     order = [*by, "first", "second"]
-    cut = block_pairs(rows, by, block).select(*order, "id", "times", "block", *columns)
+    bulk = F.octet_length("text") if "text" in columns else None
+    cut = block_pairs(rows, by, block, bulk, BLOCK_BYTES).select(*order, "id", "times", "block", *columns)
     found = cut.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tasks(by, link_of), to_spark(LINKED))
     return materialise(found, name)
 
