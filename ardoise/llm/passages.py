@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,7 @@ NULL = -(1 << 63)
 MARKS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("to", pa.int32())])
 EDGES = pa.schema([("core", pa.int64()), ("id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
 SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
+PACKED = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("packed", pa.binary())])
 STRINGS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32())])
 
 
@@ -130,52 +132,77 @@ def _marks(length: int, reach: int):
     return run
 
 
-def _edges(length: int, reach: int, each: bool):
-    """Surroundings of a document's anchors: the half before and the half after, each with the core all its strings hold.
+def _packed(rows: DataFrame) -> DataFrame:
+    """id, tie and the compressed bytes of the text, for a shuffle."""
 
-    ``each``: every string of the surroundings by its hashes instead.
-    """
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in it:
+            data = [squeeze.compress(x.as_py()) for x in batch["text"].cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["tie"], pa.array(data, pa.binary())], schema=PACKED)
+
+    return rows.select("id", "tie", "text").mapInArrow(run, to_spark(PACKED))
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    expand = zstandard.ZstdDecompressor()
+    for x in column:
+        yield expand.decompress(x.as_py())
+
+
+def _strings(length: int, reach: int):
+    """Every string of the surroundings of a document's anchors, by its hashes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = []
+            for row, data in enumerate(_unpacked(batch["packed"])):
+                place = np.unique(batch["places"][row].values.to_numpy().astype(np.int64))
+                hashes = Hashes(np.frombuffer(data, np.uint8))
+                at = np.unique((place[:, None] - np.arange(reach + 1)).ravel())
+                at = at[(at >= 0) & (at <= len(data) - length)]
+                found.append((_signed(hashes.of(at, at + length)), _signed(mix(hashes.of(at, at + length // 2))), np.full(len(at), row), at))
+            if found:
+                h, g, rows, at = (np.concatenate(x) for x in zip(*found))
+                rows = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h), pa.array(g), batch["id"].take(rows), batch["tie"].take(rows), pa.array(at.astype(np.int32))], schema=STRINGS
+                )
+
+    return run
+
+
+def _edges(length: int, reach: int):
+    """Surroundings of a document's anchors: the half before and the half after, each with the core all its strings hold."""
     half = reach // 2
+    # Strings that start at least ``half`` before the anchor hold [p - half, p + length - reach); the others hold
+    # [p, p + length - half).
+    halves = ((-reach, -half, -half, length - reach), (-half, 0, 0, length - half))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             core, row_, at_, bytes_ = [], [], [], []
-            strings = []
-            column = batch["text"].cast(pa.binary())
-            for row in range(batch.num_rows):
-                data = column[row].as_py()
+            for row, data in enumerate(_unpacked(batch["packed"])):
                 place = np.unique(batch["places"][row].values.to_numpy().astype(np.int64))
-                array = np.frombuffer(data, np.uint8)
-                n = len(data)
-                hashes = Hashes(array)
-                if each:
-                    at = np.unique(np.concatenate([np.arange(max(0, p - reach), min(p, n - length) + 1) for p in place]))
-                    strings.append((_signed(hashes.of(at, at + length)), _signed(mix(hashes.of(at, at + length // 2))), np.full(len(at), row), at))
-                    continue
-                # Strings that start at least ``half`` before the anchor hold [p - half, p + length - reach);
-                # the others hold [p, p + length - half).
-                for first, last, low, high in ((-reach, -half, -half, length - reach), (-half, 0, 0, length - half)):
-                    for p in place[(place + low >= 0) & (place + high <= n)].tolist():
-                        s, e = max(0, p + first), min(n, p + last + length)
-                        if e - s >= length:
-                            core.append((p + low, p + high, low))
-                            row_.append(row)
-                            at_.append(s)
-                            bytes_.append(data[s:e])
-                if core and len(core[-1]) == 3:
-                    k = next(i for i in range(len(core)) if len(core[i]) == 3)
-                    a = np.array(core[k:])
-                    core[k:] = [(x,) for x in _signed(hashes.of(a[:, 0], a[:, 1]) ^ mix((a[:, 2] + length).astype(np.uint64))).tolist()]
-            if each:
-                if strings:
-                    h, g, rows, at = (np.concatenate(x) for x in zip(*strings))
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), batch["id"].take(pa.array(rows)), batch["tie"].take(pa.array(rows)), pa.array(at.astype(np.int32))], schema=STRINGS)
-            elif core:
-                rows = pa.array(row_)
+                hashes, n = Hashes(np.frombuffer(data, np.uint8)), len(data)
+                for first, last, low, high in halves:
+                    p = place[(place + low >= 0) & (place + high <= n)]
+                    s, e = np.maximum(0, p + first), np.minimum(n, p + last + length)
+                    fits = e - s >= length
+                    p, s, e = p[fits], s[fits], e[fits]
+                    core.append(_signed(hashes.of(p + low, p + high) ^ mix(np.full(len(p), low + length, np.uint64))))
+                    row_.append(np.full(len(p), row))
+                    at_.append(s)
+                    bytes_ += [data[a:b] for a, b in zip(s.tolist(), e.tolist())]
+            if bytes_:
+                rows = pa.array(np.concatenate(row_))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[0] for c in core]), batch["id"].take(rows), batch["tie"].take(rows), pa.array(at_, pa.int32()), pa.array(bytes_, pa.binary())],
+                    [
+                        pa.array(np.concatenate(core)), batch["id"].take(rows), batch["tie"].take(rows),
+                        pa.array(np.concatenate(at_).astype(np.int32)), pa.array(bytes_, pa.binary()),
+                    ],
                     schema=EDGES,
-                )
+                )
 
     return run
 
@@ -251,12 +278,14 @@ def _shards(length: int):
 def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """Spans of repeated strings: id, tie, s, e (bytes); they may overlap.  ``rows``: id, tie, text."""
     reach = length - GRAM
-    made = rows.mapInArrow(_marks(length, reach), to_spark(MARKS)).repartition("gram")
+    # Sorted once for both windows.
+    made = rows.mapInArrow(_marks(length, reach), to_spark(MARKS)).repartition("gram").sortWithinPartitions("gram", "around")
     near = Window.partitionBy("gram", "around")
     earliest = F.min(F.struct("id", "at")).over(near)
     every = Window.partitionBy("gram")
     seen = made.withColumn("late", F.struct("id", "at") > earliest)
-    seen = seen.withColumns({"n": F.count(F.lit(1)).over(every), "differ": F.min("around").over(every) != F.max("around").over(every)})
+    # Different surroundings of a gram: rows that are the earliest of theirs.
+    seen = seen.withColumn("n", F.sum((~F.col("late")).cast("long")).over(every)).withColumn("differ", F.col("n") > 1)
     tie, at = F.shiftright("at", 32).cast("int").alias("tie"), F.expr("cast(at & 4294967295 as int)")
     span = F.col("to") >= 0
     marks = materialise(
@@ -268,15 +297,16 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
         "marks",
     )
 
-    def at_edges(much: bool, each: bool, schema: pa.Schema) -> DataFrame:
+    def at_edges(much: bool, f, schema: pa.Schema) -> DataFrame:
         wanted = marks.where(~F.col("whole") & (F.col("much") == much)).groupBy("id", "tie").agg(F.collect_list("at").alias("places"))
-        return rows.join(wanted, ["id", "tie"]).select("id", "tie", "places", "text").mapInArrow(_edges(length, reach, each), to_spark(schema))
+        joined = _packed(rows).join(wanted, ["id", "tie"]).select("id", "tie", "places", "packed")
+        return joined.mapInArrow(f(length, reach), to_spark(schema))
 
-    edges = at_edges(False, False, EDGES).repartition("core").sortWithinPartitions("core")
+    edges = at_edges(False, _edges, EDGES).repartition("core").sortWithinPartitions("core")
     spans = [marks.where("whole").select("id", "tie", "s", "e"), edges.mapInArrow(_shards(length), to_spark(SPANS))]
     if marks.where(~F.col("whole") & F.col("much")).limit(1).count():
         # All copies of a string share their gram, so either all its surroundings are here or none.
-        strings = materialise(at_edges(True, True, STRINGS), "strings")
+        strings = materialise(at_edges(True, _strings, STRINGS), "strings")
         first = strings.groupBy("h", "g").agg(F.min(F.struct("id", "tie", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         late = strings.join(first, ["h", "g"]).where(F.struct("id", "tie", "at") > F.col("first"))
         spans.append(late.select("id", "tie", F.col("at").alias("s"), (F.col("at") + length).alias("e")))
@@ -316,50 +346,45 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 DIGESTS = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
-def _runs_of(batch: pa.RecordBatch) -> Iterator[tuple[bytes, list[tuple[int, int]]]]:
-    for data, spans in zip(batch["text"].cast(pa.binary()), batch["spans"].to_pylist()):
-        data = data.as_py()
-        yield data, merged([(x["s"], x["e"]) for x in spans or ()], len(data))
-
-
-def with_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
-    """The rows with their repeated spans gathered."""
-    spans = repeated_spans(rows, length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    return rows.join(spans, ["id", "tie"], "left")
-
-
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
     """``key``, n_bytes, n_removed, n_spans and the digest of the remaining bytes, for every row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rows = []
-            for data, runs in _runs_of(batch):
+            for data, spans in zip(_unpacked(batch["packed"]), batch["spans"].to_pylist()):
+                runs = merged([(x["s"], x["e"]) for x in spans or ()], len(data))
                 rows.append((len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(keep(data, runs)).hexdigest()))
             yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(DIGESTS)[1:]))], schema=DIGESTS)
 
-    out = with_spans(_keyed(df, key, text), length, many).select("id", "text", "spans").mapInArrow(run, to_spark(DIGESTS))
-    return out.select(F.when(F.col("id") != NULL, F.col("id")).alias(key), *DIGESTS.names[1:])
+    rows = _keyed(df, key, text)
+    spans = repeated_spans(rows, length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    found = _packed(rows).join(spans, ["id", "tie"], "left").select("id", "packed", "spans")
+    return found.mapInArrow(run, to_spark(DIGESTS)).select(F.when(F.col("id") != NULL, F.col("id")).alias(key), *DIGESTS.names[1:])
 
 
 def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
     """The rows of ``df`` with the repeated bytes taken out of ``text``; a character cut at an edge goes whole."""
 
+    @F.pandas_udf("binary")
+    def squeezed(texts: pd.Series) -> pd.Series:
+        squeeze = zstandard.ZstdCompressor(level=1)
+        return texts.map(lambda t: None if t is None else squeeze.compress(t.encode()))
+
     @F.pandas_udf("string")
-    def cut(whole: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(whole, spans):
-            if t is None or found is None:
-                out.append(t)
-                continue
-            data = t.encode()
-            out.append(keep(data, merged([(x["s"], x["e"]) for x in found], len(data))).decode(errors="ignore"))
+    def cut(packed: pd.Series, spans: pd.Series) -> pd.Series:
+        expand, out = zstandard.ZstdDecompressor(), []
+        for x, found in zip(packed, spans):
+            data = None if x is None else expand.decompress(x)
+            if data is not None and found is not None:
+                data = keep(data, merged([(y["s"], y["e"]) for y in found], len(data)))
+            out.append(None if data is None else data.decode(errors="ignore"))
         return pd.Series(out, dtype=object)
 
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL)), "_tie": F.hash(t)})
+    rows = df.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL)), "_tie": F.hash(t), "_packed": squeezed(F.col(text))})
     spans = repeated_spans(_keyed(df, key, text), length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     spans = spans.withColumnsRenamed({"id": "_id", "tie": "_tie"})
-    found = rows.join(spans, ["_id", "_tie"], "left").withColumn(text, cut(F.col(text), F.col("_spans")))
+    found = rows.drop(text).join(spans, ["_id", "_tie"], "left").withColumn(text, cut(F.col("_packed"), F.col("_spans")))
     return found.select(*[F.col(f"`{c}`") for c in columns])
