@@ -42,6 +42,11 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "lef
     return df.join(F.broadcast(lookup) if measured <= BROADCAST_BYTES else lookup, on, how)
 
 
+def release() -> None:
+    """Give Arrow's unused memory back: a worker process lives on after its task."""
+    pa.default_memory_pool().release_unused()
+
+
 def to_spark(schema: pa.Schema) -> str:
     """The same schema as Spark's DDL."""
     names = {pa.int64(): "bigint", pa.int32(): "int", pa.int16(): "smallint", pa.string(): "string", pa.binary(): "binary",

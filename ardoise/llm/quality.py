@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.llm.common import texts, to_spark
+from ardoise.llm.common import release, texts, to_spark
 from ardoise.sources.workdir import materialise
 
 #: Rated texts that the model is fitted on, at most (about; a hash chooses them).
@@ -224,6 +224,8 @@ class Grader:
             codes = _Codes(slot)
             for part in parts:
                 yield pd.Series(tails(codes, part)[:, -1] >= sure if len(part) else [], dtype=bool)
+            codes.clear()
+            release()
 
         return kept(F.coalesce(text, F.lit("")))
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ardoise.llm.blocks import block_pairs, linked, parts, runs
-from ardoise.llm.common import join_lookup, texts, to_spark
+from ardoise.llm.common import join_lookup, release, texts, to_spark
 from ardoise.llm.components import components
 from ardoise.sources.workdir import materialise
 
@@ -167,6 +167,7 @@ def _sign(size: int, words: int):
                 sig = (mix(best.view(np.uint64)) >> U(32)).astype(np.uint32).view(np.int32)
                 signed = pa.array([None if e else s for e, s in zip(empty, sig)], SIGNED.field("sig").type)
                 yield pa.RecordBatch.from_arrays([part["id"], part["h"], part["g"], signed], schema=SIGNED)
+        release()
 
     return run
 
@@ -198,6 +199,7 @@ def _tasks(by: list[str], link_of):
                 held, n = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], schema=LINKED)
+        release()
 
     return run
 
