@@ -16,7 +16,8 @@ different with about the same.
 
 Defined results: words are runs of bytes other than ASCII white space.  A null or empty text, one without
 words, and a row with a null key link with nothing, not even each other.  Equal texts are linked.  Rows that
-repeat a key and text are equal texts with one key.  An empty table gives an empty table.  Whole texts are
+repeat a key and text are equal texts with one key.  Different texts of one key are documents of their own; where
+they are near each other, one of them is kept.  An empty table gives an empty table.  Whole texts are
 read, whatever their length; only the named columns are.
 """
 
@@ -249,6 +250,12 @@ def _compared(rows: DataFrame, by: list[str], columns: list[str], block: int, li
     return materialise(found, name)
 
 
+def _with_roots(links: DataFrame) -> DataFrame:
+    """``id`` and ``component`` of all numbers of some links, the smallest ones too."""
+    found = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return found.unionByName(found.select(F.col("component").alias("id"), "component").distinct())
+
+
 def near_documents(
     df: DataFrame,
     key: str = "doc_id",
@@ -263,33 +270,35 @@ def near_documents(
     plain = texts(df, key, text).select(F.col("id").cast("long"), F.xxhash64("text").alias("h"), F.hash("text").alias("g"), "text")
     signed = materialise(plain.mapInArrow(_sign(bands * rows, words), to_spark(SIGNED)), "signed")
     usable = signed.where("sig is not null and id is not null")
-    classes = materialise(
-        usable.groupBy("h", "g").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"), F.any_value("sig").alias("sig")), "classes"
-    )
+    found = usable.groupBy("h", "g").agg(F.min("id").alias("doc"), F.count(F.lit(1)).alias("times"), F.any_value("sig").alias("sig"))
+    # A class has a number of its own: several classes may have one smallest key.
+    classes = materialise(found.withColumn("id", F.monotonically_increasing_id()), "classes")
     band = [F.xxhash64(F.lit(k), F.slice("sig", k * rows + 1, rows)) for k in range(bands)]
-    posted = classes.select("id", "h", "g", F.posexplode(F.array(*band)).alias("band", "key"))
+    posted = classes.select("id", F.posexplode(F.array(*band)).alias("band", "key"))
     # Buckets with equal members are compared once.
-    member = F.xxhash64("id", "h", "g")
+    member = F.xxhash64("id")
     buckets = posted.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(member).alias("x"), F.min(member).alias("y")).where("n > 1")
     chosen = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.*")
-    inside = materialise(posted.join(chosen, ["band", "key"]).select("band", "key", "id", "h", "g"), "inside")
-    compared = inside.join(classes.select("id", "h", "g", "sig", "times"), ["id", "h", "g"])
+    inside = materialise(posted.join(chosen, ["band", "key"]).select("band", "key", "id"), "inside")
+    compared = inside.join(classes.select("id", "sig", "times"), "id")
     alike = _compared(compared, ["band", "key"], ["sig"], 2 * block, _alike, "alike")
-    clusters = components(alike.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    clusters = clusters.unionByName(clusters.select(F.col("component").alias("id"), "component").distinct())
-    members = materialise(clusters.join(classes.select("id", "h", "g", "times"), "id"), "members")
-    whole = join_lookup(plain, members, ["id", "h", "g"], "inner").select("component", "id", "times", "text")
+    members = materialise(_with_roots(alike).join(classes.select("id", "doc", "h", "g", "times"), "id"), "members")
+    whole = join_lookup(plain.withColumnRenamed("id", "doc"), members, ["doc", "h", "g"], "inner").select("component", "id", "times", "text")
     links = _compared(whole, ["component"], ["text"], block, _verified(limit, words), "links")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
-    roots = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("h", "g", "id", "times").join(counts, "id", "left").join(roots, "id", "left").select(
-        "h", "g", F.coalesce("component", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links")
-    )
+    # The smallest row of each component stands for it.
+    parts_ = materialise(_with_roots(links).join(classes.select("id", "doc", "h", "g"), "id"), "parts")
+    tops = parts_.groupBy("component").agg(F.min(F.struct("doc", "h", "g")).alias("top"))
+    known = classes.select("h", "g", "id", "doc", "times").join(counts, "id", "left").join(parts_.select("id", "component").join(tops, "component"), "id", "left")
+    known = known.select(
+        "h", "g", F.coalesce("top.doc", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+        F.coalesce((F.col("top.h") == F.col("h")) & (F.col("top.g") == F.col("g")), F.lit(True)).alias("stands"),
+    )
     out = signed.select("id", F.when(F.col("sig").isNotNull() & F.col("id").isNotNull(), F.col("h")).alias("h"), "g", F.col("h").alias("hash"))
     out = out.join(materialise(known, "known"), ["h", "g"], "left").withColumn("class_id", F.coalesce("class_id", "id"))
     return out.select(
         F.col("id").alias(key), F.col("hash").alias("h"), "g", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce(F.col("id") == F.col("class_id"), F.lit(True)).alias("kept"),
+        F.coalesce((F.col("id") == F.col("class_id")) & F.coalesce("stands", F.lit(True)), F.lit(True)).alias("kept"),
     )
 
 

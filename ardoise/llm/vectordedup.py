@@ -13,7 +13,8 @@ these parameters (p = 0.851 is the chance that a step of STEP holds both of two
 
 Defined results: vectors with a null label or id, null or zero vectors and vectors with null or non-finite
 components link with nothing; vectors of different length never link.  Equal vectors of one label link with
-each other.  Rows that repeat an id are vectors of their own.  An empty table gives an empty table.  Only the
+each other.  Rows that repeat an id are vectors of their own; where different ones are near each other,
+one is kept.  An empty table gives an empty table.  Only the
 named columns are read.
 """
 
@@ -127,11 +128,11 @@ def near_vectors(
         F.when(takes_part, F.col(label).cast("long")).alias("label"),
         F.when(takes_part, F.col(vector).cast("array<double>")).alias("v"),
     ).withColumns({"h": F.xxhash64("v"), "g": F.hash("v")})
-    classes = materialise(
-        rows.where("v is not null").groupBy("label", "h", "g").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("v").alias("v")),
-        "classes",
-    )
-    hashed = classes.select("label", F.col("rep").alias("id"), "times", "v").mapInArrow(_hash(tables, width, step), to_spark(HASHED))
+    found = rows.where("v is not null").groupBy("label", "h", "g")
+    found = found.agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"), F.any_value("v").alias("v"))
+    # A class has a number of its own: several classes may have one smallest id.
+    classes = materialise(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+    hashed = classes.select("label", "id", "times", "v").mapInArrow(_hash(tables, width, step), to_spark(HASHED))
     posted = materialise(hashed, "hashed").select("*", F.posexplode("keys").alias("table", "key")).withColumn("size", F.size("v"))
     by = ["label", "table", "key", "size"]
     cut = block_pairs(posted, by, block).select(*by, "id", "times", "v", "keys", "block", "first", "second")
@@ -140,11 +141,18 @@ def near_vectors(
     found = materialise(found, "links")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("label", "h", "g", F.col("rep").alias("id"), "times").join(counts, "id", "left").join(roots, "id", "left")
-    known = known.select("label", "h", "g", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "id").alias("c"))
+    roots = roots.unionByName(roots.select(F.col("component").alias("id"), "component").distinct())
+    # The smallest row of each component stands for it.
+    parts_ = materialise(roots.join(classes.select("id", "rep", "h", "g"), "id"), "parts")
+    tops = parts_.groupBy("component").agg(F.min(F.struct("rep", "h", "g")).alias("top"))
+    known = classes.select("label", "h", "g", "id", "rep", "times").join(counts, "id", "left")
+    known = known.join(parts_.select("id", "component").join(tops, "component"), "id", "left").select(
+        "label", "h", "g", F.coalesce("top.rep", "rep").alias("c"), (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"),
+        F.coalesce((F.col("top.h") == F.col("h")) & (F.col("top.g") == F.col("g")), F.lit(True)).alias("stands"),
+    )
     out = rows.drop("v").join(materialise(known, "known"), ["label", "h", "g"], "left")
     component = F.coalesce("c", "id")
     return out.select(
         F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        F.coalesce((F.col("id") == component) & F.coalesce("stands", F.lit(True)), F.lit(True)).alias("kept"),
     )

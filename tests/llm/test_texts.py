@@ -326,6 +326,25 @@ def test_near_documents_on_odd_rows(odd, nothing):
     assert textdedup.near_documents(nothing).count() == 0 and textdedup.one_of_each(nothing).count() == 0
 
 
+@pytest.mark.parametrize("block", [textdedup.BLOCK, 8])
+def test_near_documents_with_one_key_on_many_texts(spark, block):
+    rng = np.random.default_rng(14)
+    groups = [[str(x) for x in rng.integers(0, 400, 90)] for _ in range(30)]
+    rows = []
+    for k, base in enumerate(groups):
+        rows += [(50, " ".join(base)), (3 + k, " ".join([*base[:-1], "other"])), (50, " ".join([*base[:-1], "again"]))][: 1 + k % 3]
+    rows += [(2, rows[1][1]), (50, rows[4][1])]
+    want = plain_links(list(enumerate(t for _, t in rows)))
+    least = {}
+    for n, (top, _) in want.items():
+        least[top] = min(least.get(top, 10**9), rows[n][0])
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = textdedup.near_documents(df, block=block).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == Counter((rows[n][0], least[top], links) for n, (top, links) in want.items())
+    left = {(r.doc_id, r.text) for r in textdedup.one_of_each(df, block=block).collect()}
+    assert Counter(want[rows.index(r)][0] for r in left) == Counter(least.keys())
+
+
 def test_signatures_are_unbiased():
     rng, error = np.random.default_rng(11), []
     for _ in range(120):

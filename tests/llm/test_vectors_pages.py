@@ -51,6 +51,21 @@ def test_near_vectors_on_odd_rows(spark):
     assert vectordedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_with_one_id_on_many_vectors(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(20):
+        v = rng.standard_normal(16)
+        rows += [(50, v.tolist(), 1), (3 + k, (v + 0.01).tolist(), 1), (50, (v + 0.02).tolist(), 1)][: 1 + k % 3]
+    unit = np.array([np.array(v, np.float32) / np.linalg.norm(v) for _, v, _ in rows])
+    link = unit @ unit.T >= 0.93
+    ids = np.array([r[0] for r in rows])
+    want = sorted((i, int(link[k].sum()) - 1, int(ids[link[k]].min())) for k, i in enumerate(ids.tolist()))
+    got = vectordedup.near_vectors(spark.createDataFrame(rows, VECTORS)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == want
+    assert sum(r.kept for r in got) == 20
+
+
 def test_components_of_a_long_path(spark):
     rng = np.random.default_rng(2)
     order = rng.permutation(60).tolist()
