@@ -4,7 +4,9 @@ A cumulative-link model: the log-odds that the grade of a text is at least k are
 vector ``w`` for all k and ordered thresholds ``t_k``.  ``x`` holds which words occur (hashed) and the shares
 of word shapes (runs of small letters, capitals and digits become one sign each, so ``(ab9)`` has the shape
 ``(a9)``, hashed too).  Features enter the model when at least ``SEEN`` rated texts have them and the grades of
-those differ from all grades by more than ``APART`` standard errors.
+those differ from all grades by more than some standard errors: the number of ``APARTS`` under which texts that
+were left out of the fit are likeliest.  The same texts give the probability from which a text is kept, the
+highest one that keeps ``KEPT`` of those of the highest grade.
 
 The model is fitted by one task on at most ``RATED`` rated texts, chosen by a hash of the key; features of the
 rated texts and the scores of all rows are made where the rows lie, without a shuffle.
@@ -34,12 +36,15 @@ from ardoise.sources.workdir import materialise
 #: Rated texts that the model is fitted on, at most (about; a hash chooses them).
 RATED = 20_000
 WORDS, SHAPES = 1 << 17, 1 << 12
-SEEN, APART = 20, 5.0
+SEEN, APARTS = 3, (2.5, 2.0, 3.0, 4.0, 5.0)
+#: Parts of the rated texts that are left out in turn, until so many have been left out.
+FOLDS, HELD = 4, 2_000
 ROUNDS, BATCH, RATE, PENALTY = 40, 64, 0.3, 1e-3
 #: Value of a word that occurs, and of a shape that all words have.
 OCCURS, SHARE = 1.0, 16.0
-#: A text is kept when it has the highest grade with at least this probability.
-SURE = 0.5
+#: A text is kept when it has the highest grade with at least the probability that keeps this share of held-out
+#: texts of that grade; with fewer than 100 such texts the share cannot be told, and ``SURE`` is taken.
+KEPT, SURE = 0.99, 0.5
 #: Remembered words of a worker process; all are forgotten beyond it, to bound the memory.
 REMEMBERED = 300_000
 
@@ -123,7 +128,7 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, top: i
     return w, t
 
 
-def telling(rows: list[np.ndarray], y: np.ndarray, top: int) -> np.ndarray:
+def telling(rows: list[np.ndarray], y: np.ndarray, top: int, least: float) -> np.ndarray:
     """Which features enter the model."""
     size = WORDS + SHAPES
     index, length = np.concatenate(rows), [len(r) for r in rows]
@@ -133,11 +138,50 @@ def telling(rows: list[np.ndarray], y: np.ndarray, top: int) -> np.ndarray:
         p = high.mean()
         hits = np.bincount(index, np.repeat(high, length), size)
         apart = np.maximum(apart, np.abs(hits - seen * p) / np.sqrt(seen * p * (1 - p) + 1))
-    return np.flatnonzero((seen >= SEEN) & (apart > APART))
+    return np.flatnonzero((seen >= SEEN) & (apart > least))
+
+
+Rows = list[tuple[np.ndarray, np.ndarray]]
+
+
+def fit_telling(rows: Rows, y: np.ndarray, top: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features that enter, their weights, and the thresholds."""
+    chosen = telling([i for i, _ in rows], y, top, least)
+    slot = np.full(WORDS + SHAPES, -1)
+    slot[chosen] = np.arange(len(chosen))
+    kept = [slot[i] >= 0 for i, _ in rows]
+    w, t = fit_ordinal([(slot[i][k], v[k].astype(float)) for (i, v), k in zip(rows, kept)], y, top, max(1, len(chosen)))
+    return chosen, w[: len(chosen)], t
+
+
+def calibrate(rows: Rows, y: np.ndarray, top: int) -> tuple[float, float]:
+    """Standard errors for features to enter, and the probability to keep a text, from texts left out of the fit."""
+    if (y == top).sum() < 100:
+        return APARTS[0], SURE
+    fold = np.random.default_rng(8).permutation(len(rows)) % FOLDS
+    folds = min(FOLDS, -(-HELD * FOLDS // len(rows)))
+    held = np.concatenate([np.flatnonzero(fold == f) for f in range(folds)])
+    own, best = y[held], (-np.inf, APARTS[0], SURE)
+    for least in APARTS:
+        tails = []
+        for f in range(folds):
+            fitted = np.flatnonzero(fold != f)
+            chosen, w, t = fit_telling([rows[i] for i in fitted], y[fitted], top, least)
+            weight = np.zeros(WORDS + SHAPES)
+            weight[chosen] = w
+            margin = np.array([weight[rows[i][0]] @ rows[i][1] for i in np.flatnonzero(fold == f)])
+            tails.append(_odds(margin[:, None] - t))
+        tail = np.ones((len(held), top + 2))
+        tail[:, 1:-1], tail[:, -1] = np.concatenate(tails), 0
+        each = np.arange(len(held))
+        likely = np.log(np.maximum(tail[each, own] - tail[each, own + 1], 1e-9)).mean()
+        if likely > best[0]:
+            best = likely, least, float(np.quantile(tail[own == top, -2], 1 - KEPT, method="lower"))
+    return best[1:]
 
 
 RATED_ROWS = pa.schema([("id", pa.int64()), ("y", pa.int32()), ("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
-MODEL = pa.schema([("index", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64()))])
+MODEL = pa.schema([("index", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("thresholds", pa.list_(pa.float64())), ("sure", pa.float64())])
 SCORES = pa.schema([("id", pa.int64()), ("expected_grade", pa.float64()), ("p_top", pa.float64()), ("keep", pa.bool_())])
 
 
@@ -162,14 +206,10 @@ def _fit(top: int):
             return
         rows.sort(key=lambda r: r[:2])
         y = np.array([r[1] for r in rows])
-        index = [r[2].values.to_numpy() for r in rows]
-        value = [r[3].values.to_numpy() for r in rows]
-        chosen = telling(index, y, top)
-        slot = np.full(WORDS + SHAPES, -1)
-        slot[chosen] = np.arange(len(chosen))
-        kept = [slot[i] >= 0 for i in index]
-        w, t = fit_ordinal([(slot[i][k], v[k].astype(float)) for i, v, k in zip(index, value, kept)], y, top, max(1, len(chosen)))
-        yield pa.RecordBatch.from_pydict({"index": [chosen], "weight": [w[: len(chosen)]], "thresholds": [t]}, schema=MODEL)
+        found = [(r[2].values.to_numpy(), r[3].values.to_numpy()) for r in rows]
+        least, sure = calibrate(found, y, top)
+        chosen, w, t = fit_telling(found, y, top, least)
+        yield pa.RecordBatch.from_pydict({"index": [chosen], "weight": [w], "thresholds": [t], "sure": [sure]}, schema=MODEL)
 
     return run
 
@@ -182,6 +222,7 @@ class Grader:
     index: np.ndarray
     weight: np.ndarray
     thresholds: np.ndarray
+    sure: float = SURE
 
     def _tails(self):
         """A function from texts to the probabilities of reaching each threshold."""
@@ -196,9 +237,10 @@ class Grader:
 
         return slot, tails
 
-    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", sure: float = SURE) -> DataFrame:
+    def score(self, df: DataFrame, key: str = "doc_id", text: str = "text", sure: float | None = None) -> DataFrame:
         """``key``, expected grade, probability of the highest grade, and whether the text is kept."""
         (slot, tails), grades, fitted = self._tails(), np.array(self.grades, float), len(self.thresholds) > 0
+        sure = self.sure if sure is None else sure
 
         def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = _Codes(slot)
@@ -213,9 +255,10 @@ class Grader:
         rows = texts(df, key, text).select(F.col("id").cast("long"), "text")
         return rows.mapInArrow(run, to_spark(SCORES)).withColumnRenamed("id", key)
 
-    def keeps(self, text: Column, sure: float = SURE) -> Column:
+    def keeps(self, text: Column, sure: float | None = None) -> Column:
         """Whether a text is kept, as a condition on the rows where they lie."""
         slot, tails = self._tails()
+        sure = self.sure if sure is None else sure
         if not len(self.thresholds):
             return F.lit(True)
 
@@ -250,4 +293,4 @@ def fit_grader(
     made = rows.coalesce(1).mapInArrow(_fit(len(grades) - 1), to_spark(MODEL)).collect()
     if not made:
         return none
-    return Grader(grades, np.array(made[0]["index"], int), np.array(made[0]["weight"], float), np.array(made[0]["thresholds"], float))
+    return Grader(grades, np.array(made[0]["index"], int), np.array(made[0]["weight"], float), np.array(made[0]["thresholds"], float), made[0]["sure"])

@@ -373,6 +373,20 @@ def test_quality_on_held_out_ratings(spark):
     assert (np.diff(grader.thresholds) >= 0).all()
 
 
+def test_quality_learns_rare_telling_words(spark):
+    rng = np.random.default_rng(15)
+    rows = []
+    for i in range(800):
+        words = [f"w{k}" for k in "abcdefghij"[:2]] + [chr(97 + a) + chr(97 + b) + "x" for a, b in rng.integers(0, 20, (60, 2))]
+        if i % 10 == 0:
+            words += ["bad" + "abcdefghij"[k] for k in rng.choice(10, 3, False)]
+        rows.append((i, " ".join(words), 1 if i % 10 == 0 else 2))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, grade int")
+    grader = quality.fit_grader(df, df.where("doc_id < 400").select("doc_id", "grade"))
+    got = grader.score(df).where("doc_id >= 400").join(df, "doc_id").toPandas()
+    assert got[got.grade == 1].keep.mean() < 0.3 and got[got.grade == 2].keep.mean() > 0.95
+
+
 def test_quality_on_odd_rows(spark, odd, nothing):
     ratings = spark.createDataFrame([(1, 0), (2, None), (None, 1), (4, 2), (4, 1), (5, 2)], "doc_id bigint, grade int")
     grader = quality.fit_grader(odd, ratings)
