@@ -17,7 +17,7 @@ one through an aggregate of their hashes, which has map-side partials.
 Hashes have 64 bits over the compared bytes and their number; surroundings are compared by two of them.
 
 Defined results: a null or empty text has no bytes.  Rows that repeat key and text have equal results, those of
-one such row.  Texts of one key are ordered by a hash.  A null key comes before all others and stays null.
+one such row.  Texts of one key are told apart and ordered by a hash of 64 bits.  A null key comes before all others and stays null.
 Texts of any length are read whole; one of more than 4 MB is cut into overlapping parts while anchors are
 sought.  Only the named columns are read.
 """
@@ -50,11 +50,11 @@ MANY = 20_000
 SHARD = 2 << 20
 NULL = -(1 << 63)
 
-MARKS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("to", pa.int32())])
-EDGES = pa.schema([("core", pa.int64()), ("id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary())])
-SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
-PACKED = pa.schema([("id", pa.int64()), ("tie", pa.int32()), ("packed", pa.binary())])
-STRINGS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("id", pa.int64()), ("tie", pa.int32()), ("at", pa.int32())])
+MARKS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("to", pa.int32())])
+EDGES = pa.schema([("core", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("bytes", pa.binary())])
+SPANS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+PACKED = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary())])
+STRINGS = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32())])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -91,7 +91,7 @@ def _marks(length: int, reach: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids = batch["id"].to_numpy(zero_copy_only=False)
-            ties = batch["tie"].to_numpy(zero_copy_only=False).astype(np.int64) << 32
+            ties = batch["tie"].to_numpy(zero_copy_only=False)
             found = []
             for data, ends, rows, starts in _parts(batch):
                 hashes, place, part, gram = anchors(data, ends, length)
@@ -105,17 +105,21 @@ def _marks(length: int, reach: int):
             if not found:
                 continue
             gram, around, row, place, left, right = (np.concatenate(x) for x in zip(*found))
-            start = ties[row] + place
-            order = np.lexsort((start, ids[row], around, gram))
-            gram, around, row, place, left, right, start = (x[order] for x in (gram, around, row, place, left, right, start))
+            order = np.lexsort((place, ties[row], ids[row], around, gram))
+            gram, around, row, place, left, right = (x[order] for x in (gram, around, row, place, left, right))
             new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
             first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            repeat = (start != start[first]) | (ids[row] != ids[row[first]])
+            repeat = (place != place[first]) | (ties[row] != ties[row[first]]) | (ids[row] != ids[row[first]])
             once = ~repeat & (new | (first == np.arange(len(new))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (_signed(gram[once]), _signed(around[once]), ids[row[once]], start[once], np.full(int(once.sum()), -1, np.int32))],
+                [
+                    pa.array(x) for x in (
+                        _signed(gram[once]), _signed(around[once]), ids[row[once]], ties[row[once]],
+                        place[once].astype(np.int32), np.full(int(once.sum()), -1, np.int32),
+                    )
+                ],
                 schema=MARKS,
-            )
+            )
             # Spans of repeats, joined where they touch, go along under hashes of their own.
             r = np.flatnonzero(repeat)
             r = r[np.lexsort((left[r], row[r]))]
@@ -126,8 +130,13 @@ def _marks(length: int, reach: int):
                 tops = np.maximum.reduceat(right, s)
                 code = mix((ids[row[s]] * 31 + left[s]).astype(np.uint64) * ODD)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (_signed(code), _signed(mix(code)), ids[row[s]], ties[row[s]] + left[s], tops.astype(np.int32))], schema=MARKS
-                )
+                    [
+                        pa.array(x) for x in (
+                            _signed(code), _signed(mix(code)), ids[row[s]], ties[row[s]], left[s].astype(np.int32), tops.astype(np.int32)
+                        )
+                    ],
+                    schema=MARKS,
+                )
 
     return run
 
@@ -281,17 +290,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> D
     # Sorted once for both windows.
     made = rows.mapInArrow(_marks(length, reach), to_spark(MARKS)).repartition("gram").sortWithinPartitions("gram", "around")
     near = Window.partitionBy("gram", "around")
-    earliest = F.min(F.struct("id", "at")).over(near)
+    earliest = F.min(F.struct("id", "tie", "at")).over(near)
     every = Window.partitionBy("gram")
-    seen = made.withColumn("late", F.struct("id", "at") > earliest)
+    seen = made.withColumn("late", F.struct("id", "tie", "at") > earliest)
     # Different surroundings of a gram: rows that are the earliest of theirs.
     seen = seen.withColumn("n", F.sum((~F.col("late")).cast("long")).over(every)).withColumn("differ", F.col("n") > 1)
-    tie, at = F.shiftright("at", 32).cast("int").alias("tie"), F.expr("cast(at & 4294967295 as int)")
+    at = F.col("at")
     span = F.col("to") >= 0
     marks = materialise(
         seen.where(span | F.col("late") | F.col("differ")).select(
-            "id", tie, F.when(span, at).otherwise(F.greatest(at - reach, F.lit(0))).alias("s"),
-            F.when(span, F.col("to")).otherwise(at + length).alias("e"), at.alias("at"),
+            "id", "tie", F.when(span, at).otherwise(F.greatest(at - reach, F.lit(0))).alias("s"),
+            F.when(span, F.col("to")).otherwise(at + length).alias("e"), "at",
             (span | F.col("late")).alias("whole"), (F.col("n") > many).alias("much"),
         ),
         "marks",
@@ -340,7 +349,7 @@ def keep(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     """id (a null one as the smallest number), tie and text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("id"), F.hash(t).alias("tie"), t.alias("text"))
+    return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("id"), F.xxhash64(t).alias("tie"), t.alias("text"))
 
 
 DIGESTS = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -383,7 +392,7 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL)), "_tie": F.hash(t), "_packed": squeezed(F.col(text))})
+    rows = df.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL)), "_tie": F.xxhash64(t), "_packed": squeezed(F.col(text))})
     spans = repeated_spans(_keyed(df, key, text), length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     spans = spans.withColumnsRenamed({"id": "_id", "tie": "_tie"})
     found = rows.drop(text).join(spans, ["_id", "_tie"], "left").withColumn(text, cut(F.col("_packed"), F.col("_spans")))

@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ardoise.llm import anchors, packing, passages, pieces, pii, quality, queries, suffixes, textdedup
@@ -258,6 +259,24 @@ def test_repeated_passages_on_odd_rows(odd, nothing):
     assert passages.kept_texts(odd).columns == odd.columns and passages.kept_texts(nothing).count() == 0
 
 
+@pytest.mark.parametrize("many", [passages.MANY, 0])
+def test_repeated_passages_of_texts_with_one_short_hash(spark, many):
+    rng = np.random.default_rng(16)
+    passage, other = ("".join(rng.choice(list("abcdefgh"), 160)) for _ in range(2))
+    made = spark.range(200_000).withColumn("t", F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.when(F.col("id") % 2 == 0, passage).otherwise(other)))
+    one = made.groupBy(F.hash("t")).agg(F.min("id").alias("a"), F.max("id").alias("b")).where("(a + b) % 2 = 1").orderBy("a").first()
+    texts = [r.t for r in made.where(F.col("id").isin(one.a, one.b)).collect()]
+    for key in (None, 7):
+        # The passage stands earlier, the other text nowhere else.
+        rows = [(1 if key else None, "before " + passage), (key, texts[0]), (key, texts[1])]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = passages.remove_repeats(df, many=many).where("n_bytes = 168").collect()
+        left = [r.text for r in passages.kept_texts(df, many=many).collect()]
+        clean = next(t for t in texts if other in t)
+        assert clean in left and sha(clean.encode()) in {r.kept_sha256 for r in got}
+        assert sum(r.n_removed > 0 for r in passages.remove_repeats(df, many=many).collect()) == 1
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(9)
     for _ in range(600):
