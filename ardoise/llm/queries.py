@@ -8,11 +8,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ardoise.llm import neighbours, packing
+from ardoise.llm import neighbours, orderhash, packing
 from ardoise.llm import pages as web
-from ardoise.llm import passages, pieces, pii
+from ardoise.llm import passages, periods, pieces, pii
 from ardoise.llm import quality, textdedup
-from ardoise.llm import urls, vectordedup
+from ardoise.llm import urls, vectordedup, whitening
 from ardoise.llm.common import table
 
 #: Files of the public tokenizers, by name.
@@ -196,3 +196,21 @@ def near_documents(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     """What repeated strings of 100 bytes take away from every document."""
     return passages.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def whitening_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened coordinates of every vector."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op12_order_minhash")
+def order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited form."""
+    return orderhash.edited_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document."""
+    return periods.run_digests(table(spark, folder, "documents"))
