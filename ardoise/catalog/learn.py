@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ardoise.catalog.cleaning import FEATURES, WIDE_CTES
 from ardoise.catalog.registry import query
 from ardoise.catalog.shared import prepared, scorer, vectors_of, wide_table
+from ardoise.catalog.sqlgen import q
 from ardoise.catalog.standin import role, with_roles
 from ardoise.operators import clean, explain, models, smote
 from ardoise.operators.models import LABEL
@@ -17,14 +19,62 @@ from ardoise.sources import tables
 from ardoise.sources.workdir import fresh_path, materialise
 from ardoise.streaming import requests
 
-@query("smote")
+
+def _smote_sql() -> str:
+    """Scaled minority rows of the training part as lists, all distances between them, and the same hashes."""
+    stats = ", ".join(
+        f"count({q(c)}) as {q('n_' + c)}, median({q(c)}) as {q('m_' + c)}, min({q(c)}) as {q('l_' + c)}, max({q(c)}) as {q('h_' + c)}"
+        for c in FEATURES
+    )
+    cells = ", ".join(
+        f"case when {q('n_' + c)} * 100 >= 80 * s.n_rows then (coalesce({q(c)}, {q('m_' + c)}) - {q('l_' + c)}) "
+        f"/ case when {q('h_' + c)} = {q('l_' + c)} then 1 else {q('h_' + c)} - {q('l_' + c)} end end"
+        for c in FEATURES
+    )
+
+    def hashed(salt: str) -> str:
+        return f"cast(('0x' || substr(md5(source || '|' || n || '|{salt}'), 1, 8)) as bigint) % 1000000007"
+
+    return f"""with {WIDE_CTES}, s as materialized (select count(*) as n_rows, {stats} from cleared where part = 'train'),
+      rows_ as materialized (
+        select {KEY} as source, row_number() over (order by {KEY}) as i, list_filter([{cells}], lambda v: v is not null) as x
+        from cleared, s where part = 'train' and TARGET = 1),
+      sizes as (select count(case when TARGET = 1 then 1 end) as few, count(case when TARGET = 0 then 1 end) as many
+                from cleared where part = 'train'),
+      points as materialized (select x, min(source) as id, count(*) as copies from rows_ group by x),
+      near as (
+        select a.id, list(b.id order by list_distance(a.x, b.x), b.id)[1:5] as near
+        from points a join points b on a.id <> b.id group by a.id),
+      used as (
+        select r.source, r.x, least(p.copies - 1, 5) as twins, coalesce(near, []) as near,
+            unnest(range(1, i * (many - few) // few - (i - 1) * (many - few) // few + 1)) as n
+        from rows_ r join points p using (x) left join near on near.id = p.id, sizes where few > 1),
+      picked as (
+        select *, {hashed('neighbour')} % least(twins + len(near), 5) as pick, {hashed('position')} / 1000000007e0 as u
+        from used where twins + len(near) > 0),
+      met as (
+        select source, n, u, x, case when pick >= twins then near[pick - twins + 1] end as neighbour from picked),
+      made as (
+        select source, n, neighbour, u,
+            list_transform(range(1, len(met.x) + 1), lambda j: met.x[j] + u * (coalesce(p.x, met.x)[j] - met.x[j])) as point
+        from met left join points p on p.id = neighbour)
+      select source, cast(n as integer) as n, neighbour, round(u, 9) as u, round(list_sum(point), 6) as total,
+             round(list_min(point), 7) as lowest, round(list_max(point), 7) as highest from made"""
+
+
+@query("smote", _smote_sql())
 def oversampled(spark: SparkSession, folder: str) -> DataFrame:
-    """Class sizes and means after adding synthetic minority rows to the training part."""
+    """Synthetic minority rows of the training part: source, use, neighbour, position, and the new point's sum and
+    extremes over all features."""
     data = prepared(spark, folder)
-    features = data.preparation.features
-    both = smote.oversample(data.train, LABEL, KEY, features)
-    total = F.aggregate(F.array(*features), F.lit(0.0), lambda a, x: a + x)
-    return both.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(total), 6).alias("mean_total"))
+    made = smote.synthetic_points(data.train, LABEL, KEY, data.preparation.features)
+    if made is None:
+        return spark.createDataFrame([], "source bigint, n int, neighbour bigint, u double, total double, lowest double, highest double")
+    total = F.aggregate("point", F.lit(0.0), lambda a, x: a + x)
+    return made.select(
+        "source", "n", "neighbour", F.round("u", 9).alias("u"), F.round(total, 6).alias("total"),
+        F.round(F.array_min("point"), 7).alias("lowest"), F.round(F.array_max("point"), 7).alias("highest"),
+    )
 
 
 @query("lr_fit_score")

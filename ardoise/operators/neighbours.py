@@ -1,16 +1,23 @@
 """Exact nearest neighbours among the rows of one table, in Euclidean distance.
 
-Copies are merged first.  The points are cut into blocks along one direction.  A point's neighbours in
-its own block bound the distance to its k-th neighbour; projecting onto a direction never lengthens a
-distance, so only blocks whose interval lies within that bound can hold a nearer point, and the point
-visits exactly those.  A visit returns at most k candidates within the bound: pairs are never written out,
-and both sides of a visit have a fixed greatest size.
+Copies are merged first.  A bounded sample gives pivots, which cut the space into cells: a point lies in the cell of its
+nearest pivot.  A cell of more than ``block_rows`` points is cut into shells by the distance from its pivot, and a shell
+whose points are all equally far is cut by hash, so every block has a greatest size.  The triangle inequality tells
+from the distances between a point and the pivots how near the points of a block can be at best:
+
+* no nearer than the point's distance from the pivot lies outside the shell, and
+* no nearer than the plane half way between the block's pivot and the point's own (all points of the cell lie behind it).
+
+A point meets its own block first, then the few most promising ones, then exactly those that the bound on its k-th
+neighbour cannot rule out by then.  A visit returns at most k candidates within the bound: pairs are never written
+out, and both sides of a visit have a fixed greatest size.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -18,7 +25,6 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ardoise.operators.ranges import range_bounds, with_range
 from ardoise.sources.workdir import materialise
 
 # Workers need not have this package installed: its functions travel by value.
@@ -26,13 +32,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 2_048
 VISITOR_ROWS = 8_192
+#: Pivots at most, and sampled points for each: the sample is the driver's, whatever the number of points.
+PIVOTS, PER_PIVOT = 1_024, 8
+#: Shells of a cell at most; what is larger is cut by hash.
+SHELLS = 64
+#: Blocks that a point meets before all others.
+PROMISING = 3
 
 
 def block_candidates(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.DataFrame:
     """Up to k nearest host points of every visitor, within the visitor's bound and other than itself."""
     x, y = np.vstack(visitors["x"].to_numpy()), np.vstack(hosts["x"].to_numpy())
     ids, host_ids, bound = visitors["id"].to_numpy(), hosts["id"].to_numpy(), visitors["bound"].to_numpy()
-    square = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2.0 * x @ y.T
+    square = squares(x, y)
     square[ids[:, None] == host_ids[None, :]] = np.inf
     # The matrix product rounds; a few spare candidates are measured again exactly.
     take = min(k + 4, len(host_ids))
@@ -49,6 +61,10 @@ def block_candidates(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.
 CANDIDATE = "id bigint, neighbour bigint, distance double"
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2.0 * x @ y.T
+
+
 def point(features: Sequence[str]) -> Column:
     """The features as an array; adding zero turns -0.0 into 0.0, so equal points look equal."""
     return F.array(*[F.col(c).cast("double") + F.lit(0.0) for c in features])
@@ -63,59 +79,136 @@ def distinct_points(df: DataFrame, key: str, features: Sequence[str]) -> DataFra
     )
 
 
-def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, near): the k nearest other points of each distinct point, as (distance, neighbour), nearest
-    first.  ``points`` has (id, x) and should be cheap to scan."""
-    def on_line(a: Column, size: Column) -> Column:
-        # The diagonal is a unit direction: the sum of the features over the root of their number.
-        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.sqrt(size)
-
-    placed = points.select("id", "x", on_line(F.col("x"), F.size("x")).alias("p"))
-    ranges = placed.count() // block_rows + 1
-    bounds = range_bounds(placed, "p", ranges)
-    ranged = with_range(placed, "p", bounds, "range")
-    # A range where many points share one projection is cut by hash, so no block outgrows its size.
-    cuts = ranged.groupBy("range").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).alias("cuts"))
-    # One row per block.
-    cuts = F.broadcast(cuts)
-    blocks = ranged.join(cuts, "range").withColumn(
-        "cut", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    )
-    blocks = materialise(blocks.select("id", "x", "p", "range", "cut"), "blocks")
-
-    infinite = float("inf")
-    own = (
-        blocks.select("id", "x", "range", "cut", F.lit(infinite).alias("bound"))
-        .groupBy("range", "cut")
-        .applyInPandas(lambda b: block_candidates(b, b, k), CANDIDATE)
-    )
-    own = materialise(own, "candidates")
-    # Fewer than k points at home: no bound yet.  The slack covers rounding.
-    home = own.groupBy("id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.max("distance") * (1 + 1e-9) + 1e-12).otherwise(infinite).alias("bound")
+def choose_pivots(points: DataFrame, count: int, wanted: int, rounds: int = 5) -> np.ndarray:
+    """Centres of a bounded sample of the points, chosen by a hash of the id: a few rounds of k-means."""
+    sample = wanted * PER_PIVOT
+    few = points if count <= 2 * sample else points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * 2 * sample / count))
+    x = np.array([r["x"] for r in few.orderBy(F.xxhash64("id"), "id").limit(sample).select("x").collect()])
+    centres = np.unique(x[:wanted], axis=0)
+    for _ in range(rounds):
+        own = squares(x, centres).argmin(1)
+        n = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, x)
+        centres = np.unique(np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres), axis=0)
+    return centres
+
+
+@dataclass
+class Blocks:
+    """Pivots and the shells of their cells: bounded by ``PIVOTS`` times ``SHELLS`` rows."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    shell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    cuts: np.ndarray
+    between: np.ndarray = field(default=None, repr=False)
+
+    def nearest(self, x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Least distance that a point of each block can have from each of ``x``, whose own cells are given."""
+        square = np.maximum(squares(x, self.pivots), 0)
+        far = np.sqrt(square)
+        # What the matrix product may have rounded away.
+        slack = 1e-6 * (1 + np.sqrt((x**2).sum(1)))[:, None]
+        away = far[:, self.cell]
+        shell = np.maximum(away - self.high, self.low - away)
+        plane = (square - np.take_along_axis(square, own[:, None], 1)) / (2 * np.maximum(self._between()[own], 1e-3 * slack))
+        return np.maximum(np.maximum(shell, plane[:, self.cell]) - slack, 0)
+
+    def _between(self) -> np.ndarray:
+        if self.between is None:
+            self.between = np.sqrt(np.maximum(squares(self.pivots, self.pivots), 0))
+        return self.between
+
+
+def cut_blocks(points: DataFrame, block_rows: int) -> tuple[Blocks, DataFrame]:
+    """The blocks and the written points with their place: (id, x, cell, shell, cut)."""
+    count = points.count()
+    pivots = choose_pivots(points, count, int(min(PIVOTS, max(1, 2 * count // block_rows))))
+
+    def place(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            if len(b):
+                x = np.vstack(b["x"].to_numpy())
+                b["cell"] = squares(x, pivots).argmin(1).astype(np.int32)
+                b["r"] = np.sqrt(((x - pivots[b["cell"].to_numpy()]) ** 2).sum(1))
+                yield b
+
+    placed = points.select("id", "x").mapInPandas(place, "id bigint, x array<double>, cell int, r double")
+    placed = materialise(placed, "cells")
+    steps = ", ".join(f"{j / SHELLS}D" for j in range(1, SHELLS))
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile_approx(r, array({steps}), 1000)").alias("r"))
+    # One row per pivot.
+    edges = {r["cell"]: sorted(set(r["r"][SHELLS * j // s - 1] for j in range(1, s))) for r in cells.where(F.col("n") > block_rows).collect()
+             for s in [min(SHELLS, -(-r["n"] // block_rows))]}
+
+    def shells(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in it:
+            b["shell"] = np.array([np.searchsorted(edges.get(c, ()), r, "left") for c, r in zip(b["cell"], b["r"])], np.int32)
+            yield b
+
+    shelled = placed.mapInPandas(shells, "id bigint, x array<double>, cell int, r double, shell int") if edges else placed.withColumn("shell", F.lit(0))
+    sizes = shelled.groupBy("cell", "shell").agg(
+        F.min("r").alias("low"), F.max("r").alias("high"), F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("cuts")
     )
-    bounded = blocks.join(home, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(infinite)))
-
-    reach = bounded.withColumns({"_lo": F.col("p") - F.col("bound"), "_hi": F.col("p") + F.col("bound")})
-    reach = with_range(with_range(reach, "_lo", bounds, "_first"), "_hi", bounds, "_last")
-    trips = reach.select(
-        "id", "x", "bound", F.col("range").alias("_r"), F.col("cut").alias("_c"),
-        F.explode(F.sequence(F.col("_first").cast("int"), F.col("_last").cast("int")).cast("array<double>")).alias("range"),
-    )
-    trips = trips.join(cuts, "range").withColumn(
-        "cut", F.explode(F.sequence(F.lit(0), F.col("cuts").cast("int") - 1))
-    )
-    trips = trips.where((F.col("range") != F.col("_r")) | (F.col("cut") != F.col("_c")))
+    sizes = materialise(sizes, "shells")
+    rows = sizes.orderBy("cell", "shell").collect()
+    columns = [np.array([r[c] for r in rows]) for c in ("cell", "shell", "low", "high", "cuts")]
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    # One row per shell, at most ``PIVOTS`` times ``SHELLS``.
+    blocks = shelled.join(F.broadcast(sizes.select("cell", "shell", "cuts")), ["cell", "shell"])
+    blocks = materialise(blocks.select("id", "x", "cell", "shell", cut.alias("cut")), "blocks")
+    return Blocks(pivots, *columns), blocks
+
+
+PLACE = ("cell", "shell", "cut")
+
+
+def trips(bounded: DataFrame, blocks: Blocks, first: int | None, k: int) -> DataFrame:
+    """(id, x, bound, cell, shell, cut): the blocks that points with a bound go to, other than their own.
+
+    ``first`` chooses the most promising ones; None all others that the bound cannot rule out.  Rows of ``bounded``
+    have (id, x, cell, shell, cut, bound, before): before is the bound by which the promising ones were chosen.
+    """
+    names = ["id", "x", "bound", *PLACE]
+    step = max(1, (8 << 20) // (8 * len(blocks.cell)))
+
+    def visits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in it:
+            for s in range(0, len(whole), step):
+                b = whole.iloc[s : s + step]
+                least = blocks.nearest(np.vstack(b["x"].to_numpy()), b["cell"].to_numpy())
+                own = (blocks.cell == b["cell"].to_numpy()[:, None]) & (blocks.shell == b["shell"].to_numpy()[:, None])
+                # All cuts of the own shell but the own one are visited in the first round.
+                least[own] = 0
+                chosen = least <= b["before"].to_numpy()[:, None]
+                rank = np.argsort(np.argsort(np.where(own, -1.0, least), axis=1, kind="stable"), axis=1)
+                promising = chosen & (rank <= PROMISING)
+                go = promising if first is not None else (least <= b["bound"].to_numpy()[:, None]) & ~promising
+                which, block = np.nonzero(go)
+                times = blocks.cuts[block]
+                which, block = np.repeat(which, times), np.repeat(block, times)
+                cut = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                out = b.iloc[which][["id", "x", "bound"]].assign(cell=blocks.cell[block], shell=blocks.shell[block], cut=cut)
+                at_home = (out["cell"].to_numpy() == b["cell"].to_numpy()[which]) & (out["shell"].to_numpy() == b["shell"].to_numpy()[which])
+                out = out[~(at_home & (cut == b["cut"].to_numpy()[which]))]
+                if len(out):
+                    yield out[names]
+
+    rows = bounded.select("id", "x", *PLACE, "bound", "before")
+    return rows.mapInPandas(visits, "id bigint, x array<double>, bound double, cell int, shell int, cut int")
+
+
+def _away(visiting: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Candidates of all visits."""
     # A popular block receives its visitors in slices, each with a copy of the block.
-    slices = trips.groupBy("range", "cut").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(VISITOR_ROWS)).cast("int").alias("slices")
-    )
-    visitors = trips.join(slices, ["range", "cut"]).withColumn(
-        "slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int")
-    ).select("id", "x", "bound", "range", "cut", "slice")
-    hosts = blocks.join(slices, ["range", "cut"]).select(
-        *[F.col(c).alias(c) for c in ("id", "x", "range", "cut")],
-        F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+    visiting = materialise(visiting, "visits")
+    slices = visiting.groupBy(*PLACE).agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITOR_ROWS)).cast("int").alias("slices"))
+    visitors = visiting.join(slices, [*PLACE]).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int"))
+    hosts = blocks.join(slices, [*PLACE]).select(
+        *[F.col(c).alias(c) for c in ("id", "x", *PLACE)], F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     )
 
     def visit(v: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
@@ -123,10 +216,38 @@ def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         return block_candidates(v, h, k)
 
-    place = ("range", "cut", "slice")
-    away = visitors.groupBy(*place).cogroup(hosts.groupBy(*place)).applyInPandas(visit, CANDIDATE)
-    # Candidates per point: k from home and those within the bound from each visit.
-    found = own.unionByName(away).groupBy("id").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near")
-    )
+    at = [*PLACE, "slice"]
+    return visitors.groupBy(*at).cogroup(hosts.groupBy(*at)).applyInPandas(visit, CANDIDATE)
+
+
+def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, near): the k nearest other points of each distinct point, as (distance, neighbour), nearest
+    first.  ``points`` has (id, x) and should be cheap to scan."""
+    if points.isEmpty():
+        return points.select("id", F.array().cast("array<struct<distance:double,neighbour:bigint>>").alias("near"))
+    blocks, rows = cut_blocks(points, block_rows)
+    infinite = float("inf")
+
+    def best(found: DataFrame) -> DataFrame:
+        # Candidates per point: at most k from each visit.
+        ordered = F.array_sort(F.collect_list(F.struct("distance", "neighbour")))
+        return found.groupBy("id").agg(F.slice(ordered, 1, k).alias("near"))
+
+    def bound(near: DataFrame) -> DataFrame:
+        # Fewer than k points so far: no bound yet.  The slack covers rounding.
+        last = F.get("near", F.lit(k - 1))["distance"]
+        return near.select("id", F.coalesce(last * (1 + 1e-9) + 1e-12, F.lit(infinite)).alias("bound"))
+
+    own = rows.withColumn("bound", F.lit(infinite)).groupBy(*PLACE).applyInPandas(lambda b: block_candidates(b, b, k), CANDIDATE)
+    found = materialise(best(own), "near")
+    if len(blocks.cell) == 1 and blocks.cuts[0] == 1:
+        return found
+    start = rows.join(bound(found).withColumnRenamed("bound", "before"), "id", "left")
+    start = start.withColumn("before", F.coalesce("before", F.lit(infinite)))
+    for first in (PROMISING, None):
+        now = start.join(bound(found), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(infinite)))
+        visits = trips(now, blocks, first, k)
+        found = materialise(best(found.select("id", F.inline("near")).unionByName(_away(visits, rows, k))), "near")
+        if len(blocks.cell) <= PROMISING + 1:
+            break
     return found

@@ -18,19 +18,19 @@ NEIGHBOURS = 5
 _FINE = 1_000_000_007
 
 
-def synthetic_rows(
+def synthetic_points(
     df: DataFrame, label: str, key: str, features: Sequence[str], k: int = NEIGHBOURS, minority: int = 1
-) -> DataFrame:
-    """As many new minority rows as the classes differ by: (label, source key, features).
+) -> DataFrame | None:
+    """As many new minority points as the classes differ by: (source, n, neighbour, u, point), None if there are none.
 
-    Every minority row is used equally often.  The neighbour and the position between the two points come
-    from hashes of the key, so a re-run gives the same rows.
+    Every minority row is used equally often; ``n`` counts its uses.  The neighbour and the position ``u`` between the two
+    points come from hashes of the key, so a re-run gives the same rows.  A missing neighbour is a copy of the source.
     """
     counts = {r[0]: r[1] for r in df.groupBy(F.col(label).cast("int")).agg(F.count(F.lit(1))).collect()}
     few = counts.get(minority, 0)
     missing = sum(n for c, n in counts.items() if c != minority) - few
     if few < 2 or missing <= 0:
-        return df.select(key, label, *features).limit(0)
+        return None
     rows = df.where(F.col(label).cast("int") == minority)
     points = materialise(distinct_points(rows, key, features), "points")
     near = nearest_points(points, k)
@@ -64,7 +64,7 @@ def synthetic_rows(
     new = new.withColumns({"pick": pick, "u": hash_bucket(tag, _FINE, "position") / F.lit(float(_FINE))})
     twin = F.col("pick") < F.col("twins")
     other = F.when(~twin, F.get("others", (F.col("pick") - F.col("twins")).cast("int")))
-    new = new.select("source", "x", "u", other.alias("id"))
+    new = new.select("source", "n", "x", "u", other.alias("id"))
     partner = points.select("id", F.col("x").alias("y"))
     # A point that is everybody's neighbour is a hot key of this join.
     paired = skew_join(new, partner, "id", "left")
@@ -72,8 +72,18 @@ def synthetic_rows(
         F.col("y").isNotNull(),
         F.zip_with("x", "y", lambda a, b: a + F.col("u") * (b - a)),
     ).otherwise(F.col("x"))
-    made = paired.select(F.col("source").alias(key), F.lit(minority).alias(label), between.alias("_x"))
-    return made.select(key, label, *[F.col("_x")[j].alias(c) for j, c in enumerate(features)])
+    return paired.select("source", "n", F.col("id").alias("neighbour"), "u", between.alias("point"))
+
+
+def synthetic_rows(
+    df: DataFrame, label: str, key: str, features: Sequence[str], k: int = NEIGHBOURS, minority: int = 1
+) -> DataFrame:
+    """The new points as rows: (source key, label, features)."""
+    made = synthetic_points(df, label, key, features, k, minority)
+    if made is None:
+        return df.select(key, label, *features).limit(0)
+    cells = [F.col("point")[j].alias(c) for j, c in enumerate(features)]
+    return made.select(F.col("source").alias(key), F.lit(minority).alias(label), *cells)
 
 
 def oversample(df: DataFrame, label: str, key: str, features: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
