@@ -7,8 +7,10 @@ from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ardoise.catalog import features
 from ardoise.catalog.registry import query
 from ardoise.catalog.shared import prepared, vectors_of
+from ardoise.catalog.sqlgen import q
 from ardoise.catalog.standin import load, role, with_roles
 from ardoise.operators import explain, models, smote
 from ardoise.operators.clean import Preparation
@@ -30,11 +32,10 @@ SCORECARD = [
 INTERCEPT, THRESHOLD = -1.125, 0.52
 
 
-def declared_scorer() -> scoring.Scorer:
+def declared_scorer(card: list = SCORECARD) -> scoring.Scorer:
     """A scorer whose preparation and model are given numbers."""
-    names = [s[0] for s in SCORECARD]
-    p = Preparation(names, [], {s[0]: s[1] for s in SCORECARD}, {s[0]: (s[2], s[3]) for s in SCORECARD}, 0, {})
-    z = " + ".join([str(INTERCEPT), *[f"({s[4]}) * `s_{s[0]}`" for s in SCORECARD]])
+    p = Preparation([s[0] for s in card], [], {s[0]: s[1] for s in card}, {s[0]: (s[2], s[3]) for s in card}, 0, {})
+    z = " + ".join([str(INTERCEPT), *[f"({s[4]}) * `s_{s[0]}`" for s in card]])
     odds = SQLTransformer(statement=f"select *, 1 / (1 + exp({z})) as _p0, 1 / (1 + exp(-({z}))) as _p1 from __THIS__")
     both = VectorAssembler(inputCols=["_p0", "_p1"], outputCol="probability")
     return scoring.Scorer(scoring.as_pipeline(p, PipelineModel([odds, both])), THRESHOLD)
@@ -59,6 +60,35 @@ def declared_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.Scorer.load(spark, path).decisions(role(spark, folder, "application").where("IN_TRAIN = 0"))
 
 
+def _monthly_sql() -> str:
+    """The scorecard over next month's features of the requests."""
+    def scaled(name: str, median: float, low: float, high: float) -> str:
+        return f"((coalesce(cast({q(name)} as double), {median}e0)) - ({low}e0)) / ({high}e0 - ({low}e0))"
+
+    z = " + ".join([f"({INTERCEPT}e0)", *[f"({c}e0) * {scaled(n, m, lo, hi)}" for n, m, lo, hi, c in MONTHLY]])
+    return f"""with {', '.join(f'{n} as ({s})' for n, s in features.next_month_ctes().items())},
+        scored as (select SK_ID_CURR, 1 / (1 + exp(-({z}))) p from wide where not is_train)
+        select SK_ID_CURR, case when p > {THRESHOLD} then 'Rejetée' else 'Acceptée' end rep, round(p, 2) proba from scored"""
+
+
+# Features of the application and of history: coded, one-hot, shares of categories that are gone, came, or stayed.
+MONTHLY = SCORECARD[:2] + [
+    ("CODE_GENDER", 0.0, -1.0, 2.0, 0.5),
+    ("NAME_INCOME_TYPE_MACHINERY", 0.0, 0.0, 1.0, 2.0),
+    ("BURO_CREDIT_ACTIVE_Sold_MEAN", 0.25, 0.0, 1.0, -2.0),
+    ("BURO_CREDIT_ACTIVE_Active_MEAN", 0.5, 0.0, 1.0, 0.75),
+    ("BURO_STATUS_N_MEAN_MEAN", 0.5, 0.0, 1.0, 0.625),
+]
+
+
+@query("monthly_decisions", _monthly_sql())
+def monthly_decisions(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions about next month's requests, from raw tables, by one saved and reloaded pipeline with declared numbers."""
+    scorer = declared_scorer(MONTHLY)
+    pipeline, both = features.saved_encoder(spark, folder, scorer.pipeline.stages)
+    return scoring.Scorer(pipeline, scorer.threshold).decisions(both.where("not is_train"))
+
+
 @query(
     "declared_stream",
     f"""with known as ({_scorecard_sql("where IN_TRAIN = 0")})

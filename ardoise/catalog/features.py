@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ardoise.catalog import sqlgen
 from ardoise.catalog.registry import query
 from ardoise.catalog.sqlgen import select_block, tidy
 from ardoise.catalog.standin import DIGITS, applications, loan_tables, role
 from ardoise.operators.encode import categorical_columns, discover_categories
-from ardoise.plans import blocks, wide
+from ardoise.plans import blocks, encoder, wide
 from ardoise.plans.specs import CODED, KEY
+from ardoise.plans.wide import LoanTables
+from ardoise.sources.workdir import fresh_path
 
 
 @query("application_features", select_block(sqlgen.application_block(), "application_block"))
@@ -55,3 +61,65 @@ def card_block(spark: SparkSession, folder: str) -> DataFrame:
 def wide_features(spark: SparkSession, folder: str) -> DataFrame:
     """All applications with all blocks."""
     return tidy(wide.wide_features(loan_tables(spark, folder)))
+
+
+# Next month one category of every table is gone and a new one has come: table, column, old, new.
+RENAMED = (
+    ("application", "NAME_INCOME_TYPE", "MACHINERY", "ROBOTICS"),
+    ("application", "CODE_GENDER", "F", "D"),
+    ("bureau", "CREDIT_ACTIVE", "Sold", "Settled"),
+    ("bureau_balance", "STATUS", "A", "Z"),
+    ("previous", "NAME_CONTRACT_STATUS", "Approved", "Granted"),
+    ("pos", "NAME_CONTRACT_STATUS", "click", "tap"),
+    ("installments", "NAME_KIND", "N", "M"),
+    ("card", "NAME_CONTRACT_STATUS", "purchase", "order"),
+)
+
+
+def next_month(name: str, df: DataFrame) -> DataFrame:
+    for table, column, old, new in RENAMED:
+        if table == name:
+            df = df.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)))
+    return df
+
+
+def next_month_ctes() -> dict[str, str]:
+    """The CTEs of the wide table over next month's rows, with the codes of this month."""
+    ctes = {}
+    for name, sql in sqlgen.wide_block().ctes.items():
+        changes = [f"case when {c} = '{old}' then '{new}' else {c} end as {c}" for t, c, old, new in RENAMED if t == name]
+        if name == "application":
+            ctes["application_fit"] = sql
+            sql = "select * from application_fit"
+        if name.startswith("code_"):
+            sql = sql.replace("from application ", "from application_fit ")
+        ctes[name] = f"select * replace ({', '.join(changes)}) from ({sql})" if changes else sql
+    return ctes
+
+
+def saved_encoder(spark: SparkSession, folder: str, stages: list) -> tuple[PipelineModel, DataFrame]:
+    """An encoder fitted this month, saved at the head of a pipeline and loaded; next month's applications.
+
+    The views that the pipeline reads are next month's.
+    """
+    tables, prefix = loan_tables(spark, folder), f"loans_{uuid.uuid4().hex}_"
+    encoder.register(tables, prefix)
+    fitted = encoder.LoanEncoder(prefix=prefix, digits=DIGITS).fit(tables.train)
+    path = fresh_path(spark, "encoder")
+    PipelineModel([fitted, *stages]).save(path)
+    history = [next_month(n, getattr(tables, n)) for n in encoder.HISTORY]
+    encoder.register(LoanTables(tables.train, tables.test, *history), prefix)
+    both = next_month("application", wide.all_applications(tables.train, tables.test))
+    return PipelineModel.load(path), both
+
+
+@query(
+    "encoded_features",
+    f"""with {', '.join(f'{n} as ({s})' for n, s in next_month_ctes().items())}
+        select {KEY}, {', '.join(sqlgen.tidy_sql(n) if sqlgen.is_double(n) else sqlgen.q(n) for n in sqlgen.wide_block().names)}
+        from wide""",
+)
+def encoded_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Next month's tables, each with a category gone and a new one, in the columns of a saved and loaded encoder."""
+    model, both = saved_encoder(spark, folder, [])
+    return tidy(model.transform(both))

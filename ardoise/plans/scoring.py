@@ -16,6 +16,7 @@ from ardoise.operators.clean import Preparation, filled_sql, finite_sql, scaled_
 from ardoise.operators.metrics import best_threshold, f1_curve
 from ardoise.operators.models import LABEL, assembler, logistic, predict, vectors
 from ardoise.operators.split import add_class_weights
+from ardoise.plans.encoder import LoanEncoderModel
 from ardoise.plans.prepare import Prepared
 from ardoise.plans.specs import KEY
 from ardoise.sources.workdir import materialise
@@ -51,6 +52,13 @@ class Scorer:
         row = spark.read.schema("Threshold double").json(f"{path}/threshold").first()
         return cls(PipelineModel.load(f"{path}/pipeline"), row["Threshold"])
 
+    def with_encoder(self, encoder: LoanEncoderModel) -> Scorer:
+        """From raw tables to decisions in one saved object: codes, categories and feature order included."""
+        lacking = set(self.features()) - set(encoder.columns)
+        if lacking:
+            raise ValueError(f"the encoder does not make {sorted(lacking)[:5]}")
+        return Scorer(PipelineModel([encoder, *self.pipeline.stages]), self.threshold)
+
     def features(self) -> list[str]:
         """Features in the order of the pipeline's vector."""
         vector = next(s for s in self.pipeline.stages if isinstance(s, VectorAssembler))
@@ -58,8 +66,10 @@ class Scorer:
 
     def probabilities(self, wide: DataFrame, *keep: str) -> DataFrame:
         """Probability of class 1.  A feature that the table lacks, because no applicant in it has that category,
-        is 0, as for any applicant without it; columns that the pipeline does not know are ignored."""
-        absent = {c: F.lit(0.0) for c in self.features() if c not in wide.columns}
+        is 0, as for any applicant without it; columns that the pipeline does not know are ignored.  A pipeline that
+        begins with an encoder takes raw applications instead."""
+        encoded = isinstance(self.pipeline.stages[0], LoanEncoderModel)
+        absent = {} if encoded else {c: F.lit(0.0) for c in self.features() if c not in wide.columns}
         wide = wide.withColumns(absent) if absent else wide
         return self.pipeline.transform(wide).select(*keep, vector_to_array("probability")[1].alias("p"))
 

@@ -41,17 +41,24 @@ def all_applications(train: DataFrame, test: DataFrame) -> DataFrame:
     return flagged[0].unionByName(flagged[1], allowMissingColumns=True)
 
 
-def feature_blocks(t: LoanTables, on_zero: str = "ieee") -> dict[str, DataFrame]:
+def feature_blocks(
+    t: LoanTables, on_zero: str = "ieee", categories: Mapping[str, Categories] | None = None
+) -> dict[str, DataFrame]:
     """The five history blocks.  Unused ones cost nothing: a left join onto a unique side that nobody
-    reads is removed by the optimizer."""
+    reads is removed by the optimizer.  ``categories`` gives the frozen ones of each table by its name."""
+    of = (categories or {}).get
     return {
-        "bureau": blocks.bureau_and_balance(t.bureau, t.bureau_balance, digits=t.digits.get("bureau")),
-        "previous": blocks.previous_applications(t.previous, digits=t.digits.get("previous"), on_zero=on_zero),
-        "pos": blocks.pos_cash(t.pos, digits=t.digits.get("pos")),
+        "bureau": blocks.bureau_and_balance(
+            t.bureau, t.bureau_balance, of("bureau"), of("bureau_balance"), digits=t.digits.get("bureau")
+        ),
+        "previous": blocks.previous_applications(
+            t.previous, of("previous"), digits=t.digits.get("previous"), on_zero=on_zero
+        ),
+        "pos": blocks.pos_cash(t.pos, of("pos"), digits=t.digits.get("pos")),
         "installments": blocks.installments_payments(
-            t.installments, digits=t.digits.get("installments"), on_zero=on_zero
+            t.installments, of("installments"), digits=t.digits.get("installments"), on_zero=on_zero
         ),
-        "card": blocks.credit_card_balance(t.card, digits=t.digits.get("card")),
+        "card": blocks.credit_card_balance(t.card, of("card"), digits=t.digits.get("card")),
     }
 
 
