@@ -11,9 +11,10 @@ from ardoise.catalog.sqlgen import q
 from ardoise.catalog.shared import prepared, wide_table
 from ardoise.catalog.standin import applications, load, role, with_roles
 from ardoise.functions.aggspec import quoted
-from ardoise.operators import clean, encode, median, profile
+from ardoise.operators import clean, encode, median, profile, sparse
 from ardoise.plans import blocks, prepare, wide
 from ardoise.plans.specs import KEY
+from ardoise.sources.workdir import fresh_path
 
 APP = with_roles("application")
 HOUSING = ("Flat", "House", "Other")
@@ -37,6 +38,48 @@ def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     return encode.one_hot(rows)[0]
 
 
+# Texts that have a million values among six hundred thousand line items; a flag that is often missing.
+_MANY = {
+    "offer": "concat(l_partkey, ':', l_suppkey, ':', l_linenumber)",
+    "delivery": "concat(l_orderkey, ':', l_suppkey)",
+    "item": "concat(l_partkey, ':', l_suppkey, ':', cast(l_quantity as int))",
+    "place": "concat(l_orderkey, ':', l_partkey, ':', l_linenumber)",
+    "flag": "case when l_quantity < 3 then null else l_returnflag end",
+}
+_MANY_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
+
+def _sparse_sql() -> str:
+    index = ", ".join(
+        f"i_{c} as materialized (select {c}, row_number() over (order by {c}) - 1 as i from (select distinct {c} from many where l_linestatus = 'F' and {c} is not null))"
+        for c in _MANY
+    )
+    sizes = ", ".join(f"(select count(*) from i_{c}) as n_{c}" for c in _MANY)
+    places, start = [], "0"
+    for c in _MANY:
+        places.append(f"case when many.{c} is null then n_{c} else i_{c}.i end + {start}")
+        start += f" + n_{c} + 1"
+    joins = " ".join(f"left join i_{c} on i_{c}.{c} = many.{c}" for c in _MANY)
+    return f"""with many as (select *, {', '.join(f'{sql} as {c}' for c, sql in _MANY.items())} from lineitem),
+        {index}, sizes as (select {sizes})
+        select {_MANY_KEY}, cast({start} as bigint) as size,
+            array_to_string(list_filter([{', '.join(places)}], lambda x: x is not null), ',') as indices
+        from many {joins}, sizes"""
+
+
+@query("sparse_one_hot", _sparse_sql())
+def sparse_one_hot(spark: SparkSession, folder: str) -> DataFrame:
+    """Sparse vectors of all line items over the values that finished ones have: a million places, no column each."""
+    rows = load(spark, folder, "lineitem").withColumns({c: F.expr(sql) for c, sql in _MANY.items()})
+    fitted = sparse.fit_sparse(rows.where("l_linestatus = 'F'"), list(_MANY))
+    path = fresh_path(spark, "categories")
+    fitted.save(path)
+    vector = F.unwrap_udt("features")
+    return sparse.SparseCategories.load(spark, path).vectors(rows).select(
+        *_MANY_KEY.split(", "), vector["size"].cast("bigint").alias("size"), F.array_join(vector["indices"], ",").alias("indices")
+    )
+
+
 @query(
     "factorize",
     f"""{APP}, codes as (
