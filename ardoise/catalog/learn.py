@@ -10,13 +10,14 @@ from ardoise.catalog.registry import query
 from ardoise.catalog.shared import prepared, scorer, vectors_of, wide_table
 from ardoise.catalog.sqlgen import q
 from ardoise.catalog.standin import role, with_roles
-from ardoise.operators import clean, explain, models, smote
+from ardoise.operators import clean, explain, forests, metrics, models, smote
 from ardoise.operators.models import LABEL
+from ardoise.operators.split import add_class_weights
 from ardoise.plans import scoring
 from ardoise.plans.prepare import parts
 from ardoise.plans.specs import KEY
 from ardoise.sources import tables
-from ardoise.sources.workdir import fresh_path, materialise
+from ardoise.sources.workdir import fresh_path
 from ardoise.streaming import requests
 
 
@@ -100,16 +101,62 @@ def grid_cv(spark: SparkSession, folder: str) -> DataFrame:
     """All combinations of the logistic grid over five stratified folds: mean and spread of the AUC, ranked."""
     data = prepared(spark, folder)
     folds = models.grid_search(data.train, "LR_clf", models.LR_GRID, KEY, data.preparation.features)
-    return models.cv_summary(materialise(folds, "folds"))
+    return models.cv_summary(folds)
+
+
+@query("rf_grid_cv")
+def rf_grid_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """All 27 combinations of the forest grid over five stratified folds, from nine forests per fold."""
+    data = prepared(spark, folder)
+    features = data.preparation.features
+    folds = models.grid_search(data.train, "RF_clf", models.rf_grid(len(features)), KEY, features)
+    return models.cv_summary(folds)
+
+
+@query("best_fold_scores")
+def best_fold_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """AUC of every split for the best combination of the logistic grid, its parameters, and the AUC on the validation
+    rows of the model refitted on all training rows."""
+    data = prepared(spark, folder)
+    features = data.preparation.features
+    folds = models.grid_search(data.train, "LR_clf", models.LR_GRID, KEY, features, n_fold_repeats=2)
+    model, params, _ = models.refit_best(vectors_of(spark, folder), "LR_clf", models.LR_GRID, folds)
+    held = models.predict(model, models.vectors(data.valid, features, LABEL))
+    area = metrics.roc_auc(held, LABEL, "proba").select("auc").scalar()
+    return models.best_fold_scores(folds).select("Fold", "AUC", F.lit(str(params)).alias("params"), area.alias("refit_auc"))
+
+
+@query("model_scores")
+def model_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Score table of majority class, logistic regression and forest on the same validation rows, in one pass, written as
+    CSV and read again."""
+    data = prepared(spark, folder)
+    rows = models.dummy_scores(data.train, models.vectors(data.valid, data.preparation.features, KEY, LABEL))
+    rows = rows.withColumnsRenamed({"prediction": "dummy_said", "proba": "dummy_p"})
+    train = vectors_of(spark, folder)
+    for name, model in (("LR", models.logistic(train)), ("RF", models.forest(train, n_estimators=50, min_samples_leaf=5))):
+        rows = models.predict(model, rows).withColumnsRenamed({"prediction": f"{name}_said", "proba": f"{name}_p"})
+    table = metrics.score_table(rows, LABEL, {f"{n}_clf": (f"{n}_p", f"{n}_said") for n in ("dummy", "LR", "RF")})
+    path = fresh_path(spark, "scores")
+    tables.write_result(table, path, "csv")
+    return tables.read_result(spark, path, "model string, auc double, f1 double, recall double, precision double", "csv")
+
+
+#: Bags of the error curve, and trees of each.
+BAGS, PER_BAG = 20, 10
 
 
 @query("tree_error_curve")
 def tree_error_curve(spark: SparkSession, folder: str) -> DataFrame:
-    """Validation error of the first 10, 20, .. 200 trees of one forest."""
-    data = prepared(spark, folder)
-    model = models.forest(vectors_of(spark, folder), n_estimators=200)
-    held = models.vectors(data.valid, data.preparation.features, LABEL)
-    return models.tree_error_curve(model, held, range(10, 201, 10))
+    """Error of the first 10, 20, .. 200 trees of one forest: on the training rows that their bags lack, and on the
+    validation rows."""
+    data, sizes = prepared(spark, folder), range(PER_BAG, BAGS * PER_BAG + 1, PER_BAG)
+    features = data.preparation.features
+    bagged = forests.with_bags(models.vectors(add_class_weights(data.train, LABEL), features, KEY, LABEL, "weight"), KEY, BAGS)
+    forest = forests.bagged_forest(bagged, BAGS, PER_BAG, parallelism=8)
+    out = forests.error_curve(forests.left_out_votes(forest, bagged, sizes), sizes)
+    held = forests.error_curve(forests.mean_votes(forest, models.vectors(data.valid, features, LABEL), sizes), sizes)
+    return out.withColumnsRenamed({"rows": "left_out_rows", "error": "left_out_error"}).join(held.drop("rows"), "n")
 
 
 @query("global_importance")

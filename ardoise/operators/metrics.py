@@ -4,7 +4,7 @@ rows, whatever their number."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +34,12 @@ def roc_auc(scored: DataFrame, label: str, score: str, by: Sequence[str] = (), r
         F.count_if(_positive(label)).alias("_pos"), F.count_if(~_positive(label)).alias("_neg")
     )
     # Written once: cutting it into ranges reads it several times, and scoring again would cost more.
-    cum = running_totals(materialise(ties, "ties"), score, ["_neg"], by, ranges)
+    return auc_of_ties(materialise(ties, "ties"), score, by, ranges)
+
+
+def auc_of_ties(ties: DataFrame, score: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """The area from one row per score with its numbers of positives and negatives."""
+    cum = running_totals(ties, score, ["_neg"], by, ranges)
     # Doubles: products of counts leave the range of long integers on very large tables.
     below, pos, neg = [c.cast("double") for c in (F.col("_neg_upto") - F.col("_neg"), F.col("_pos"), F.col("_neg"))]
     wins = F.sum(pos * (2 * below + neg))
@@ -90,6 +95,30 @@ def score_row(scored: DataFrame, label: str, score: str, predicted: str, model:
     )
 
 
+def score_table(scored: DataFrame, label: str, scores: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """One row per model, all models in one pass: AUC, F1, recall and precision to two digits.
+
+    ``scores`` maps a model's name to its columns of score and prediction.
+    """
+    cells = [
+        F.struct(F.lit(m).alias("model"), F.col(s).cast("double").alias("_s"), F.col(p).cast("int").alias("_p")) for m, (s, p) in scores.items()
+    ]
+    long = scored.select(label, F.inline(F.array(*cells)))
+    # Rows of equal score and prediction meet once; both measures are sums over them.
+    ties = materialise(
+        long.groupBy("model", "_s", "_p").agg(F.count_if(_positive(label)).alias("_y1"), F.count_if(~_positive(label)).alias("_y0")), "ties"
+    )
+    hit, said = F.col("_p") == 1, F.col("_p") == 0
+    counts = ties.groupBy("model").agg(
+        F.sum(F.when(hit, F.col("_y1")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("_y0")).otherwise(0)).alias("fp"),
+        F.sum(F.when(said, F.col("_y1")).otherwise(0)).alias("fn"), F.sum(F.when(said, F.col("_y0")).otherwise(0)).alias("tn"),
+    )
+    area = auc_of_ties(ties.groupBy("model", "_s").agg(F.sum("_y1").alias("_pos"), F.sum("_y0").alias("_neg")), "_s", ["model"])
+    # One row per model on each side.
+    joined = with_rates(counts).join(area, "model")
+    return joined.select("model", *[F.round(c, 2).alias(c) for c in ("auc", "f1", "recall", "precision")])
+
+
 def confusion_matrix(scored: DataFrame, label: str, predicted: str, normalize: bool = False) -> DataFrame:
     """Rows are true classes, columns predicted ones; missing cells are 0.  Normalised by true class on
     request."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Mapping, Sequence
-from functools import reduce
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
@@ -18,13 +17,15 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ardoise.operators.forests import prefix_scores
 from ardoise.operators.metrics import roc_auc
 from ardoise.operators.smote import oversample
 from ardoise.operators.split import FOLDS, REPEATS, add_class_weights, stratified_folds
-from ardoise.sources.workdir import materialise
+from ardoise.sources.workdir import fresh_path, materialise
 
 LABEL = "TARGET"
 SEED = 42
@@ -105,6 +106,44 @@ def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
+#: One row per model, combination, repeat and fold.
+RESULTS = "model string, params_id int, params string, repeat int, fold int, auc double"
+
+
+def fits_of(model_name: str, params: Sequence[dict]) -> list[tuple[dict, list[tuple[int, int | None]]]]:
+    """What to fit, and which combinations each fit scores: forests that differ by their number of trees only are the
+    first trees of one forest."""
+    if model_name != "RF_clf":
+        return [(p, [(i, None)]) for i, p in enumerate(params)]
+    shared: dict[tuple, list[tuple[int, int]]] = {}
+    for i, p in enumerate(params):
+        rest = tuple((k, v) for k, v in p.items() if k != "n_estimators")
+        shared.setdefault(rest, []).append((i, p.get("n_estimators", 100)))
+    return [({**dict(rest), "n_estimators": max(n for _, n in sizes)}, sizes) for rest, sizes in shared.items()]
+
+
+def _scored_by(rows: DataFrame, model, sizes: Sequence[tuple[int, int | None]], name: str) -> tuple[DataFrame, list]:
+    """The rows with the scores of one fit, and a (params_id, proba) for each combination."""
+    if sizes[0][1] is None:
+        model.setProbabilityCol(name).setRawPredictionCol("").setPredictionCol("")
+        rows, scores = model.transform(rows), [vector_to_array(name)[1]]
+    else:
+        rows = prefix_scores(model, rows, [n for _, n in sizes], name)
+        scores = [F.col(name)[j] for j in range(len(sizes))]
+    return rows, [F.struct(F.lit(i).alias("params_id"), s.alias("proba")) for (i, _), s in zip(sizes, scores)]
+
+
+def _kept_results(rows: DataFrame, path: str, model_name: str) -> DataFrame:
+    """Results of earlier runs of this search."""
+    spark = rows.sparkSession
+    try:
+        return spark.read.schema(RESULTS).parquet(path).where(F.col("model") == model_name)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], RESULTS)
+
+
 def grid_search(
     rows: DataFrame,
     model_name: str,
@@ -116,48 +155,62 @@ def grid_search(
     n_fold_repeats: int = REPEATS,
     label: str = LABEL,
     parallelism: int = 8,
+    results: str | None = None,
 ) -> DataFrame:
     """Area under the curve for every parameter combination and held-out fold.
 
     Returns (params_id, params, repeat, fold, auc).  ``class_imb`` is ``CW`` (balanced class weights) or
     ``SMOTE`` (synthetic minority rows in the training folds).  Fits run side by side from a few driver
-    threads; each is a distributed job, and the scored folds of all fits are evaluated together.
+    threads; each is a distributed job.  The rows are packed into vectors once per repeat and filtered by fold.
+
+    The rows of a fold are appended to ``results`` (Parquet) when all its combinations are scored.  A search that is
+    started again with the same folder goes on with the folds and combinations that are not there yet: folds are
+    functions of the key, so it ends with the table of an undisturbed run.
     """
     if class_imb not in ("CW", "SMOTE"):
         raise ValueError("class_imb must be 'CW' or 'SMOTE'")
-    fit = FITTERS[model_name]
-    params = combinations(grid)
+    fit, params = FITTERS[model_name], combinations(grid)
     spark = rows.sparkSession
-    parts = []
+    results = results or fresh_path(spark, "results")
+    # One row per combination and fold.
+    kept = {(r["params"], r["repeat"], r["fold"]) for r in _kept_results(rows, results, model_name).collect()}
+    names = [str(p) for p in params]
     for repeat in range(n_fold_repeats):
+        todo = {f: {i for i, n in enumerate(names) if (n, repeat, f) not in kept} for f in range(n_fold)}
+        if not any(todo.values()):
+            continue
         folded = stratified_folds(rows.select(key, label, *features), label, key, n_fold, repeat)
-        folded = materialise(folded, "folds")
-        packed = materialise(vectors(folded, features, key, label, "fold"), "vectors")
-        for fold in range(n_fold):
+        if class_imb == "SMOTE":
+            folded = materialise(folded, "folds")
+        # Laid out by key: the bags of a forest depend on where its rows lie, and another run shall draw the same.
+        packed = vectors(folded, features, key, label, "fold").repartition(key).sortWithinPartitions(key)
+        packed = materialise(packed, "vectors")
+        for fold in (f for f in range(n_fold) if todo[f]):
             if class_imb == "SMOTE":
                 train = oversample(folded.where(F.col("fold") != fold), label, key, features)
-                train = vectors(train.withColumn("weight", F.lit(1.0)), features, label, "weight")
+                train = materialise(vectors(train.withColumn("weight", F.lit(1.0)), features, label, "weight"), "fold")
             else:
+                # A projection of the packed rows.  Spark ML caches its own blocks; a copy would only take space.
                 train = add_class_weights(packed.where(F.col("fold") != fold), label).select(label, "weight", "features")
-            # Spark ML caches its own blocks of the rows; a second cache would only take their memory.
-            train = materialise(train, "fold")
-            with ThreadPool(min(parallelism, len(params))) as pool:
-                one = inheritable_thread_target(spark)(lambda p: fit(train, label=label, **p))
-                models = pool.map(one, params)
-            # All models of the fold score its held-out rows in one scan, written before the next fold.
+            fits = [(p, [s for s in sizes if s[0] in todo[fold]]) for p, sizes in fits_of(model_name, params)]
+            fits = [(p, sizes) for p, sizes in fits if sizes]
+            with ThreadPool(min(parallelism, len(fits))) as pool:
+                one = inheritable_thread_target(spark)(lambda f, train=train: fit(train, label=label, **f[0]))
+                models = pool.map(one, fits)
+            # All models of the fold score its held-out rows in one scan.
             held, cells = packed.where(F.col("fold") == fold).select(label, "features"), []
-            for i, model in enumerate(models):
-                model.setProbabilityCol(f"_p{i}").setRawPredictionCol("").setPredictionCol("")
-                held = model.transform(held)
-                cells.append(
-                    F.struct(F.lit(i).alias("params_id"), vector_to_array(f"_p{i}")[1].alias("proba"))
-                )
+            for j, (model, (_, sizes)) in enumerate(zip(models, fits)):
+                held, more = _scored_by(held, model, sizes, f"_p{j}")
+                cells += more
+            areas = roc_auc(held.select(label, F.inline(F.array(*cells))), label, "proba", ["params_id"])
+            named = spark.createDataFrame([(i, names[i]) for i in sorted(todo[fold])], "params_id int, params string")
             tags = [F.lit(repeat).alias("repeat"), F.lit(fold).alias("fold")]
-            parts.append(materialise(held.select(label, *tags, F.inline(F.array(*cells))), "scored"))
-    scored = reduce(DataFrame.unionByName, parts)
-    areas = roc_auc(scored, label, "proba", ["params_id", "repeat", "fold"])
-    names = spark.createDataFrame([(i, str(p)) for i, p in enumerate(params)], "params_id int, params string")
-    return areas.join(F.broadcast(names), "params_id").select("params_id", "params", "repeat", "fold", "auc")
+            out = areas.join(F.broadcast(named), "params_id").select(F.lit(model_name).alias("model"), "params_id", "params", *tags, "auc")
+            out.coalesce(1).write.mode("append").parquet(results)
+    # The numbers of this grid, should another one have written to the folder.
+    number = spark.createDataFrame(list(enumerate(names)), "params_id int, params string")
+    done = _kept_results(rows, results, model_name).drop("params_id", "model").where(F.col("repeat") < n_fold_repeats)
+    return done.join(F.broadcast(number), "params").select("params_id", "params", "repeat", "fold", "auc")
 
 
 def cv_summary(folds: DataFrame) -> DataFrame:
