@@ -106,20 +106,20 @@ def grid_cv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rf_grid_cv")
 def rf_grid_cv(spark: SparkSession, folder: str) -> DataFrame:
-    """All 27 combinations of the forest grid over five stratified folds, from nine forests per fold."""
+    """All 27 combinations of the forest grid over two stratified folds, from nine forests per fold."""
     data = prepared(spark, folder)
     features = data.preparation.features
-    folds = models.grid_search(data.train, "RF_clf", models.rf_grid(len(features)), KEY, features)
+    folds = models.grid_search(data.train, "RF_clf", models.rf_grid(len(features)), KEY, features, n_fold=2)
     return models.cv_summary(folds)
 
 
 @query("best_fold_scores")
 def best_fold_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """AUC of every split for the best combination of the logistic grid, its parameters, and the AUC on the validation
-    rows of the model refitted on all training rows."""
+    """AUC of every split (three folds, twice) for the best combination of the logistic grid, its parameters, and the AUC on
+    the validation rows of the model refitted on all training rows."""
     data = prepared(spark, folder)
     features = data.preparation.features
-    folds = models.grid_search(data.train, "LR_clf", models.LR_GRID, KEY, features, n_fold_repeats=2)
+    folds = models.grid_search(data.train, "LR_clf", models.LR_GRID, KEY, features, n_fold=3, n_fold_repeats=2)
     model, params, _ = models.refit_best(vectors_of(spark, folder), "LR_clf", models.LR_GRID, folds)
     held = models.predict(model, models.vectors(data.valid, features, LABEL))
     area = metrics.roc_auc(held, LABEL, "proba").select("auc").scalar()

@@ -18,13 +18,13 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ardoise.operators.forests import prefix_scores
 from ardoise.operators.metrics import roc_auc
 from ardoise.operators.smote import oversample
-from ardoise.operators.split import FOLDS, REPEATS, add_class_weights, stratified_folds
+from ardoise.operators.split import FOLDS, REPEATS, stratified_folds
 from ardoise.sources.workdir import fresh_path, materialise
 
 LABEL = "TARGET"
@@ -122,6 +122,15 @@ def fits_of(model_name: str, params: Sequence[dict]) -> list[tuple[dict, list[tu
     return [({**dict(rest), "n_estimators": max(n for _, n in sizes)}, sizes) for rest, sizes in shared.items()]
 
 
+def balanced_weight(counts: Mapping[int, int], label: str) -> Column:
+    """Weight that makes all classes equally heavy, from the number of rows of each."""
+    present = {c: n for c, n in counts.items() if n}
+    total, weight = sum(present.values()), F.lit(None).cast("double")
+    for c, n in present.items():
+        weight = F.when(F.col(label).cast("int") == c, F.lit(total / (len(present) * n))).otherwise(weight)
+    return weight
+
+
 def _scored_by(rows: DataFrame, model, sizes: Sequence[tuple[int, int | None]], name: str) -> tuple[DataFrame, list]:
     """The rows with the scores of one fit, and a (params_id, proba) for each combination."""
     if sizes[0][1] is None:
@@ -185,13 +194,18 @@ def grid_search(
         # Laid out by key: the bags of a forest depend on where its rows lie, and another run shall draw the same.
         packed = vectors(folded, features, key, label, "fold").repartition(key).sortWithinPartitions(key)
         packed = materialise(packed, "vectors")
+        counts: dict[int, dict[int, int]] = {}
+        # One row per class and fold.
+        for r in packed.groupBy(F.col(label).cast("int").alias("c"), "fold").count().where("c is not null").collect():
+            counts.setdefault(r["c"], {})[r["fold"]] = r["count"]
         for fold in (f for f in range(n_fold) if todo[f]):
             if class_imb == "SMOTE":
                 train = oversample(folded.where(F.col("fold") != fold), label, key, features)
                 train = materialise(vectors(train.withColumn("weight", F.lit(1.0)), features, label, "weight"), "fold")
             else:
                 # A projection of the packed rows.  Spark ML caches its own blocks; a copy would only take space.
-                train = add_class_weights(packed.where(F.col("fold") != fold), label).select(label, "weight", "features")
+                weight = balanced_weight({c: sum(n for f, n in by.items() if f != fold) for c, by in counts.items()}, label)
+                train = packed.where(F.col("fold") != fold).select(label, weight.alias("weight"), "features")
             fits = [(p, [s for s in sizes if s[0] in todo[fold]]) for p, sizes in fits_of(model_name, params)]
             fits = [(p, sizes) for p, sizes in fits if sizes]
             with ThreadPool(min(parallelism, len(fits))) as pool:
