@@ -415,3 +415,25 @@ def test_quality_on_odd_rows(spark, odd, nothing):
     none = quality.fit_grader(odd, ratings.where("grade = 2"))
     assert all(r.keep and r.p_top == 1 and r.expected_grade is None for r in none.score(odd).collect())
     assert quality.fit_grader(nothing, ratings).score(nothing).count() == 0
+
+
+def test_the_sample_of_texts_is_bounded(spark):
+    n = 60_000
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, F.lit(7)).otherwise(F.col("id"))
+    own = spark.range(n).select(ids.alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    # Texts of their own under no key, one key, and many keys: all are sampled alike.
+    got = pii.sample(own, "doc_id", "text", 2_000).count()
+    assert 1_700 < got < 2_300
+    # One text on two thirds of the rows, once without a key and once under one: two texts at most.
+    same = own.withColumn("text", F.when(F.col("doc_id").isNull() | (F.col("doc_id") == 7), F.lit("one")).otherwise(F.col("text")))
+    assert pii.sample(same, "doc_id", "text", 2_000).count() < 900
+    assert pii.sample(same, "doc_id", "text", n).count() == n // 3 + 2
+
+
+def test_the_examples_are_bounded(spark, monkeypatch):
+    one = " ".join(f"mail a{k}@b.org or +33 1 22 33 {k % 90 + 10} 55" for k in range(3_000))
+    monkeypatch.setattr(pii, "MOST_EXAMPLES", 500)
+    seen, fit = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: (seen.append(rows.count()), fit(self, rows))[1])
+    trees = pii.train(spark.createDataFrame([(1, one), (2, one), (None, one)], "doc_id bigint, text string"))
+    assert trees is not None and 100 < seen[0] < 600
