@@ -7,18 +7,22 @@ is the page's vote.  Spark counts the votes per host, and every page is read aga
 page that lacks the path keeps its own best container.
 
 Boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) is
-recognised by tag, role, class or id and never gives text or votes.
+recognised by tag, role, class or id and never gives text or votes.  Outside an article one word of a name is
+enough.  Inside it a whole name must say so (``ad``, ``share-buttons``; not ``search-term``), or the element
+must consist of links for the most part.  Elements within a line are adverts or share links by a whole name.
 
 Defined results: null html is empty and gives empty text; so does a page without text outside boilerplate.
-A null url belongs to the empty host.  Unclosed and stray tags are tolerated: a stray end tag is ignored, an
-unclosed element ends with the page.  Repeated rows give repeated results.  Whole pages are read, whatever
-their length; only the named columns are.
+A null url belongs to the empty host.  End tags that HTML lets authors omit (``p``, ``li``, ``dt``, ``dd``,
+``option``, ``head``, parts of tables) are implied; a stray end tag is ignored, any other unclosed element
+ends with its parent.  Repeated rows give repeated results, an empty table an empty one.  Whole pages are
+read, whatever their length and depth; only the named columns are.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +36,7 @@ from ardoise.sources.workdir import materialise
 #: Elements whose text is never part of an article.
 DROPPED = frozenset(
     "nav footer aside form script style noscript template iframe button select option textarea input svg canvas dialog "
-    "menu head title object embed audio video label fieldset".split()
+    "menu head title object embed audio video fieldset datalist".split()
 )
 #: Words in a class, id or role that mark boilerplate.
 MARKS = frozenset(
@@ -42,16 +46,43 @@ MARKS = frozenset(
     "discussion related recommended recommendations share sharing social login signup search toolbar pagination pager "
     "skip complementary contentinfo hidden".split()
 )
+#: Words that go with those in the name of a piece of furniture.
+PARTS = frozenset(
+    "area bar block box button buttons container content entry form group icon icons inner item items left link links list "
+    "module outer panel post posts right row section site slot story stories text top bottom title unit wrap wrapper zone".split()
+)
+#: Marks of elements within a line.
+WITHIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup newsletter subscribe "
+    "share sharing social skip hidden".split()
+)
 #: These mark boilerplate only outside an article, where a heading may stand in a header of its own.
 OUTSIDE = frozenset("header masthead topbar".split())
-CONTAINERS = frozenset("html body div section article main center td blockquote figure details ul ol dl table tr tbody header".split())
 VOTERS = frozenset("html body div section article main center td".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr label".split()
 )
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Start tags that end an open paragraph, and elements that keep a paragraph outside them open.
+ENDS_P = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr li dd dt main menu nav ol p pre search section summary table ul".split()
+)
+P_SCOPE = frozenset("table td th caption button object template html".split())
+LISTS = frozenset("ul ol menu dl".split()) | P_SCOPE
+TABLE = frozenset(("table", "template", "html"))
+#: Start tag: the open elements that it ends, and what it does not look beyond.
+IMPLIED = {
+    "li": (frozenset(["li"]), LISTS), "dt": (frozenset(("dt", "dd")), LISTS), "dd": (frozenset(("dt", "dd")), LISTS),
+    "td": (frozenset(("td", "th")), TABLE), "th": (frozenset(("td", "th")), TABLE), "tr": (frozenset(["tr"]), TABLE),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot")), TABLE)),
+    "option": (frozenset(["option"]), frozenset(("select", "datalist", "html"))),
+}
+#: End tags that are stray beyond these.
+END_SCOPE = {"p": P_SCOPE, "li": LISTS, "dt": LISTS, "dd": LISTS, "td": TABLE, "th": TABLE, "tr": TABLE}
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A tag that says "article" is worth this many times its text.
 MEANT = {"article": 3.0, "main": 2.0}
 
@@ -61,30 +92,75 @@ WORDS = re.compile(r"[a-z]+")
 DIGITS = re.compile(r"[0-9]+")
 
 
+def _furniture(name: str) -> bool:
+    """Whether a whole class or id names boilerplate."""
+    words = set(WORDS.findall(name))
+    return bool(words & MARKS) and words <= MARKS | PARTS
+
+
 class _Node:
-    __slots__ = ("above", "tag", "path", "dropped", "article", "text", "links", "own")
+    __slots__ = ("above", "tag", "name", "key", "voter", "dropped", "suspect", "article", "text", "links")
 
     def __init__(self, above: "_Node | None", tag: str, attributes: str):
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if attributes else {}
-        name = DIGITS.sub("#", ".".join(sorted(found.get("class", "").lower().split())))
+        name = DIGITS.sub("#", ".".join(sorted(found.get("class", "").lower().split()))).replace(">", "_")
         self.above, self.tag = above, tag
-        self.path = (f"{above.path}>" if above else "") + tag + (f".{name}" if name else "")
+        self.name = f"{tag}.{name}" if name else tag
+        self.key = hash((above.key if above else 0, self.name))
+        self.voter = self if tag in VOTERS else above.voter if above else None
         self.article = tag in MEANT or bool(above and above.article)
-        marks = set(WORDS.findall(" ".join(found.values()).lower())) if found else set()
-        self.dropped = bool(
-            above and above.dropped
-            or tag in DROPPED
-            or marks & MARKS
-            or not self.article and (tag == "header" or marks & OUTSIDE)
-        )
+        names = " ".join(found.values()).lower() if found else ""
+        marks = set(WORDS.findall(names))
+        self.suspect = bool(marks & MARKS)
+        if tag in INLINE:
+            said = any(WITHIN >= set(WORDS.findall(x)) and WORDS.search(x) for x in names.split())
+        elif self.article:
+            said = self.suspect and any(map(_furniture, names.split()))
+        else:
+            said = self.suspect or tag == "header" or bool(marks & OUTSIDE)
+        self.dropped = bool(above and above.dropped) or tag in DROPPED or said
         self.text = self.links = 0
-        self.own: list = []
 
+    def path(self) -> str:
+        names, x = [], self
+        while x is not None:
+            names.append(x.name)
+            x = x.above
+        return ">".join(reversed(names))
+
+
+class _Stack(list):
+    """Open elements, and how many there are of each tag."""
+
+    def __init__(self, root: _Node):
+        super().__init__([root])
+        self.tags = Counter()
 
-def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """Containers in page order, and the runs of text with the container of each; a run of None parts blocks."""
+    def enter(self, x: _Node) -> None:
+        self.append(x)
+        self.tags[x.tag] += 1
+
+    def leave(self, tags: frozenset, scope: frozenset | None) -> None:
+        """Ends the innermost element of these tags and all within it, unless one of ``scope`` lies between."""
+        if not any(self.tags[t] for t in tags):
+            return
+        for k in range(len(self) - 1, 0, -1):
+            if self[k].tag in tags:
+                for x in self[k:]:
+                    self.tags[x.tag] -= 1
+                del self[k:]
+                return
+            if scope is None and self[k].tag not in INLINE or scope and self[k].tag in scope:
+                return
+
+
+ANYWHERE, P, HEAD = frozenset([""]), frozenset(["p"]), frozenset(["head"])
+
+
+def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str | None]]]:
+    """Elements in page order, and the runs of text with the element of each; a run of None parts blocks."""
     root = _Node(None, "html", "")
-    stack, nodes, runs, at, links = [root], [root], [], 0, 0
+    stack, nodes, runs, at, links = _Stack(root), [root], [], 0, 0
     while True:
         m = TAG.search(page, at)
         top = stack[-1]
@@ -97,7 +173,7 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
             if links:
                 top.links += n
         if not m:
-            return nodes, runs
+            break
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
@@ -105,25 +181,51 @@ def _read(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if tag in INLINE:
             if tag == "a":
                 links = 0 if m[1] else 1
+            if m[1]:
+                if stack.tags[tag]:
+                    stack.leave(frozenset([tag]), None)
+            elif tag not in VOID and (stack.tags[tag] or m[3] and ATTRIBUTE.search(m[3])):
+                # Only boilerplate within a line becomes a node, with what it holds of the same tag.
+                x = _Node(top, tag, m[3])
+                if x.dropped and (not top.dropped or stack.tags[tag]):
+                    stack.enter(x)
+                    nodes.append(x)
             continue
         runs.append((top, None))
         links = 0
         if m[1]:
-            if any(x.tag == tag for x in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if stack.tags[tag]:
+                stack.leave(frozenset([tag]), END_SCOPE.get(tag, ANYWHERE))
             continue
+        if stack.tags["head"] and tag not in IN_HEAD:
+            stack.leave(HEAD, ANYWHERE)
+        if tag in ENDS_P and stack.tags["p"]:
+            stack.leave(P, P_SCOPE)
+        if tag in IMPLIED:
+            stack.leave(*IMPLIED[tag])
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in VOID or tag == "html":
+        if tag in VOID or tag == "html" or m[3].endswith("/"):
             continue
-        if tag in CONTAINERS or tag in DROPPED or "class" in m[3] or "id" in m[3] or "role" in m[3]:
-            if not m[3].endswith("/"):
-                stack.append(_Node(top, tag, m[3]))
-                nodes.append(stack[-1])
+        stack.enter(_Node(stack[-1], tag, m[3]))
+        nodes.append(stack[-1])
+    _drop_links(nodes)
+    return nodes, runs
+
+
+def _drop_links(nodes: list[_Node]) -> None:
+    """Drops elements inside articles whose names hint at boilerplate and whose text is links for the most part."""
+    if not any(x.suspect and not x.dropped for x in nodes):
+        return
+    text, links = {id(x): x.text for x in nodes}, {id(x): x.links for x in nodes}
+    for x in reversed(nodes[1:]):
+        text[id(x.above)] += text[id(x)]
+        links[id(x.above)] += links[id(x)]
+    for x in nodes[1:]:
+        if x.above.dropped or x.suspect and x.tag not in INLINE and 2 * links[id(x)] > text[id(x)]:
+            x.dropped = True
 
 
 def _vote(nodes: list[_Node]) -> tuple[str, float] | None:
@@ -133,31 +235,29 @@ def _vote(nodes: list[_Node]) -> tuple[str, float] | None:
         if x.dropped or not x.text:
             continue
         value, share = x.text - 2.0 * x.links, 1.0
-        y = x
+        y = x.voter
         while y is not None and share >= 0.25:
-            if y.tag in VOTERS:
-                score[id(y)] = score.get(id(y), 0.0) + value * share
-                share /= 2
-            y = y.above
+            score[id(y)] = score.get(id(y), 0.0) + value * share
+            share /= 2
+            y = y.above and y.above.voter
     best = None
     for x in nodes:
         s = score.get(id(x), 0.0) * MEANT.get(x.tag, 1.0)
         if s > 0 and (best is None or s > best[1]):
-            best = (x.path, s)
-    return best
+            best = (x, s)
+    return best and (best[0].path(), best[1])
 
 
-def _text(runs: list[tuple[_Node, str]], path: str) -> str | None:
+def _text(nodes: list[_Node], runs: list[tuple[_Node, str | None]], path: str) -> str | None:
     """Text below containers of that path, or None if there is none."""
-    inside: dict[int, bool] = {}
-
-    def holds(x: _Node) -> bool:
-        known = inside.get(id(x))
-        if known is None:
-            known = inside[id(x)] = x.path == path or (x.above is not None and holds(x.above))
-        return known
-
-    parts = [" " if piece is None else piece for x, piece in runs if holds(x)]
+    key = 0
+    for name in path.split(">"):
+        key = hash((key, name))
+    inside: set[int] = set()
+    for x in nodes:
+        if x.key == key or id(x.above) in inside:
+            inside.add(id(x))
+    parts = [" " if piece is None else piece for x, piece in runs if id(x) in inside and (piece is None or not x.dropped)]
     return " ".join("".join(parts).split()) if parts else None
 
 
@@ -168,10 +268,10 @@ def best_container(page: str) -> tuple[str, float] | None:
 def main_text(page: str, path: str | None) -> str:
     """The main text by the host's path, or else by the page's own best container."""
     nodes, runs = _read(page)
-    text = _text(runs, path) if path else None
+    text = _text(nodes, runs, path) if path else None
     if not text:
         best = _vote(nodes)
-        text = _text(runs, best[0]) if best else ""
+        text = _text(nodes, runs, best[0]) if best else ""
     return text or ""
 
 

@@ -148,6 +148,37 @@ def test_page_text():
         assert isinstance(pages.main_text(odd, "html>body"), str)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<article><p class="ad">Buy now<p>Real text.<p>More.</article>', "Real text. More."),
+        ('<article><ul><li class="share">Share<li>Real item<li>Other</ul></article>', "Real item Other"),
+        ('<article><ul><li class=promo>Buy<ol><li>x</li></ol></li><li>Real</li></ul></article>', "Real"),
+        ('<article><p>One <span class="advert">BUY <span>THIS</span> AD</span> two.</p></article>', "One two."),
+        ('<article><p>One <a class="ad" href=x>BUY</p><p>two.</p></article>', "One two."),
+        ('<article><section id="social-policy"><p>Policy.</p></section><p>End.</article>', "Policy. End."),
+        ('<article><p class="search-term">A term.</p></article>', "A term."),
+        ('<article><p>Tick <label for=a>the box</label> twice.</p></article>', "Tick the box twice."),
+        ('<article><div class="share-buttons">Tweet</div><pre><span class="comment"># c</span> x=1</pre></article>', "# c x=1"),
+        ('<article><p>Text.</p><ul class="related-reading"><li><a href=x>One</a><li><a href=y>Two</a></ul></article>', "Text."),
+        ('<article><p class="related-work">Long work that <a href=x>one</a> did.</p></article>', "Long work that one did."),
+        ("<html><head><title>T</title><meta name=a><body><div><p>Body.<p>End.", "Body. End."),
+        ("<article><table><tr><td class=ad>Buy<td>One<tr><td>Two</table></article>", "One Two"),
+        ("<article><dl><dt>T<dd class=promo>Buy<dt>U<dd>Def</dl></article>", "T U Def"),
+        ("<article><p>One<select><option>a<option>b</select> two.</p></article>", "One two."),
+        ('<div class="a>b"><p>Kept &lt;all&gt;&nbsp;of it</div>', "Kept <all> of it"),
+    ],
+)
+def test_whole_text_of_pages(page, text):
+    assert pages.main_text(page, None) == text
+    assert pages.main_text(page, pages.best_container(page)[0]) == text
+
+
+def test_very_deep_pages():
+    for tag in ("div", "x", "p", "li", "span class=ad"):
+        assert pages.main_text("<p>Start</p>" + f"<{tag}>" * 20_000 + "</q></p>" * 1000, "html").startswith("Start")
+
+
 def test_pages_on_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (3, "http://a.b/", PAGE.replace("{n}", "7")), (3, "http://a.b/", PAGE.replace("{n}", "8")), (None, "x", "<p>hi</p>"), (5, "http://a.b/", "<nav>menu</nav>")]
     df = with_clashes(spark, rows, "page_id bigint, url string, html string")
