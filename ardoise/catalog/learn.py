@@ -186,6 +186,15 @@ def local_surrogate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("forest_surrogate")
+def forest_surrogate(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten heaviest features per test request for a forest, from 1,000 perturbed rows around each."""
+    data = prepared(spark, folder)
+    features = data.preparation.features
+    model = models.forest(vectors_of(spark, folder), n_estimators=50, min_samples_leaf=5)
+    return explain.model_surrogate(data.test, KEY, features, explain.background(data.valid, features), model, samples=1000)
+
+
 @query("batch_score")
 def batch_score(spark: SparkSession, folder: str) -> DataFrame:
     """Decision and probability for every test request."""

@@ -8,9 +8,12 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from ardoise.functions.aggspec import literal, quoted
 from ardoise.functions.exprs import clean_label, sign_label
@@ -109,12 +112,10 @@ def background(df: DataFrame, features: Sequence[str]) -> dict[str, np.ndarray]:
     return {"edges": edges, "share": share, "stats": np.nan_to_num(stats[:, :, 1:])}
 
 
-def surrogate_weights(x: np.ndarray, seed: int, bg: Mapping[str, np.ndarray], coef: np.ndarray, intercept: float,
-                      samples: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted ridge on perturbed rows around ``x``: (feature positions, local weights).
+def perturbed(x: np.ndarray, seed: int, bg: Mapping[str, np.ndarray], samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows around ``x``, itself first, and which of their features are in the quarter of ``x``.
 
-    A perturbed row draws a quarter per feature by the share of the quarter and a value within it; the
-    regression sees which features stayed in the quarter of ``x``.
+    A perturbed row draws a quarter per feature by the share of the quarter and a value within it.
     """
     rng = np.random.default_rng(seed)
     d = len(x)
@@ -125,8 +126,25 @@ def surrogate_weights(x: np.ndarray, seed: int, bg: Mapping[str, np.ndarray], co
     values = np.clip(rng.normal(mean, spread), low, high)
     same = (quarter == home[None, :]).astype(float)
     values[0], same[0] = x, 1.0
+    return values, same
+
+
+def nearness(same: np.ndarray) -> np.ndarray:
+    """Weight of each perturbed row: the more features left their quarter, the less."""
+    d = same.shape[1]
+    return np.sqrt(np.exp(-(d - same.sum(1)) / (KERNEL_FACTOR**2 * d)))
+
+
+def surrogate_weights(x: np.ndarray, seed: int, bg: Mapping[str, np.ndarray], coef: np.ndarray, intercept: float,
+                      samples: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted ridge on perturbed rows around ``x``: (feature positions, local weights).
+
+    The regression sees which features stayed in the quarter of ``x``.
+    """
+    d = len(x)
+    values, same = perturbed(x, seed, bg, samples)
     score = 1.0 / (1.0 + np.exp(-(values @ coef + intercept)))
-    weight = np.sqrt(np.exp(-(d - same.sum(1)) / (KERNEL_FACTOR**2 * d)))
+    weight = nearness(same)
 
     def ridge(columns: np.ndarray) -> np.ndarray:
         z = same[:, columns]
@@ -182,6 +200,114 @@ def local_surrogate(
     )
 
 
+class _Sums:
+    """Weighted sums of one request's perturbed rows: all that the ridge needs, whatever the number of rows."""
+
+    def __init__(self, request: int, key: int | None, d: int):
+        self.request, self.key, self.home = request, key, None
+        self.w, self.wy, self.wz, self.wzy, self.wzz = 0.0, 0.0, np.zeros(d), np.zeros(d), np.zeros((d, d))
+
+    def add(self, same: np.ndarray, score: np.ndarray) -> None:
+        w = nearness(same)
+        weighted = same * w[:, None]
+        self.w += w.sum()
+        self.wy += w @ score
+        self.wz += weighted.sum(0)
+        self.wzy += weighted.T @ score
+        self.wzz += weighted.T @ same
+
+    def weights(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The n features of largest weight, and their weights in a ridge of their own."""
+        gram = self.wzz - np.outer(self.wz, self.wz) / self.w
+        right = self.wzy - self.wz * (self.wy / self.w)
+
+        def ridge(columns: np.ndarray) -> np.ndarray:
+            return np.linalg.solve(gram[np.ix_(columns, columns)] + np.eye(len(columns)), right[columns])
+
+        chosen = np.argsort(-np.abs(ridge(np.arange(len(right)))), kind="stable")[:n]
+        return chosen, ridge(chosen)
+
+
+PERTURBED = pa.schema([("k", pa.int64()), ("request", pa.int64()), ("home", pa.binary()), ("same", pa.binary()), ("x", pa.list_(pa.float64()))])
+WEIGHTS = pa.schema([("k", pa.int64()), ("rank", pa.int32()), ("feature", pa.string()), ("contribution", pa.float64())])
+
+
+def model_surrogate(
+    df: DataFrame, key: str, features: Sequence[str], bg: Mapping[str, np.ndarray], model,
+    n: int = TOP_LOCAL, samples: int = SURROGATE_SAMPLES,
+) -> DataFrame:
+    """Local explanation of every request for any fitted classifier of Spark ML, the n heaviest features each.
+
+    The perturbed rows are rows of a table: made from their request, scored by ``model.transform`` and summed
+    into one matrix per request, all within the request's task.  No shuffle, nothing of the model in a
+    closure, and memory depends on the number of features only.  A null key is a request as any other;
+    repeated rows give repeated results, an empty table an empty one.
+    """
+    features = list(features)
+    d = len(features)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request = 0
+        for batch in batches:
+            for k, x in zip(batch["k"].to_pylist(), batch["x"].to_pylist()):
+                x = np.asarray(x, dtype=float)
+                values, same = perturbed(x, (k or 0) % (1 << 63), bg, samples)
+                home = (x[:, None] > bg["edges"]).sum(1).astype(np.uint8).tobytes()
+                offsets = pa.array(np.arange(0, samples * d + 1, d, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k] * samples, pa.int64()), pa.array([request] * samples, pa.int64()),
+                        pa.array([home] + [None] * (samples - 1), pa.binary()),
+                        pa.array([r.tobytes() for r in same.astype(np.uint8)], pa.binary()),
+                        pa.ListArray.from_arrays(offsets, pa.array(values.ravel())),
+                    ],
+                    schema=PERTURBED,
+                )
+                request += 1
+
+    def explained(sums: _Sums) -> pa.RecordBatch:
+        chosen, weights = sums.weights(n)
+        named = [(quarter_label(features[i], bg["edges"][i], sums.home[i]), float(w)) for i, w in zip(chosen, weights)]
+        named.sort(key=lambda e: (-abs(e[1]), e[0]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([sums.key] * len(named), pa.int64()), pa.array(range(1, len(named) + 1), pa.int32()),
+             pa.array([e[0] for e in named], pa.string()), pa.array([e[1] for e in named], pa.float64())],
+            schema=WEIGHTS,
+        )
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows arrive as they were made: a request's rows one after the other.
+        sums = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            request, score = batch["request"].to_numpy(), batch["p"].to_numpy()
+            same = np.frombuffer(b"".join(batch["same"].to_pylist()), np.uint8).reshape(-1, d).astype(float)
+            cuts = [0, *(np.flatnonzero(np.diff(request)) + 1).tolist(), len(request)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if sums is None or sums.request != request[lo]:
+                    if sums is not None:
+                        yield explained(sums)
+                    sums = _Sums(request[lo], batch["k"][lo].as_py(), d)
+                    sums.home = np.frombuffer(batch["home"][lo].as_py(), np.uint8)
+                sums.add(same[lo:hi], score[lo:hi])
+        if sums is not None:
+            yield explained(sums)
+
+    rows = df.select(F.col(key).cast("bigint").alias("k"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
+    # As above, with as many requests in a task; by all columns, since one key may have many rows.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() // ROWS_PER_TASK)
+    around = rows.repartition(tasks, "k", "x").mapInArrow(make, from_arrow_schema(PERTURBED))
+    scored = model.transform(around.select("k", "request", "home", "same", array_to_vector("x").alias("features")))
+    out = scored.select("k", "request", "home", "same", vector_to_array("probability")[1].alias("p")).mapInArrow(
+        fit, from_arrow_schema(WEIGHTS)
+    )
+    return out.select(
+        F.col("k").alias(key), "rank", "feature", "contribution",
+        clean_label("feature").alias("label"), sign_label("contribution").alias("effect"),
+    )
+
+
 def describe(df: DataFrame, name: str, dictionary: DataFrame) -> DataFrame:
     """Attach the description of a variable; of several entries the first by position counts."""
     first = dictionary.groupBy(F.col("Row").alias(name)).agg(F.min_by("Description", "position").alias("Description"))

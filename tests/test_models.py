@@ -126,6 +126,40 @@ def test_surrogate_follows_a_linear_model(data):
     assert out.orderBy("SK_ID_CURR", "rank").collect() == again.orderBy("SK_ID_CURR", "rank").collect()
 
 
+def test_surrogate_of_a_linear_model_is_the_same_by_either_way(data, scorer):
+    bg, lr = explain.background(data.valid, FEATURES), scorer.pipeline.stages[-1]
+    few = data.test.where("SK_ID_CURR < 730")
+    direct = explain.local_surrogate(few, "SK_ID_CURR", FEATURES, bg, lr.coefficients.toArray(), float(lr.intercept), n=3, samples=300)
+    scored = explain.model_surrogate(few, "SK_ID_CURR", FEATURES, bg, lr, n=3, samples=300)
+    a, b = ({(r.SK_ID_CURR, r.feature): r.contribution for r in x.collect()} for x in (direct, scored))
+    assert set(a) == set(b) and len(a) == 3 * few.count()
+    assert max(abs(a[k] - b[k]) for k in a) < 1e-9
+
+
+def test_surrogate_of_a_forest(spark, data):
+    rows = models.vectors(add_class_weights(data.train, "TARGET"), FEATURES, "TARGET", "weight")
+    model, bg = models.forest(rows, n_estimators=10, min_samples_leaf=5), explain.background(data.valid, FEATURES)
+    few = data.test.where("SK_ID_CURR < 706").select("SK_ID_CURR", *FEATURES)
+    odd = few.unionByName(few.where("SK_ID_CURR = 701")).unionByName(few.where("SK_ID_CURR = 702").withColumn("SK_ID_CURR", F.lit(None).cast("bigint")))
+    got = explain.model_surrogate(odd, "SK_ID_CURR", FEATURES, bg, model, n=2, samples=200).collect()
+    assert len(got) == 2 * odd.count() and sum(r.SK_ID_CURR == 701 for r in got) == 4
+    for row in few.collect():
+        x = np.array([row[c] for c in FEATURES])
+        values, same = explain.perturbed(x, row.SK_ID_CURR, bg, 200)
+        made = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(values)], ["i", *FEATURES]).coalesce(1)
+        held = models.predict(model, models.vectors(made, FEATURES, "i")).toPandas().sort_values("i")
+        w = explain.nearness(same)
+        z = np.c_[same, np.ones(len(same))]
+        penalty = np.diag([1.0, 1.0, 1.0, 0.0])
+        plain = np.linalg.solve((z * w[:, None]).T @ z + penalty, (z * w[:, None]).T @ held["proba"].to_numpy())[:3]
+        top = np.argsort(-np.abs(plain), kind="stable")[:2]
+        z2 = np.c_[same[:, top], np.ones(len(same))]
+        want = np.linalg.solve((z2 * w[:, None]).T @ z2 + np.diag([1.0, 1.0, 0.0]), (z2 * w[:, None]).T @ held["proba"].to_numpy())[:2]
+        mine = sorted(r.contribution for r in got if r.SK_ID_CURR == row.SK_ID_CURR and r.rank <= 2)[:: 2 if row.SK_ID_CURR == 701 else 1]
+        assert np.allclose(mine, sorted(want), atol=1e-9)
+    assert explain.model_surrogate(odd.limit(0), "SK_ID_CURR", FEATURES, bg, model, n=2, samples=200).count() == 0
+
+
 def test_dummy_and_split(spark, data):
     scored = models.dummy_scores(data.train, data.valid)
     assert metrics.roc_auc(scored, "TARGET", "proba").first()["auc"] == 0.5
