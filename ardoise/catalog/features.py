@@ -14,7 +14,8 @@ from ardoise.catalog.sqlgen import select_block, tidy
 from ardoise.catalog.standin import DIGITS, applications, loan_tables, role
 from ardoise.operators.encode import categorical_columns, discover_categories
 from ardoise.plans import blocks, encoder, wide
-from ardoise.plans.specs import CODED, KEY
+from ardoise.plans.increments import IncrementalBlock, State
+from ardoise.plans.specs import CODED, INSTALMENTS, KEY, POS
 from ardoise.plans.wide import LoanTables
 from ardoise.sources.workdir import fresh_path
 
@@ -63,6 +64,33 @@ def wide_features(spark: SparkSession, folder: str) -> DataFrame:
     return tidy(wide.wide_features(loan_tables(spark, folder)))
 
 
+def _from_deliveries(block: IncrementalBlock, rows: DataFrame, day: str) -> DataFrame:
+    """The block from three deliveries by day, each reduced to a state that is written, read and merged."""
+    spark = rows.sparkSession
+    first, second = rows.agg(F.percentile_approx(day, [0.6, 0.9], 1000)).first()[0]
+    part = F.when(F.col(day) <= first, 0).when(F.col(day) <= second, 1).otherwise(2)
+    state = None
+    for k in range(3):
+        delivered = block.state(rows.where(part == k))
+        path = fresh_path(spark, "state")
+        (delivered if state is None else block.merge(state, delivered)).save(path)
+        state = State.load(spark, path)
+    return tidy(block.block(state))
+
+
+@query("installments_increments", select_block(sqlgen.installments_block(), "installments_block"))
+def installments_increments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = blocks.instalment_rows(role(spark, folder, "installments"))
+    block = IncrementalBlock(INSTALMENTS, "INSTAL_", categorical_columns(rows), DIGITS["installments"])
+    return _from_deliveries(block, rows, "DAYS_INSTALMENT")
+
+
+@query("pos_increments", select_block(sqlgen.pos_block(), "pos_block"))
+def pos_increments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = role(spark, folder, "pos")
+    return _from_deliveries(IncrementalBlock(POS, "POS_", categorical_columns(rows)), rows, "MONTHS_BALANCE")
+
+
 # Next month one category of every table is gone and a new one has come: table, column, old, new.
 RENAMED = (
     ("application", "NAME_INCOME_TYPE", "MACHINERY", "ROBOTICS"),

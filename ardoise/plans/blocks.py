@@ -132,6 +132,18 @@ def pos_cash(df: DataFrame, categories: Categories | None = None, digits: Digits
     )
 
 
+def instalment_rows(df: DataFrame, on_zero: str = "ieee") -> DataFrame:
+    """Instalment payments with what their aggregates need of each row."""
+    late = F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT")
+    return add_ratios(df, {"PAYMENT_PERC": ("AMT_PAYMENT", "AMT_INSTALMENT")}, on_zero).withColumns(
+        {
+            "PAYMENT_DIFF": F.col("AMT_INSTALMENT") - F.col("AMT_PAYMENT"),
+            "DPD": clamp_zero(late),
+            "DBD": clamp_zero(-late),
+        }
+    )
+
+
 def installments_payments(
     df: DataFrame,
     categories: Categories | None = None,
@@ -141,14 +153,7 @@ def installments_payments(
     """Instalment payments: ``INSTAL_*`` per client.  Days past due and before due are never negative, and
     zero when a date is missing."""
     categories = discover_categories(df) if categories is None else categories
-    late = F.col("DAYS_ENTRY_PAYMENT") - F.col("DAYS_INSTALMENT")
-    rows = add_ratios(df, {"PAYMENT_PERC": ("AMT_PAYMENT", "AMT_INSTALMENT")}, on_zero).withColumns(
-        {
-            "PAYMENT_DIFF": F.col("AMT_INSTALMENT") - F.col("AMT_PAYMENT"),
-            "DPD": clamp_zero(late),
-            "DBD": clamp_zero(-late),
-        }
-    )
+    rows = instalment_rows(df, on_zero)
     return (
         rows.where(F.col(KEY).isNotNull())
         .groupBy(KEY)
