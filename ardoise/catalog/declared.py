@@ -18,6 +18,7 @@ from ardoise.operators.models import LABEL
 from ardoise.plans import scoring
 from ardoise.plans.specs import KEY
 from ardoise.sources import tables
+from ardoise.sources.store import FeatureStore
 from ardoise.sources.workdir import fresh_path, materialise
 from ardoise.streaming import requests
 
@@ -89,12 +90,12 @@ def monthly_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return scoring.Scorer(pipeline, scorer.threshold).decisions(both.where("not is_train"))
 
 
-@query(
-    "declared_stream",
-    f"""with known as ({_scorecard_sql("where IN_TRAIN = 0")})
-        select c.c_custkey as SK_ID_CURR, coalesce(rep, 'Inconnue') rep, proba
-        from customer c left join known on SK_ID_CURR = c_custkey""",
-)
+STREAM_SQL = f"""with known as ({_scorecard_sql("where IN_TRAIN = 0")})
+    select c.c_custkey as SK_ID_CURR, coalesce(rep, 'Inconnue') rep, proba
+    from customer c left join known on SK_ID_CURR = c_custkey"""
+
+
+@query("declared_stream", STREAM_SQL)
 def declared_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The customers file as a stream of requests: one answer each, also where no features are known."""
     stream = requests.request_stream(spark, folder, "c_custkey bigint", "parquet", glob="customer.parquet")
@@ -105,6 +106,17 @@ def declared_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(f"{KEY} bigint, rep string, proba double").parquet(out)
 
 
+@query("stored_stream", STREAM_SQL)
+def stored_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same requests, answered from a store of the features."""
+    stream = requests.request_stream(spark, folder, "c_custkey bigint", "parquet", glob="customer.parquet")
+    wide = materialise(role(spark, folder, "application").where("IN_TRAIN = 0"), "wide")
+    store = FeatureStore.write(wide, fresh_path(spark, "store"), KEY)
+    out, checkpoint = fresh_path(spark, "decisions"), fresh_path(spark, "stream")
+    requests.decide_from_store(stream.withColumnRenamed("c_custkey", KEY), store, declared_scorer(), out, checkpoint).awaitTermination()
+    return requests.read_decisions(spark, out)
+
+
 @query(
     "csv_types",
     """select o_orderkey as whole_number, o_totalprice as amount, o_orderstatus as CHANNEL_TYPE,

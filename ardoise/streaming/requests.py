@@ -1,5 +1,5 @@
 """Requests arriving as files are decided as they come: a stateless join of the stream of ids with the
-table of features."""
+table of features, or a lookup of each micro-batch in a store of features."""
 
 from __future__ import annotations
 
@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ardoise.functions.exprs import decide
 from ardoise.plans.scoring import Scorer
 from ardoise.plans.specs import KEY
+from ardoise.sources.store import FeatureStore
+
+DECISIONS = f"{KEY} bigint, rep string, proba double"
 
 
 def request_stream(
@@ -50,3 +53,32 @@ def write_decisions(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.outputMode("append").start()
+
+
+def decide_from_store(
+    requests: DataFrame, store: FeatureStore, scorer: Scorer, path: str, checkpoint: str, available_now: bool = True
+) -> StreamingQuery:
+    """One answer per request as ``decide_stream`` gives it, with the features of a micro-batch looked up in the
+    store: a trigger reads the files of its applicants only.
+
+    Each micro-batch has a folder of its own below ``path``, written over when the batch is repeated after a
+    failure, so each request has one answer.
+    """
+
+    def answer(batch: DataFrame, number: int) -> None:
+        batch = batch.select(store.key).persist()
+        try:
+            answers = decide_stream(batch, store.rows_of(batch), scorer, store.key)
+            answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    writer = requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_decisions(spark: SparkSession, path: str, schema: str = DECISIONS) -> DataFrame:
+    """The answers of all micro-batches."""
+    return spark.read.schema(f"{schema}, batch bigint").parquet(path).drop("batch")
