@@ -11,7 +11,7 @@ from ardoise.catalog.sqlgen import q
 from ardoise.catalog.shared import prepared, wide_table
 from ardoise.catalog.standin import applications, load, role, with_roles
 from ardoise.functions.aggspec import quoted
-from ardoise.operators import clean, encode, median, profile, sparse
+from ardoise.operators import clean, encode, median, medianstate, profile, sparse
 from ardoise.plans import blocks, prepare, wide
 from ardoise.plans.specs import KEY
 from ardoise.sources.workdir import fresh_path
@@ -260,6 +260,24 @@ def impute_median(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_DELIVERED = ("AMT_DOWN_PAYMENT", "CNT_PAYMENT", "AMT_APPLICATION", "AMT_CREDIT", "DAYS_DECISION")
+
+
+@query(
+    "median_deliveries",
+    f"{with_roles('previous')} "
+    + " union all ".join(f"select '{c}' as name, count({c}) as filled, median(cast({c} as double)) as median from previous" for c in _DELIVERED),
+)
+def median_deliveries(spark: SparkSession, folder: str) -> DataFrame:
+    """Medians over three deliveries of earlier applications by day, each reduced to its state."""
+    rows, path = role(spark, folder, "previous"), fresh_path(spark, "medians")
+    first, second = rows.agg(F.percentile_approx("DAYS_DECISION", [0.5, 0.9], 1000)).first()[0]
+    part = F.when(F.col("DAYS_DECISION") <= first, 0).when(F.col("DAYS_DECISION") <= second, 1).otherwise(2)
+    for k in range(3):
+        medianstate.add_delivery(rows.where(part == k), _DELIVERED, path, k)
+    return medianstate.medians(spark, path, _DELIVERED)
+
+
 _SCALED = ("DAYS_BIRTH", "AMT_CREDIT", "CNT_FAM_MEMBERS", "FLAT")
 
 
