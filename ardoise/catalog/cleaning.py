@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ardoise.functions.aggspec import quoted
 from ardoise.operators import clean, encode, median, medianstate, profile, sparse
 from ardoise.plans import blocks, prepare, wide
 from ardoise.plans.specs import KEY
+from ardoise.sources import tables
 from ardoise.sources.workdir import fresh_path
 
 APP = with_roles("application")
@@ -318,16 +321,9 @@ def _prepared_sql() -> str:
     )
 
 
-@query("prepared_dataset", _prepared_sql())
-def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole cleaning chain; per part and kept feature the extremes and mean of the prepared values."""
-    done = prepared(spark, folder)
-    features = done.preparation.features
-    both = [
-        d.select(F.lit(p).alias("part"), *features)
-        for p, d in (("train", done.train), ("valid", done.valid), ("test", done.test))
-    ]
-    rows = both[0].unionByName(both[1]).unionByName(both[2])
+def _part_extremes(parts: dict[str, DataFrame], features: list[str]) -> DataFrame:
+    """Per part and feature the extremes and mean."""
+    rows = reduce(DataFrame.unionByName, [d.select(F.lit(p).alias("part"), *features) for p, d in parts.items()])
     cells = ", ".join(
         f"named_struct('feature', '{c}', 'n', count({quoted(c)}), 'lowest', round(min({quoted(c)}) + 0d, 9), "
         f"'highest', round(max({quoted(c)}) + 0d, 9), 'mean', round(avg({quoted(c)}), 7))"
@@ -335,3 +331,21 @@ def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
     )
     wide_stats = rows.groupBy("part").agg(F.expr(f"array({cells}) as cells"))
     return wide_stats.select("part", F.inline("cells"))
+
+
+@query("prepared_dataset", _prepared_sql())
+def prepared_dataset(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole cleaning chain; per part and kept feature the extremes and mean of the prepared values."""
+    done = prepared(spark, folder)
+    return _part_extremes({"train": done.train, "valid": done.valid, "test": done.test}, done.preparation.features)
+
+
+@query("prepared_files", _prepared_sql())
+def prepared_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from the three parts written as files and read again, with the features of the saved preparation."""
+    done, path = prepared(spark, folder), fresh_path(spark, "dataset")
+    done.preparation.save(spark, f"{path}/preparation")
+    for name in ("train", "valid", "test"):
+        tables.write_dataset(getattr(done, name), f"{path}/{name}")
+    back = {name: tables.read_table(spark, f"{path}/{name}") for name in ("train", "valid", "test")}
+    return _part_extremes(back, clean.Preparation.load(spark, f"{path}/preparation").features)

@@ -11,6 +11,8 @@ from ardoise.catalog.standin import load, role, with_roles
 from ardoise.functions.exprs import ascii_upper_name, above, sign_label
 from ardoise.operators import explain, metrics, models, profile, split
 from ardoise.plans.specs import KEY
+from ardoise.sources import tables
+from ardoise.sources.workdir import fresh_path
 
 APP = with_roles("application")
 MD5_BUCKET = "cast(('0x' || substr(md5(cast({k} as varchar)), 1, 8)) as bigint) % {n}"
@@ -311,6 +313,36 @@ def local_contrib(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("contribution", F.round("contribution", 9))
 
 
+_FEATURES = ", ".join(f"'{c}'" for c in COEFFICIENTS)
+# Entries of a dictionary: a feature by the number of the nation, described by its name; one feature has several.
+_ENTRY = f"list_extract([{_FEATURES}], cast(n_nationkey % {len(COEFFICIENTS)} + 1 as integer))"
+
+
+@query(
+    "described_contrib",
+    f"""{APP}, means as (select {', '.join(f'avg({c}) as {c}_m' for c in COEFFICIENTS)} from application),
+        entries as (select {_ENTRY} as feature, min_by('Libellé « ' || n_name || ' »', n_nationkey) as Description from nation
+            where n_nationkey % {len(COEFFICIENTS)} <> 1 group by 1),
+        long as ({' union all '.join(
+            f"select SK_ID_CURR, '{c}' as feature, {w!r}::double * ({c} - {c}_m) as contribution from application, means"
+            for c, w in COEFFICIENTS.items())}),
+        ranked as (select *, cast(row_number() over (partition by SK_ID_CURR order by abs(contribution) desc, feature) as integer) as rank
+            from long)
+    select SK_ID_CURR, rank, ranked.feature, round(contribution, 9) as contribution, Description
+    from ranked left join entries using (feature) where rank <= 3""",
+)
+def described_contrib(spark: SparkSession, folder: str) -> DataFrame:
+    """The three largest contributions with the descriptions of a dictionary file in Latin-1; one feature has none."""
+    rows, path, names = role(spark, folder, "application"), fresh_path(spark, "dictionary"), list(COEFFICIENTS)
+    entry = F.element_at(F.array(*map(F.lit, names)), (F.col("n_nationkey") % len(names) + 1).cast("int"))
+    nations = load(spark, folder, "nation").where(F.col("n_nationkey") % len(names) != 1).coalesce(1).sortWithinPartitions("n_nationkey")
+    written = nations.select(entry.alias("Row"), F.concat(F.lit("Libellé « "), "n_name", F.lit(" »")).alias("Description"))
+    written.write.option("header", True).option("encoding", tables.DICTIONARY_ENCODING).csv(path)
+    out = explain.local_contributions(rows, KEY, COEFFICIENTS, explain.feature_means(rows, names), 3)
+    named = explain.describe(out, "feature", tables.read_dictionary(spark, path))
+    return named.select(KEY, "rank", "feature", F.round("contribution", 9).alias("contribution"), "Description")
+
+
 _COMPARED = ("AMT_INCOME_TOTAL", "AMT_CREDIT", "DAYS_BIRTH", "CNT_FAM_MEMBERS")
 
 
