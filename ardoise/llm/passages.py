@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ardoise.llm.anchors import GRAM, Hashes, anchors
-from ardoise.llm.common import to_spark
+from ardoise.llm.common import join_lookup, to_spark
 from ardoise.llm.suffixes import common_prefixes, suffix_array
 from ardoise.llm.textdedup import ODD, mix
 from ardoise.sources.workdir import materialise
@@ -284,8 +284,19 @@ def _shards(length: int):
     return run
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """One row of each id and tie; rows that are alone in theirs travel nowhere."""
+    by = ["id", "tie"]
+    again = materialise(rows.groupBy(by).count().where("count > 1").select(by), "again")
+    if not again.limit(1).count():
+        return rows
+    # Copies meet in map-side partials first.
+    one = join_lookup(rows, again, by, "left_semi").groupBy(by).agg(F.any_value("text").alias("text"))
+    return join_lookup(rows, again, by, "left_anti").unionByName(materialise(one, "once"))
+
+
 def repeated_spans(rows: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
-    """Spans of repeated strings: id, tie, s, e (bytes); they may overlap.  ``rows``: id, tie, text."""
+    """Spans of repeated strings: id, tie, s, e (bytes); they may overlap.  ``rows``: id, tie, text, each id and tie once."""
     reach = length - GRAM
     # Sorted once for both windows.
     made = rows.mapInArrow(_marks(length, reach), to_spark(MARKS)).repartition("gram").sortWithinPartitions("gram", "around")
@@ -352,7 +363,7 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL)).alias("id"), F.xxhash64(t).alias("tie"), t.alias("text"))
 
 
-DIGESTS = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+DIGESTS = pa.schema([("id", pa.int64()), ("tie", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -364,12 +375,18 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             for data, spans in zip(_unpacked(batch["packed"]), batch["spans"].to_pylist()):
                 runs = merged([(x["s"], x["e"]) for x in spans or ()], len(data))
                 rows.append((len(data), sum(e - s for s, e in runs), len(runs), hashlib.sha256(keep(data, runs)).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch["id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(DIGESTS)[1:]))], schema=DIGESTS)
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["tie"], *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(DIGESTS)[2:]))], schema=DIGESTS
+            )
 
-    rows = _keyed(df, key, text)
+    every = _keyed(df, key, text)
+    rows = _once(every)
     spans = repeated_spans(rows, length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    found = _packed(rows).join(spans, ["id", "tie"], "left").select("id", "packed", "spans")
-    return found.mapInArrow(run, to_spark(DIGESTS)).select(F.when(F.col("id") != NULL, F.col("id")).alias(key), *DIGESTS.names[1:])
+    out = _packed(rows).join(spans, ["id", "tie"], "left").select("id", "tie", "packed", "spans").mapInArrow(run, to_spark(DIGESTS))
+    if rows is not every:
+        # Digests are short: copies of a row take those of the one that was read.
+        out = every.select("id", "tie").join(materialise(out, "digests"), ["id", "tie"])
+    return out.select(F.when(F.col("id") != NULL, F.col("id")).alias(key), *DIGESTS.names[2:])
 
 
 def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
@@ -393,7 +410,7 @@ def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: i
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))
     rows = df.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NULL)), "_tie": F.xxhash64(t), "_packed": squeezed(F.col(text))})
-    spans = repeated_spans(_keyed(df, key, text), length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    spans = repeated_spans(_once(_keyed(df, key, text)), length, many).groupBy("id", "tie").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
     spans = spans.withColumnsRenamed({"id": "_id", "tie": "_tie"})
     found = rows.drop(text).join(spans, ["_id", "_tie"], "left").withColumn(text, cut(F.col("_packed"), F.col("_spans")))
     return found.select(*[F.col(f"`{c}`") for c in columns])

@@ -277,6 +277,25 @@ def test_repeated_passages_of_texts_with_one_short_hash(spark, many):
         assert sum(r.n_removed > 0 for r in passages.remove_repeats(df, many=many).collect()) == 1
 
 
+@pytest.mark.parametrize("many", [passages.MANY, 0])
+def test_repeated_rows_are_read_once(spark, many):
+    rng = np.random.default_rng(5)
+    common, other = ("".join(rng.choice(list("abcdefgh"), 300)) for _ in range(2))
+    hot = "hot " + common + " end " + common[:150]
+    # A null key with one text on a third of the rows, and one key on several texts and copies.
+    rows = [(None, hot)] * 300 + [(i % 50, f"{i % 100} " + other + common[i % 100 : i % 100 + 150]) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    ids = passages._keyed(df, "doc_id", "text")
+    assert passages._once(ids).count() == 101 == passages._once(ids).distinct().count()
+    # The plain version over different rows, under keys that order them as key and tie do.
+    order = [(r.id, r.tie, r.text) for r in ids.distinct().orderBy("id", "tie").collect()]
+    plain = plain_removed([(k, t) for k, (_, _, t) in enumerate(order)], 100)
+    want = Counter((None if i == passages.NULL else i, *plain[k]) for k, (i, _, t) in enumerate(order) for _ in range(300 if i == passages.NULL else 6))
+    assert Counter(tuple(r) for r in passages.remove_repeats(df, many=many).collect()) == want
+    left = passages.kept_texts(df, many=many)
+    assert Counter((r.doc_id, sha(r.text.encode())) for r in left.collect()) == Counter((x[0], x[-1]) for x in want.elements())
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(9)
     for _ in range(600):
