@@ -9,7 +9,8 @@ from ardoise.catalog.cleaning import FEATURES, WIDE_CTES
 from ardoise.catalog.registry import query
 from ardoise.catalog.shared import prepared, scorer, vectors_of, wide_table
 from ardoise.catalog.sqlgen import q
-from ardoise.catalog.standin import role, with_roles
+from ardoise.catalog.standin import load, role, with_roles
+from ardoise.functions.exprs import FAVOURABLE, UNFAVOURABLE
 from ardoise.operators import clean, explain, forests, metrics, models, smote
 from ardoise.operators.models import LABEL
 from ardoise.operators.split import add_class_weights
@@ -256,3 +257,48 @@ def decision_input(spark: SparkSession, folder: str) -> DataFrame:
     test = clean.Preparation.load(spark, path).apply(parts(wide_table(spark, folder))[2])
     total = test.agg(F.count(F.lit(1)).alias("n"))
     return test.select(KEY, total.scalar().alias("n_requests"))
+
+
+# Labels that a hash of the order draws, more often positive the lower its priority, and balanced weights.
+DRAWN_SQL = """
+    with drawn as (select o_orderkey, cast(substr(o_orderpriority, 1, 1) as integer) as level,
+        case when cast(('0x' || substr(md5(cast(o_orderkey as varchar)), 1, 8)) as bigint) % 100
+            < 10 + 15 * cast(substr(o_orderpriority, 1, 1) as integer) then 1 else 0 end as y from orders),
+    sized as (select y, count(*) as n from drawn group by y),
+    weighted as (select level, y, (select sum(n) from sized) / (2e0 * n) as w from drawn join sized using (y)),
+    shares as (select level, count(*) as n_rows, sum(case when y = 1 then w else 0 end) / sum(w) as p from weighted group by level)"""
+LEVELS = [f"PRIORITY_{k}" for k in range(2, 6)]
+
+
+def _saturated(spark: SparkSession, folder: str):
+    """A logistic regression, hardly penalised, on the one-hot priority of orders: its optimum has a closed form."""
+    orders = load(spark, folder, "orders")
+    level = F.substring("o_orderpriority", 1, 1).cast("int")
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(100))
+    rows = orders.select(level.alias("level"), (bucket < 10 + 15 * level).cast("int").alias(LABEL))
+    rows = rows.withColumns({name: (F.col("level") == k).cast("double") for k, name in enumerate(LEVELS, 2)})
+    rows = models.vectors(add_class_weights(rows, LABEL), LEVELS, "level", LABEL, "weight")
+    return models.logistic(rows, C=1e6), rows
+
+
+@query("lr_closed_form", f"{DRAWN_SQL} select level, n_rows, round(p, 3) as proba from shares")
+def lr_closed_form(spark: SparkSession, folder: str) -> DataFrame:
+    """A fitted model against SQL: with one parameter per group, the probabilities are the groups' weighted shares."""
+    model, rows = _saturated(spark, folder)
+    scored = models.predict(model, rows)
+    return scored.groupBy("level").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("proba"), 3).alias("proba"))
+
+
+@query(
+    "importance_closed_form",
+    f"""{DRAWN_SQL}, base as (select ln(p / (1 - p)) as b from shares where level = 1),
+    c as (select 'PRIORITY_' || level as Features, ln(p / (1 - p)) - b as x from shares, base where level > 1)
+    select cast(row_number() over (order by abs(x) desc, Features) as integer) as rank, Features, round(x, 2) as Importance,
+        left(trim(Features, '<= 0.00 0.46'), 25) as label, case when x > 0 then '{UNFAVOURABLE}' else '{FAVOURABLE}' end as effect from c""",
+)
+def importance_closed_form(spark: SparkSession, folder: str) -> DataFrame:
+    """Coefficients of that model as a table of importance: differences of log odds to the first priority."""
+    model, _ = _saturated(spark, folder)
+    table = explain.importance_table(spark, LEVELS, model.coefficients)
+    return explain.global_importance(table).withColumn("Importance", F.round("Importance", 2))
+

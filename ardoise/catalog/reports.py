@@ -252,6 +252,30 @@ def score_histogram(spark: SparkSession, folder: str) -> DataFrame:
     return metrics.score_histogram(scored(spark, folder), "p", 20)
 
 
+@query(
+    "marked_histogram",
+    f"""{with_scored()}, me as (select event_id as who from scored order by md5(cast(event_id as varchar)), event_id limit 1),
+    s as (select count(p) as n, min(p) as lo, max(p) as hi, quantile_cont(p, 0.75) - quantile_cont(p, 0.25) as iqr from scored),
+    w as (select *, 2e0 * iqr / pow(n, 1e0 / 3) as fd, (hi - lo) / (log2(n) + 1) as sturges from s),
+    k as (select lo, hi, ceil((hi - lo) / case when fd > 0 then least(fd, sturges) else sturges end) as bins from w),
+    b as (select 'Rejetée' as series, event_id, p as v, lo as a, hi as z, bins from scored, k
+          union all select 'Acceptée', event_id, 1 - p, 1 - hi, 1 - lo, bins from scored, k),
+    c as (select *, cast(least(floor(bins * (v - a) / (z - a) + 1), bins) as integer) as bin from b)
+    select series, bin, round(a + (bin - 1) * ((z - a) / bins), 9) as low, count(*) as n, bool_or(event_id = who) as marked
+    from c, me group by series, bin, a, z, bins""",
+)
+def marked_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    """Both class probabilities in automatic bins, with the bins of one individual marked."""
+    rows = scored(spark, folder)
+    who = split.pick_row(rows, "event_id").first()["event_id"]
+    return metrics.marked_histogram(rows, "p", "event_id", who).withColumn("low", F.round("low", 9))
+
+
+@query("preview", f"{APP} select * from application order by SK_ID_CURR limit 5")
+def preview(spark: SparkSession, folder: str) -> DataFrame:
+    return profile.preview(role(spark, folder, "application"), KEY)
+
+
 @query(
     "fbeta_cost",
     f"""{with_models()}, {RATES_SQL} select model, tp, fp, fn, tn, cast(tp as double) / (tp + fn) as recall,

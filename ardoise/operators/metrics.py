@@ -184,35 +184,71 @@ def share_at(scored: DataFrame, score: str, threshold: float) -> DataFrame:
     return class_share(scored.select(above(score, threshold).alias("TARGET")), "TARGET")
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
+    """Quantiles by linear interpolation between ranks; missing values do not count.  Equal values shrink to one
+    row each, their running numbers work in ranges of the column, and only the values at the ranks come back."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v"))
+    counted = materialise(counted.agg(F.count(F.lit(1)).alias("k")), "counted")
+    n = counted.agg(F.sum("k")).first()[0]
+    if not n:
+        return []
+    places = [(n - 1) * s for s in shares]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    upto = running_totals(counted, "v", ["k"])
+    held = [(F.col("k_upto") > r) & (F.col("k_upto") - F.col("k") <= r) for r in ranks]
+    row = upto.agg(*[F.max(F.when(h, F.col("v"))) for h in held]).first()
+    at = dict(zip(ranks, row))
+    return [at[math.floor(p)] + (p - math.floor(p)) * (at[math.ceil(p)] - at[math.floor(p)]) for p in places]
+
+
 def auto_bins(scored: DataFrame, score: str) -> tuple[float, float, int]:
     """Range and number of equal bins by the larger of the Sturges and Freedman-Diaconis rules, from the
-    count, the extremes and sketched quartiles."""
-    row = scored.agg(
-        F.count(score).alias("n"),
-        F.min(score).alias("lo"),
-        F.max(score).alias("hi"),
-        F.percentile_approx(score, [0.25, 0.75], 10_000).alias("q"),
-    ).first()
+    count, the extremes and the quartiles."""
+    row = scored.agg(F.count(score).alias("n"), F.min(score).alias("lo"), F.max(score).alias("hi")).first()
     if not row["n"] or row["hi"] == row["lo"]:
         return (row["lo"] or 0.0, row["hi"] or 0.0, 1)
     span = row["hi"] - row["lo"]
+    lower, upper = exact_quantiles(scored, score, [0.25, 0.75])
     sturges = span / (math.log2(row["n"]) + 1)
-    fd = 2.0 * (row["q"][1] - row["q"][0]) / row["n"] ** (1 / 3)
+    fd = 2.0 * (upper - lower) / row["n"] ** (1 / 3)
     width = min(fd, sturges) if fd > 0 else sturges
     return row["lo"], row["hi"], max(1, math.ceil(span / width))
 
 
+def _bucket(c: Column, low: float, high: float, bins: int) -> Column:
+    """The number of an equal bin; the last one is closed."""
+    if low == high:
+        return F.when(c.isNotNull(), 1).cast("int")
+    return F.least(F.width_bucket(c, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int")
+
+
+def marked_histogram(scored: DataFrame, score: str, key: str, individual) -> DataFrame:
+    """series, bin, low (its lower edge), n and marked for both class probabilities in automatic bins.
+
+    ``marked`` tells the bins that hold the individual, of whom there may be several rows or none.  Rows without a
+    score are left out; an empty table has no bins.
+    """
+    low, high, bins = auto_bins(scored, score)
+    p, me = F.col(score).cast("double"), F.coalesce(F.col(key) == F.lit(individual), F.lit(False)).alias("me")
+    # The other class has the mirrored range, and as many bins.
+    sides = {ACCEPTED: (1 - p, 1 - high, 1 - low), REJECTED: (p, low, high)}
+    cells = [
+        F.struct(F.lit(name).alias("series"), _bucket(c, lo, hi, bins).alias("bin"), F.lit(lo).alias("lo"), F.lit((hi - lo) / bins).alias("width"))
+        for name, (c, lo, hi) in sides.items()
+    ]
+    both = scored.where(F.col(score).isNotNull()).select(me, F.inline(F.array(*cells)))
+    counts = both.groupBy("series", "bin", "lo", "width").agg(F.count(F.lit(1)).alias("n"), F.bool_or("me").alias("marked"))
+    return counts.select("series", "bin", (F.col("lo") + (F.col("bin") - 1) * F.col("width")).alias("low"), "n", "marked")
+
+
 def score_histogram(scored: DataFrame, score: str, bins: int, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Counts of both class probabilities in equal bins; the last bin is closed."""
-    def bucket(c: Column) -> Column:
-        return F.least(F.width_bucket(c, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int")
-
     p = F.col(score)
     both = scored.select(
         F.inline(
             F.array(
-                F.struct(F.lit(ACCEPTED).alias("series"), bucket(1 - p).alias("bin")),
-                F.struct(F.lit(REJECTED).alias("series"), bucket(p).alias("bin")),
+                F.struct(F.lit(ACCEPTED).alias("series"), _bucket(1 - p, low, high, bins).alias("bin")),
+                F.struct(F.lit(REJECTED).alias("series"), _bucket(p, low, high, bins).alias("bin")),
             )
         )
     )

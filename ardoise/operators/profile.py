@@ -104,3 +104,8 @@ def top_group_mean(df: DataFrame, name: str, value: str, n: int) -> DataFrame:
     means = df.groupBy(name).agg(F.avg(value).alias("mean_value"))
     best = means.orderBy(F.desc("mean_value"), name).limit(n)
     return df.join(F.broadcast(best) if n <= BROADCAST_ROWS else best, name)
+
+
+def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The first n rows by key, the same ones at every call: each task keeps its n smallest."""
+    return df.orderBy(key).limit(n)

@@ -171,5 +171,29 @@ def test_auto_histogram(data, scorer):
     held = models.predict(scorer.pipeline.stages[-1], models.vectors(data.valid, FEATURES, "TARGET"))
     low, high, bins = metrics.auto_bins(held, "proba")
     values = held.toPandas()["proba"].to_numpy()
-    assert abs(bins - (len(np.histogram_bin_edges(values, "auto")) - 1)) <= 2
+    edges = np.histogram_bin_edges(values, "auto")
+    assert bins == len(edges) - 1 and (low, high) == (edges[0], edges[-1])
+    who = held.withColumn("id", F.monotonically_increasing_id()).toPandas()
+    marked = metrics.marked_histogram(held.sparkSession.createDataFrame(who[["id", "proba"]]), "proba", "id", int(who["id"][3])).toPandas()
+    for series, v in (("Rejetée", values), ("Acceptée", 1 - values)):
+        mine = marked[marked.series == series].set_index("bin")
+        counts, edges = np.histogram(v, bins)
+        assert {b - 1: n for b, n in mine.n.items()} == {b: n for b, n in enumerate(counts.tolist()) if n}
+        own = v[3] if series == "Rejetée" else 1 - who["proba"][3]
+        (b,) = mine.index[mine.marked]
+        assert edges[b - 1] - 1e-12 <= own <= edges[b] + 1e-12 and abs(mine.low[b] - edges[b - 1]) < 1e-12
     assert metrics.score_histogram(held, "proba", bins).agg(F.sum("n")).first()[0] == 2 * len(values)
+
+
+def test_histograms_of_odd_scores(spark):
+    def made(values):
+        return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id bigint, p double")
+
+    assert metrics.exact_quantiles(made([]), "p", [0.5]) == [] and metrics.marked_histogram(made([None]), "p", "id", 0).count() == 0
+    assert sorted(map(tuple, metrics.marked_histogram(made([0.5, None, 0.5]), "p", "id", 1).collect())) == [
+        ("Acceptée", 1, 0.5, 2, False), ("Rejetée", 1, 0.5, 2, False)]
+    values = np.random.default_rng(3).integers(0, 40, 1001) / 40
+    shares = [0.0, 0.1, 0.25, 0.333, 0.75, 1.0]
+    assert np.allclose(metrics.exact_quantiles(made(values.tolist()), "p", shares), np.quantile(values, shares), atol=1e-12)
+    repeated = made([0.1, 0.9]).union(made([0.2, 0.7])).union(made([0.4, 0.45]))
+    assert {r.bin for r in metrics.marked_histogram(repeated, "p", "id", 0).where("marked and series = 'Rejetée'").collect()} == {1, 2}
