@@ -74,7 +74,8 @@ class Places:
         at = bisect_left(block, place)
         before = block[at - 1] if at else -1
         after = block[at] if at < len(block) else -1
-        if (before < 0 or after < 0) and len(self.keys) > 1:
+        # The only block may be another one than the place's.
+        if (before < 0 or after < 0) and (len(self.keys) > 1 or self.keys[0] != key):
             k = bisect_left(self.keys, key)
             if before < 0 and k:
                 before = self.blocks[self.keys[k - 1]][-1]

@@ -79,6 +79,16 @@ def test_long_runs():
     assert got == [(0, 50_000, 1), (50_008, 50_000, 7)]
 
 
+def test_runs_across_blocks_of_places():
+    # Wherever the run lies, its two places may be the only ones of their blocks.
+    block = 1 << periods.SHIFT
+    for before in range(block - 12, block + 2):
+        for period in (1, 3, 5):
+            words = [*range(100, 100 + before), *(i % period for i in range(6 * period)), 99]
+            got = periods.maximal_runs(np.array(words, np.int64), np.zeros(len(words), np.int64))
+            assert got == [(before, 6 * period, period)]
+
+
 def test_a_common_phrase_is_not_quadratic():
     # 20,000 copies of a phrase after different words: two hundred million pairs, none near enough.
     rng = np.random.default_rng(5)
