@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ardoise.operators.encode import category_pairs
 from ardoise.operators.skew import lookup_join
@@ -43,6 +44,12 @@ def _numbered(pairs: DataFrame, name: str) -> DataFrame:
     return joined.select("column", "value", (F.col("here") + F.col("_shift")).alias("index"))
 
 
+def _number(column: str) -> Column:
+    """A numeric feature; a missing one is an error, as in the dense vectors."""
+    value = F.col(column).cast("double")
+    return F.when(value.isNull() | F.isnan(value), F.raise_error(F.lit(f"{column} has a missing value"))).otherwise(value)
+
+
 @dataclass
 class SparseCategories:
     """Index table (column, value, index), number of known values per column, and whether missing ones count."""
@@ -79,20 +86,24 @@ class SparseCategories:
         sizes = self.sizes()
         if any(n >= 1 << 31 for n in sizes.values()) or sum(sizes.values()) + len(numeric) >= 1 << 31:
             raise ValueError("a vector has fewer than 2**31 places")
-        columns = [c for c, n in sizes.items() if n]
-        rows = self.indices(df)
-        # An unknown value gets the place behind the last, which the encoder drops again.
-        rows = rows.withColumns({f"_at_{c}": F.coalesce(F.col(f"{c}_index"), F.lit(sizes[c])).cast("double") for c in columns})
+        # (place, value) of all that may differ from zero, in the order of the places.
+        cells = [F.struct(F.lit(i).alias("place"), _number(c).alias("value")) for i, c in enumerate(numeric)]
+        start = len(numeric)
+        for c, n in sizes.items():
+            if n:
+                cells.append(F.struct((F.col(f"{c}_index") + F.lit(start)).cast("int").alias("place"), F.lit(1.0).alias("value")))
+            start += n
+        # An unknown value has no place.
+        filled = F.filter(F.array(*cells), lambda e: e["place"].isNotNull() & (e["value"] != 0)) if cells else F.array()
+        filled = filled.cast("array<struct<place:int,value:double>>")
+        parts = F.struct(
+            F.lit(0).cast("tinyint").alias("type"), F.lit(start).alias("size"), filled["place"].alias("indices"), filled["value"].alias("values")
+        )
+        # The encoder and the assembler of Spark ML name every place in the column's metadata, which the driver holds: millions
+        # of names.  Here it says how many there are.
+        vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
         kept = [c for c in df.columns if c not in self.known]
-        if columns:
-            encoder = OneHotEncoder(
-                inputCols=[f"_at_{c}" for c in columns], outputCols=[f"_hot_{c}" for c in columns], dropLast=True, handleInvalid="keep"
-            )
-            # The sizes are known: one row with each column's last place is all that there is to fit on.
-            last = df.sparkSession.createDataFrame([tuple(float(sizes[c] - 1) for c in columns)], ", ".join(f"`_at_{c}` double" for c in columns))
-            rows = encoder.fit(last).transform(rows)
-        assembler = VectorAssembler(inputCols=[*numeric, *[f"_hot_{c}" for c in columns]], outputCol=output, handleInvalid="error")
-        return assembler.transform(rows).select(*kept, output)
+        return self.indices(df).select(*kept, vector.alias(output, metadata={"ml_attr": {"num_attrs": start}}))
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(f"{path}/index")

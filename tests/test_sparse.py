@@ -64,3 +64,22 @@ def test_many_values_and_a_hot_one(spark):
     assert [r["index"] for r in pairs] == list(range(200_001))
     vector = fitted.vectors(df).select(F.unwrap_udt("features")["size"].alias("n"), F.size(F.unwrap_udt("features")["indices"]).alias("k"))
     assert vector.distinct().collect() == [(200_002, 1)]
+
+
+def test_places_are_not_named(spark):
+    # A name per place would be millions of them in the driver.
+    df = spark.range(50_000).select("id", F.concat(F.lit("v"), F.col("id")).alias("c"), (F.col("id") % 2).alias("n"))
+    vectors = sparse.fit_sparse(df, ["c"]).vectors(df, numeric=["n"])
+    assert len(vectors.schema.json()) < 1_000
+    assert vectors.schema["features"].metadata == {"ml_attr": {"num_attrs": 50_002}}
+    row = vectors.where("id = 7").first()
+    assert (row.features.size, row.features[0], len(row.features.indices)) == (50_002, 1.0, 2)
+    place = 1 + sorted(f"v{i}" for i in range(50_000)).index("v8")
+    assert vectors.where("id = 8").first().features.indices.tolist() == [place]
+
+
+def test_missing_numbers_are_an_error(spark, rows):
+    fitted = sparse.fit_sparse(rows, ["one"])
+    for bad in (None, float("nan")):
+        with pytest.raises(Exception, match="missing value"):
+            fitted.vectors(rows.withColumn("n", F.lit(bad).cast("double")), numeric=["n"]).collect()
