@@ -32,6 +32,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK_ROWS = 2_048
 VISITOR_ROWS = 8_192
+#: Visitors whose distances from a block are in memory together, and visits that are: numbers of either, at most.
+AT_ONCE, VISIT_NUMBERS = 512, 1 << 20
 #: Pivots at most, and sampled points for each: the sample is the driver's, whatever the number of points.
 PIVOTS, PER_PIVOT = 1_024, 8
 #: Shells of a cell at most; what is larger is cut by hash.
@@ -42,8 +44,13 @@ PROMISING = 3
 
 def block_candidates(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.DataFrame:
     """Up to k nearest host points of every visitor, within the visitor's bound and other than itself."""
-    x, y = np.vstack(visitors["x"].to_numpy()), np.vstack(hosts["x"].to_numpy())
-    ids, host_ids, bound = visitors["id"].to_numpy(), hosts["id"].to_numpy(), visitors["bound"].to_numpy()
+    y, host_ids = np.vstack(hosts["x"].to_numpy()), hosts["id"].to_numpy()
+    slices = (visitors.iloc[s : s + AT_ONCE] for s in range(0, len(visitors), AT_ONCE))
+    return pd.concat([_candidates(v, y, host_ids, k) for v in slices], ignore_index=True)
+
+
+def _candidates(visitors: pd.DataFrame, y: np.ndarray, host_ids: np.ndarray, k: int) -> pd.DataFrame:
+    x, ids, bound = np.vstack(visitors["x"].to_numpy()), visitors["id"].to_numpy(), visitors["bound"].to_numpy()
     square = squares(x, y)
     square[ids[:, None] == host_ids[None, :]] = np.inf
     # The matrix product rounds; a few spare candidates are measured again exactly.
@@ -173,7 +180,8 @@ def trips(bounded: DataFrame, blocks: Blocks, first: int | None, k: int) -> Data
     have (id, x, cell, shell, cut, bound, before): before is the bound by which the promising ones were chosen.
     """
     names = ["id", "x", "bound", *PLACE]
-    step = max(1, (8 << 20) // (8 * len(blocks.cell)))
+    # Several matrices of points by blocks; a point may go to every block, and each visit has a copy of it.
+    step = max(1, VISIT_NUMBERS // 4 // max(1, int(blocks.cuts.sum())))
 
     def visits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in it:
@@ -193,9 +201,11 @@ def trips(bounded: DataFrame, blocks: Blocks, first: int | None, k: int) -> Data
                 cut = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                 out = b.iloc[which][["id", "x", "bound"]].assign(cell=blocks.cell[block], shell=blocks.shell[block], cut=cut)
                 at_home = (out["cell"].to_numpy() == b["cell"].to_numpy()[which]) & (out["shell"].to_numpy() == b["shell"].to_numpy()[which])
-                out = out[~(at_home & (cut == b["cut"].to_numpy()[which]))]
-                if len(out):
-                    yield out[names]
+                out = out[~(at_home & (cut == b["cut"].to_numpy()[which]))][names]
+                # The copies of the points are made when a piece leaves.
+                piece = max(1, VISIT_NUMBERS // (len(b["x"].iloc[0]) + 1))
+                for at in range(0, len(out), piece):
+                    yield out.iloc[at : at + piece]
 
     rows = bounded.select("id", "x", *PLACE, "bound", "before")
     return rows.mapInPandas(visits, "id bigint, x array<double>, bound double, cell int, shell int, cut int")

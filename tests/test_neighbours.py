@@ -1,6 +1,7 @@
 """Exact neighbours in many dimensions: equality with brute force and the number of visits."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from ardoise.operators import neighbours
@@ -62,3 +63,36 @@ def test_hard_cases_equal_brute_force(spark, monkeypatch, v):
 
 def test_no_points(spark):
     assert neighbours.nearest_points(spark.createDataFrame([], "id bigint, x array<double>")).count() == 0
+
+
+def test_visits_leave_in_small_pieces():
+    # Ten thousand points that every one of thirty blocks may hold a neighbour of: 300,000 copies of 250 numbers.
+    rng = np.random.default_rng(3)
+    d, many, points = 250, 30, 10_000
+    blocks = neighbours.Blocks(rng.random((many, d)), np.arange(many), np.zeros(many, int), np.zeros(many), np.full(many, 99.0), np.full(many, 2))
+    rows = pd.DataFrame({"id": np.arange(points), "x": list(rng.random((points, d))), "cell": np.arange(points) % many,
+                         "shell": 0, "cut": 0, "bound": np.inf, "before": 0.0})
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, f, _):
+            return [len(b) for b in f(iter([rows]))]
+
+    sizes = neighbours.trips(Rows(), blocks, None, 5)
+    assert max(sizes) * (d + 1) <= neighbours.VISIT_NUMBERS
+    # Every block in both its parts but the own part; the most promising ones were met before.
+    assert sum(sizes) > points * 2 * (many - neighbours.PROMISING - 2)
+
+
+def test_visitors_in_slices_find_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.random((900, 8))
+    frame = pd.DataFrame({"id": np.arange(900), "x": list(x), "bound": np.inf})
+    whole = neighbours.block_candidates(frame, frame, 5)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 100)
+    assert neighbours.block_candidates(frame, frame, 5).equals(whole)
+    want = brute(x)
+    for i, near in whole.groupby("id"):
+        assert near["neighbour"].tolist() == [n for _, n in want[i]]
