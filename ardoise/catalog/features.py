@@ -17,7 +17,7 @@ from ardoise.plans import blocks, encoder, wide
 from ardoise.plans.increments import IncrementalBlock, State
 from ardoise.plans.specs import CODED, INSTALMENTS, KEY, POS
 from ardoise.plans.wide import LoanTables
-from ardoise.sources.workdir import fresh_path
+from ardoise.sources.workdir import fresh_path, materialise
 
 
 @query("application_features", select_block(sqlgen.application_block(), "application_block"))
@@ -67,6 +67,8 @@ def wide_features(spark: SparkSession, folder: str) -> DataFrame:
 def _from_deliveries(block: IncrementalBlock, rows: DataFrame, day: str) -> DataFrame:
     """The block from three deliveries by day, each reduced to a state that is written, read and merged."""
     spark = rows.sparkSession
+    # Written once: the deliveries would make the rows again for each of their scans.
+    rows = materialise(rows.select(KEY, *dict.fromkeys([day, *block.spec, *block.categorical])), "history")
     first, second = rows.agg(F.percentile_approx(day, [0.6, 0.9], 1000)).first()[0]
     part = F.when(F.col(day) <= first, 0).when(F.col(day) <= second, 1).otherwise(2)
     state = None

@@ -56,21 +56,28 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", s
     return reduce(DataFrame.unionByName, parts)
 
 
+def cool_and_hot(rows: DataFrame, key: str, hot: Sequence) -> tuple[DataFrame, DataFrame | None]:
+    """Rows that have a key, those of ``hot`` keys apart; nothing apart where no key is hot."""
+    rows, keys = rows.where(F.col(key).isNotNull()), [k for k in hot if k is not None]
+    if not keys:
+        return rows, None
+    is_hot = F.col(key).isin(keys)
+    return rows.where(~is_hot), rows.where(is_hot)
+
+
 def skew_aggregate(rows: DataFrame, key: str, aggregates: Sequence[Column], hot_in: DataFrame | None = None,
-                   share: int = HOT_SHARE) -> DataFrame:
+                   hot: Sequence | None = None) -> DataFrame:
     """One row per key with many aggregates; rows without a key are left out.
 
     Hundreds of partial sums are larger than the few rows they stand for, so rows travel instead and are aggregated
     where they meet.  Rows of hot keys are reduced where they lie, to one row of partial sums per task.  ``hot_in`` is
-    a table with the same rows per key that is cheaper to scan.
+    a table with the same rows per key that is cheaper to scan; ``hot`` the keys, where they are known.
     """
-    rows = rows.where(F.col(key).isNotNull())
-    hot = [k for k in hot_keys(rows if hot_in is None else hot_in, key, share) if k is not None]
-    if not hot:
-        return rows.repartition(key).groupBy(key).agg(*aggregates)
-    is_hot = F.col(key).isin(hot)
-    few, many = rows.where(~is_hot).repartition(key), rows.where(is_hot)
-    return few.groupBy(key).agg(*aggregates).unionByName(many.groupBy(key).agg(*aggregates))
+    if hot is None:
+        hot = hot_keys(rows if hot_in is None else hot_in, key)
+    few, many = cool_and_hot(rows, key, hot)
+    out = few.repartition(key).groupBy(key).agg(*aggregates)
+    return out if many is None else out.unionByName(many.groupBy(key).agg(*aggregates))
 
 
 # Lookup tables up to this many rows are broadcast.

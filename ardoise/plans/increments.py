@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ardoise.functions.aggspec import AggSpec, dummy_name, literal, quoted
 from ardoise.operators.encode import Categories
+from ardoise.operators.skew import cool_and_hot, hot_keys, skew_aggregate
 from ardoise.plans.specs import KEY
 
 SEEN = f"{KEY} bigint, name string, value string, n bigint"
@@ -71,8 +72,8 @@ class IncrementalBlock:
         return f"round({sql}, {self.digits[column]})" if column in self.digits else sql
 
     def state(self, rows: DataFrame) -> State:
-        """State of one delivery: two aggregations with map-side partials."""
-        rows = rows.where(F.col(KEY).isNotNull())
+        """State of one delivery: two aggregations.  The rows travel once for each, with the columns that it needs."""
+        rows = rows.where(F.col(KEY).isNotNull()).withColumn(KEY, F.col(KEY).cast("bigint"))
         parts = ["count(1) as rows"]
         for c in self._numbers:
             x = f"cast({quoted(c)} as double)"
@@ -83,7 +84,8 @@ class IncrementalBlock:
             ]
             if "var" in self.spec[c]:
                 parts += [f"avg({x}) as {_part(c, 'mean')}", f"var_pop({x}) * count({x}) as {_part(c, 'far')}"]
-        moments = rows.groupBy(F.col(KEY).cast("bigint").alias(KEY)).agg(*map(F.expr, parts))
+        hot = hot_keys(rows, KEY)
+        moments = skew_aggregate(rows, KEY, [F.expr(p) for p in parts], hot=hot)
         kinds = dict(rows.dtypes)
         cells = []
         for c in dict.fromkeys([*self.categorical, *self._distinct]):
@@ -92,8 +94,12 @@ class IncrementalBlock:
             cells.append(f"named_struct('name', {literal(c)}, 'value', cast({x} as string))")
         if not cells:
             return State(moments, rows.sparkSession.createDataFrame([], SEEN))
-        long = rows.select(F.col(KEY).cast("bigint").alias(KEY), F.expr(f"inline(array({', '.join(cells)}))"))
-        return State(moments, long.groupBy(KEY, "name", "value").agg(F.count(F.lit(1)).alias("n")))
+        values = [F.expr(f"inline(array({', '.join(cells)}))")]
+        few, many = cool_and_hot(rows, KEY, hot)
+        seen = few.repartition(KEY).select(KEY, *values).groupBy(KEY, "name", "value").agg(F.count(F.lit(1)).alias("n"))
+        if many is not None:
+            seen = seen.unionByName(many.select(KEY, *values).groupBy(KEY, "name", "value").agg(F.count(F.lit(1)).alias("n")))
+        return State(moments, seen)
 
     def merge(self, old: State, new: State) -> State:
         """State of both deliveries: a join of clients that are unique on both sides, and a sum."""

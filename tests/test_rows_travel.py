@@ -6,8 +6,11 @@ import re
 
 from pyspark.sql import functions as F
 
+from ardoise.functions.aggspec import AggSpec
 from ardoise.operators import skew
 from ardoise.plans import blocks
+from ardoise.plans.increments import IncrementalBlock
+from ardoise.plans.specs import KEY
 
 
 def _plan(df) -> str:
@@ -35,3 +38,18 @@ def test_aggregates_with_hot_and_missing_keys(spark):
     assert got.exceptAll(want).isEmpty()
     few = rows.where("k <> 7")
     assert skew.skew_aggregate(few, "k", parts).exceptAll(few.groupBy("k").agg(*parts)).isEmpty()
+
+
+def test_a_delivery_travels_as_rows(spark):
+    key = F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 < 3, F.lit(7)).otherwise(F.col("id"))
+    rows = spark.range(4000).select(key.alias(KEY), (F.col("id") % 5).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "a").alias("c"))
+    block = IncrementalBlock(AggSpec({"x": ["sum", "var", "nunique"]}), "P_", ["c"])
+    few = rows.where(f"{KEY} <> 7")
+    for table in (block.state(few).moments, block.state(few).seen):
+        lines = _plan(table).splitlines()
+        assert any("Exchange hashpartitioning" in x for x in lines[max(k for k, x in enumerate(lines) if "Aggregate" in x) + 1 :])
+    state = block.state(rows)
+    assert state.moments.where(f"{KEY} = 7").select("rows", "`x|sum`").collect() == [(2001, 4002.0)]
+    assert state.moments.count() == 1001
+    want = rows.where(f"{KEY} is not null").select(KEY, F.expr("inline(array(struct('c', c), struct('x', cast(x + 0d as string))))"))
+    assert state.seen.exceptAll(want.toDF(KEY, "name", "value").groupBy(KEY, "name", "value").count()).isEmpty()
