@@ -7,9 +7,10 @@ candidate a score from its format and its context.
 
 Nobody labelled candidates, so the trees learn from the corpus itself: base spans are examples of personal
 data, also in altered views (the plus taken off, the at-sign spelt out), and the same spans with a broken
-format (a wrong check digit, an octet too large, a part missing) are counter-examples.  They come from a
-bounded sample of documents that a hash chooses.  Half of the examples train the trees; on the other half a
-threshold per kind is set where the chosen examples are right with the wanted precision.
+format (a wrong check digit, an octet too large, a part missing) are counter-examples.  They come from all
+documents, each key and text once; equal examples are merged into one with a weight where there are very many.
+Half of the examples train the trees; on the other half a threshold per kind is set where the chosen examples are
+right with the wanted precision.
 
 Base spans always stay.  Other candidates are added from the likeliest down when they pass the threshold of
 their kind and do not overlap a span that is already in.
@@ -56,12 +57,10 @@ CONTEXT = [
 #: Characters before a candidate that count as its context.
 NEAR = 30
 
-#: Documents that examples come from, at most (about); kept examples follow from them.
-SAMPLED = 20_000
-#: Examples that the trees are fitted on, at most (about): a document may hold very many.
+#: Examples beyond which equal ones are merged, into about as many rows; more only where more of them differ.
 MOST_EXAMPLES = 200_000
-#: Files of the examples, and examples that a task writes at once.
-FILES, AT_ONCE = 8, 4_096
+#: Examples that a task writes at once.
+AT_ONCE = 4_096
 LEAST = 50
 TREES, DEPTH = 16, 4
 #: A threshold gives at least this precision on held-out examples, and at least this probability by the trees.
@@ -164,7 +163,7 @@ def views(kind: str, span: str, coin: int) -> list[tuple[str, float]]:
     return out
 
 
-EXAMPLES = pa.schema([("kind", pa.string()), ("x", pa.list_(pa.float64())), ("label", pa.float64()), ("half", pa.int32()), ("h", pa.int64()), ("at", pa.int64())])
+EXAMPLES = pa.schema([("kind", pa.string()), ("x", pa.list_(pa.float64())), ("label", pa.float64()), ("half", pa.int32()), ("h", pa.int64()), ("at", pa.int64()), ("view", pa.int32())])
 FOUND = pa.schema([("id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_added", pa.int64())])
 
 
@@ -175,17 +174,20 @@ def _examples(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     for batch in it:
         for h, text in zip(batch["h"].to_pylist(), map(lambda x: x.as_py(), batch["text"])):
+            if not MAYBE.search(text):
+                continue
             for s, e, kind in base_spans(text):
                 before, after = text[max(0, s - NEAR) : s], text[e : e + 1]
                 coin = int.from_bytes(hashlib.md5(f"{before}{text[s:e]}".encode()).digest()[:4])
-                rows += [(kind, describe(kind, v, before, after), y, coin & 1, h, s) for v, y in views(kind, text[s:e], coin >> 1)]
+                seen = enumerate(views(kind, text[s:e], coin >> 1))
+                rows += [(kind, describe(kind, v, before, after), y, coin & 1, h, s, k) for k, (v, y) in seen]
                 if len(rows) >= AT_ONCE:
                     yield batch_of(rows)
                     rows = []
             for s, e, kind in base_matches(text):
                 if not holds(kind, text[s:e]) and (kind != "card" or e - s >= 9):
                     coin = int.from_bytes(hashlib.md5(text[s:e].encode()).digest()[:4])
-                    rows.append((kind, describe(kind, text[s:e], text[max(0, s - NEAR) : s], text[e : e + 1]), 0.0, coin & 1, h, s))
+                    rows.append((kind, describe(kind, text[s:e], text[max(0, s - NEAR) : s], text[e : e + 1]), 0.0, coin & 1, h, s, -1))
     if rows:
         yield batch_of(rows)
     release()
@@ -245,33 +247,45 @@ def sample(df: DataFrame, key: str, text: str, sampled: int) -> DataFrame:
     return rows.groupBy("h").agg(F.first("text").alias("text")).select("h", "text")
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", sampled: int = SAMPLED) -> Trees | None:
-    """Trees and thresholds from a bounded sample of the documents, and of the examples in them."""
-    made = sample(df, key, text, sampled).mapInArrow(_examples, to_spark(EXAMPLES))
-    # Few rows from many tasks: a few files, whose tasks the fit repeats.
-    made = materialise(made.repartition(FILES), "examples")
-    total = made.count()
-    if total > MOST_EXAMPLES:
-        made = made.where(F.pmod(F.xxhash64("h", "at", "kind"), F.lit(1 << 20)) < int((1 << 20) * MOST_EXAMPLES / total))
-    classes = {r["label"]: r["count"] for r in made.where("half = 0").groupBy("label").count().collect()}  # two rows
+def examples(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Examples of all documents with weights: kind, x, label, half, weight.
+
+    Copies of a (key, text) count once; their examples meet, the texts do not travel.  Beyond ``MOST_EXAMPLES`` equal ones
+    are merged into about that many rows: a fit sums weights, so it is that of all examples.
+    """
+    rows = texts(df, key, text).select(F.xxhash64("id", "text").alias("h"), "text")
+    made = rows.mapInArrow(_examples, to_spark(EXAMPLES)).dropDuplicates(["h", "at", "kind", "view"])
+    made = materialise(made, "examples")
+    same = ["kind", "x", "label", "half"]
+    if made.count() <= MOST_EXAMPLES:
+        return made.select(*same, F.lit(1.0).alias("weight"))
+    part = F.pmod(F.xxhash64("h", "at"), F.lit(max(1, MOST_EXAMPLES // made.select(*same).distinct().count())))
+    merged = made.groupBy(*same, part.alias("part")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return materialise(merged.drop("part"), "merged")
+
+
+def train(df: DataFrame, key: str = "doc_id", text: str = "text") -> Trees | None:
+    """Trees and thresholds from the examples of all documents."""
+    made = examples(df, key, text)
+    classes = {r["label"]: r["n"] for r in made.where("half = 0").groupBy("label").agg(F.sum("weight").alias("n")).collect()}  # two rows
     if min(classes.get(0.0, 0), classes.get(1.0, 0)) < LEAST:
         return None
     vectors = made.withColumn("features", array_to_vector("x"))
-    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64, cacheNodeIds=False)
-    model = booster.fit(vectors.where("half = 0").select("features", "label"))
+    booster = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, maxBins=64, cacheNodeIds=False, weightCol="weight")
+    model = booster.fit(vectors.where("half = 0").select("features", "label", "weight"))
     trees = Trees([parse_tree(t.toDebugString) for t in model.trees], list(model.treeWeights), {})
     # Calibration: per kind, the precision of the held-out examples from each score up; scores in hundredths.
     def scores(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             bins = [math.floor(trees.margin(x) * 100) for x in batch["x"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["kind"], batch["label"], pa.array(bins, pa.int64())], ["kind", "label", "bin"])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("kind", "label", "weight")), pa.array(bins, pa.int64())], ["kind", "label", "weight", "bin"])
         release()
 
-    binned = made.where("half = 1").select("kind", "label", "x").mapInArrow(scores, "kind string, label double, bin bigint")
+    binned = made.where("half = 1").select("kind", "label", "weight", "x").mapInArrow(scores, "kind string, label double, weight double, bin bigint")
     for kind in KINDS:
         trees.thresholds[kind] = float("inf")
-    right: dict[str, list[int]] = {k: [0, 0] for k in KINDS}
-    for r in binned.groupBy("kind", "bin").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("all")).orderBy(F.desc("bin")).collect():
+    right: dict[str, list[float]] = {k: [0.0, 0.0] for k in KINDS}
+    for r in binned.groupBy("kind", "bin").agg(F.sum(F.col("label") * F.col("weight")).alias("good"), F.sum("weight").alias("all")).orderBy(F.desc("bin")).collect():
         good = right[r["kind"]]
         good[0] += r["good"]
         good[1] += r["all"]

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -456,3 +457,16 @@ def test_the_examples_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: (seen.append(rows.count()), fit(self, rows))[1])
     trees = pii.train(spark.createDataFrame([(1, one), (2, one), (None, one)], "doc_id bigint, text string"))
     assert trees is not None and 500 < seen[0] < 3_600
+
+
+def test_all_documents_give_examples(spark, monkeypatch):
+    n = 21_000
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('mail a', id, '@b.org or +33 1 22 33 ', id % 90 + 10, ' 55') as text")
+    docs = docs.unionByName(docs.where("doc_id < 500"))  # copies count once
+    lists = {"h": list(range(n)), "text": [f"mail a{k}@b.org or +33 1 22 33 {k % 90 + 10} 55" for k in range(n)]}
+    want = sum(b["half"].to_pylist().count(0) for b in pii._examples(iter([pa.RecordBatch.from_pydict(lists)])))
+    monkeypatch.setattr(pii, "MOST_EXAMPLES", 3_000)
+    seen, fit = [], pii.GBTClassifier.fit
+    monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: (seen.append(rows.agg(F.sum("weight"), F.count("*")).first()), fit(self, rows))[1])
+    assert pii.train(docs) is not None
+    assert seen[0][0] == want and seen[0][1] <= 3_000
