@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,8 +44,11 @@ def join_lookup(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "lef
 
 
 def release() -> None:
-    """Give Arrow's unused memory back: a worker process lives on after its task."""
+    """Give unused memory back, Arrow's and the C library's: a worker process lives on after its task."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def to_spark(schema: pa.Schema) -> str:

@@ -28,7 +28,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ardoise.llm.anchors import GRAM, Hashes, anchors
-from ardoise.llm.common import join_lookup, to_spark
+from ardoise.llm.common import join_lookup, release, to_spark
 from ardoise.llm.suffixes import common_prefixes, suffix_array
 from ardoise.llm.textdedup import ODD, mix
 from ardoise.sources.workdir import materialise
@@ -137,6 +136,7 @@ def _marks(length: int, reach: int):
                     ],
                     schema=MARKS,
                 )
+        release()
 
     return run
 
@@ -149,6 +149,7 @@ def _packed(rows: DataFrame) -> DataFrame:
         for batch in it:
             data = [squeeze.compress(x.as_py()) for x in batch["text"].cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["tie"], pa.array(data, pa.binary())], schema=PACKED)
+        release()
 
     return rows.select("id", "tie", "text").mapInArrow(run, to_spark(PACKED))
 
@@ -177,6 +178,7 @@ def _strings(length: int, reach: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(h), pa.array(g), batch["id"].take(rows), batch["tie"].take(rows), pa.array(at.astype(np.int32))], schema=STRINGS
                 )
+        release()
 
     return run
 
@@ -212,6 +214,7 @@ def _edges(length: int, reach: int):
                     ],
                     schema=EDGES,
                 )
+        release()
 
     return run
 
@@ -280,6 +283,8 @@ def _shards(length: int):
                 size += sizes[-1] - before
         if held:
             yield from shard()
+        held = []
+        release()
 
     return run
 
@@ -378,6 +383,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], batch["tie"], *(pa.array(c, f.type) for c, f in zip(zip(*rows), list(DIGESTS)[2:]))], schema=DIGESTS
             )
+        release()
 
     every = _keyed(df, key, text)
     rows = _once(every)
@@ -392,20 +398,29 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", lengt
 def kept_texts(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, many: int = MANY) -> DataFrame:
     """The rows of ``df`` with the repeated bytes taken out of ``text``; a character cut at an edge goes whole."""
 
-    @F.pandas_udf("binary")
-    def squeezed(texts: pd.Series) -> pd.Series:
+    # One text at a time as Python's: a batch holds thousands.
+    @F.arrow_udf("binary")
+    def squeezed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        return texts.map(lambda t: None if t is None else squeeze.compress(t.encode()))
-
-    @F.pandas_udf("string")
-    def cut(packed: pd.Series, spans: pd.Series) -> pd.Series:
-        expand, out = zstandard.ZstdDecompressor(), []
-        for x, found in zip(packed, spans):
-            data = None if x is None else expand.decompress(x)
-            if data is not None and found is not None:
-                data = keep(data, merged([(y["s"], y["e"]) for y in found], len(data)))
-            out.append(None if data is None else data.decode(errors="ignore"))
-        return pd.Series(out, dtype=object)
+        for part in parts:
+            yield pa.array((squeeze.compress(x.as_py()) if x.is_valid else None for x in part.cast(pa.binary())), pa.binary(), size=len(part))
+        release()
+
+    @F.arrow_udf("string")
+    def cut(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        expand = zstandard.ZstdDecompressor()
+
+        def one(x: pa.Scalar, found: pa.Scalar) -> str | None:
+            if not x.is_valid:
+                return None
+            data = expand.decompress(x.as_py())
+            if found.is_valid:
+                data = keep(data, merged([(y["s"], y["e"]) for y in found.as_py()], len(data)))
+            return data.decode(errors="ignore")
+
+        for packed, spans in parts:
+            yield pa.array(map(one, packed, spans), pa.string(), size=len(packed))
+        release()
 
     columns = df.columns
     t = F.coalesce(F.col(text), F.lit(""))

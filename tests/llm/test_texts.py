@@ -470,3 +470,30 @@ def test_all_documents_give_examples(spark, monkeypatch):
     monkeypatch.setattr(pii.GBTClassifier, "fit", lambda self, rows: (seen.append(rows.agg(F.sum("weight"), F.count("*")).first()), fit(self, rows))[1])
     assert pii.train(docs) is not None
     assert seen[0][0] == want and seen[0][1] <= 3_000
+
+
+def test_a_task_gives_its_memory_back(spark):
+    """Freed memory of a worker process goes back when its task is done, whoever held it."""
+
+    def run(it):
+        from ardoise.llm.common import release
+
+        def size() -> int:
+            return int(Path("/proc/self/statm").read_text().split()[1]) >> 8  # MB of 4 KB pages
+
+        rows = sum(b.num_rows for b in it)
+        held = [bytes(50_000 + k % 7) for k in range(4_000)]
+        pin, held = held[-1], held[:-1]
+        full = size()
+        del held
+        release()
+        yield pa.RecordBatch.from_pydict({"rows": [rows], "back": [full - size() + 0 * len(pin)]})
+
+    assert spark.range(10).coalesce(1).mapInArrow(run, "rows bigint, back bigint").first()["back"] > 120
+
+
+def test_kept_texts_of_missing_and_empty_ones(spark):
+    long = "".join(hashlib.md5(str(k).encode()).hexdigest() for k in range(12))
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, long + "é", "c"), (4, "é" + long, "d"), (None, None, "e")], "doc_id bigint, text string, x string")
+    got = {r["x"]: r["text"] for r in passages.kept_texts(df).collect()}
+    assert got == {"a": None, "b": "", "c": long + "é", "d": "é", "e": None}
