@@ -46,7 +46,7 @@ STEP, LARGEST = 512 << 10, 3 << 20
 #: Different surroundings of a gram up to which a shard takes them.
 MANY = 20_000
 #: Bytes of a suffix array, about; one core's surroundings stay together.
-SHARD = 2 << 20
+SHARD = 1 << 20
 NULL = -(1 << 63)
 
 MARKS = pa.schema([("gram", pa.int64()), ("around", pa.int64()), ("id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("to", pa.int32())])
