@@ -278,3 +278,33 @@ def test_medians_of_flags_send_no_values(spark):
     assert stats["flag"].bracket == (0.0, 0.0) and stats["mostly"].bracket == (0.0, 0.0)
     assert median.exact_medians(df, ["flag", "mostly", "x"]) == {"flag": 0.0, "mostly": 0.0, "x": 499.5}
     assert median._middle_values(df, {"flag": (1000, 0.0, 0.0), "x": (1000, 0.0, 0.0)}) == {"flag": 0.0}
+
+
+def test_medians_of_many_tasks_meet_by_column(spark, monkeypatch):
+    """No aggregate of the whole table: one task would merge the sketches of all columns.  Brackets hold the middle ranks
+    however the values lie, and are narrow."""
+    rng = np.random.default_rng(5)
+    n = 30_000
+    pdf = pd.DataFrame({"a": np.sort(rng.normal(size=n)), "b": rng.integers(0, 9, n).astype(float), "c": rng.lognormal(size=n)})
+    df = spark.createDataFrame(pdf).repartitionByRange(7, "a").selectExpr(
+        "a", "b", "case when a > 0.5 then c end as c", "cast(b * 3 as decimal(9, 1)) as d", "case when a < -1 then double('NaN') else a end as e",
+        "cast(null as double) as f")
+    want = {"a": np.median(pdf.a), "b": np.median(pdf.b), "c": np.median(pdf.c[pdf.a > 0.5]), "d": np.median(pdf.b * 3), "f": None}
+    want["e"] = np.median(np.where(pdf.a < -1, INF, pdf.a))
+    monkeypatch.setattr(type(df), "agg", None)
+    stats = median.column_stats(df, list("abcdef"))
+    assert stats["f"] == median.ColumnStats(0, None, None, None)
+    assert (stats["a"].filled, stats["a"].low, stats["a"].high) == (n, pdf.a.min(), pdf.a.max())
+    assert stats["c"].filled == (pdf.a > 0.5).sum() and math.isnan(stats["e"].high) and stats["e"].low == pdf.a[pdf.a >= -1].min()
+    low, high = stats["a"].bracket
+    assert low <= want["a"] <= high and pdf.a.between(low, high).sum() <= 0.01 * n
+    assert median.exact_medians(df, list("abcdef")) == want
+
+
+def test_a_thinned_sketch_keeps_ranks():
+    rng = np.random.default_rng(6)
+    values = np.sort(rng.normal(size=5000))
+    kept, weights = median._thinned(values, np.ones(5000), 100)
+    assert len(kept) == 100 and weights.sum() == pytest.approx(5000)
+    off = np.abs(np.searchsorted(values, kept) + 0.5 - (np.cumsum(weights) - weights / 2))
+    assert off.max() <= 1
