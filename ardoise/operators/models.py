@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ardoise.operators import forests, treetable
+from ardoise.operators import forests, logistic as joint, treetable
 from ardoise.operators.forests import prefix_scores
 from ardoise.operators.metrics import roc_auc
 from ardoise.operators.smote import oversample
@@ -169,6 +169,19 @@ def _kept_results(rows: DataFrame, path: str, model_name: str) -> DataFrame:
         return spark.createDataFrame([], RESULTS)
 
 
+def _joint_areas(packed: DataFrame, params: Sequence[dict], todo: Mapping[int, set[int]], counts: Mapping[int, Mapping[int, int]],
+                 width: int, label: str) -> DataFrame:
+    """(fold, params_id, auc) of the logistic combinations still to do, all fitted in the same passes over the rows."""
+    cells = [(f, i) for f in sorted(todo) for i in sorted(todo[f])]
+    blocks = joint.cached(joint.row_blocks(packed, label, width))
+    try:
+        fitted = joint.fit_folds(blocks, width, counts, [(f, params[i]) for f, i in cells])
+        # ``roc_auc`` writes the scores, so the blocks are not read after this.
+        return roc_auc(joint.held_out_scores(blocks, width, cells, fitted, label), label, "proba", ["fold", "params_id"])
+    finally:
+        blocks.unpersist()
+
+
 def grid_search(
     rows: DataFrame,
     model_name: str,
@@ -191,6 +204,9 @@ def grid_search(
     The rows of a fold are appended to ``results`` (Parquet) when all its combinations are scored.  A search that is
     started again with the same folder goes on with the folds and combinations that are not there yet: folds are
     functions of the key, so it ends with the table of an undisturbed run.
+
+    Beyond ``forests.LARGE`` rows the logistic combinations of all folds are fitted in the same passes over the rows, which
+    are held once; their rows are appended together.
     """
     if class_imb not in ("CW", "SMOTE"):
         raise ValueError("class_imb must be 'CW' or 'SMOTE'")
@@ -214,6 +230,16 @@ def grid_search(
         # One row per class and fold.
         for r in packed.groupBy(F.col(label).cast("int").alias("c"), "fold").count().where("c is not null").collect():
             counts.setdefault(r["c"], {})[r["fold"]] = r["count"]
+        # Every fold must leave rows of both classes to fit on.
+        fair = set(counts) == {0, 1} and all(len(by) > 1 for by in counts.values())
+        many = sum(sum(by.values()) for by in counts.values()) > forests.LARGE
+        if model_name == "LR_clf" and class_imb == "CW" and fair and many:
+            # One row per combination.
+            named = F.broadcast(spark.createDataFrame(list(enumerate(names)), "params_id int, params string"))
+            areas = _joint_areas(packed, params, todo, counts, len(features), label)
+            tags = [F.lit(model_name).alias("model"), "params_id", "params", F.lit(repeat).alias("repeat"), "fold", "auc"]
+            areas.join(named, "params_id").select(*tags).coalesce(1).write.mode("append").parquet(results)
+            continue
         for fold in (f for f in range(n_fold) if todo[f]):
             if class_imb == "SMOTE":
                 train = oversample(folded.where(F.col("fold") != fold), label, key, features)

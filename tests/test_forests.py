@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ardoise.operators import forests, metrics, models
+from ardoise.operators import forests, logistic, metrics, models, split
 from ardoise.operators.split import add_class_weights
 from ardoise.sources.workdir import fresh_path
 
@@ -101,3 +101,31 @@ def test_score_table_equals_single_rows(spark):
     for i in (1, 2, 3):
         assert got[f"m{i}"] == tuple(metrics.score_row(df, "y", f"s{i}", f"p{i}", "m").first())[1:]
     assert got["m3"] == (0.5, 0.0, 0.0, 0.0)
+
+
+def test_a_large_logistic_search_fits_all_folds_at_once(spark, rows, monkeypatch):
+    """Beyond the bound one pass over the rows serves all combinations and folds: no fit of its own, the same areas."""
+    grid = {"C": [0.1, 10.0], "penalty": ["l1", "l2"]}
+    alone = {(r.params, r.fold): r.auc for r in models.grid_search(rows, "LR_clf", grid, "k", FEATURES, n_fold=3).collect()}
+    monkeypatch.setattr(forests, "LARGE", 10)
+    monkeypatch.setitem(models.FITTERS, "LR_clf", None)
+    path = fresh_path(spark, "search")
+    models.grid_search(rows, "LR_clf", {"C": [0.1], "penalty": ["l1"]}, "k", FEATURES, n_fold=3, results=path)
+    joint = models.grid_search(rows, "LR_clf", grid, "k", FEATURES, n_fold=3, results=path).collect()
+    assert {(r.params, r.fold): r.auc for r in joint} == {k: pytest.approx(v, abs=2e-3) for k, v in alone.items()}
+    assert len(joint) == 12 and spark.read.parquet(path).count() == 12
+
+
+def test_joint_fits_reach_the_optimum_of_each_alone(rows):
+    """Coefficients of one fold's models against Spark ML's, run to the end, and a column without spread."""
+    folded = split.stratified_folds(rows.withColumn("flat", F.lit(3.0)), "TARGET", "k", 2)
+    packed = models.vectors(folded, [*FEATURES, "flat"], "k", "TARGET", "fold").cache()
+    counts = {c: {f: packed.where((F.col("TARGET") == c) & (F.col("fold") == f)).count() for f in (0, 1)} for c in (0, 1)}
+    todo = [(f, {"C": c, "penalty": p}) for f in (0, 1) for c in (0.1, 10.0) for p in ("l1", "l2")]
+    width = len(FEATURES) + 1
+    got = logistic.fit_folds(logistic.row_blocks(packed, "TARGET", width), width, counts, todo, max_iter=500, tol=1e-10)
+    for (fold, params), own in zip(todo, got.T):
+        weight = models.balanced_weight({c: by[1 - fold] for c, by in counts.items()}, "TARGET")
+        model = models.logistic(packed.where(F.col("fold") != fold).select("TARGET", weight.alias("weight"), "features"), max_iter=500, **params)
+        assert own[:-1] == pytest.approx(model.coefficients.toArray(), abs=0.02 * max(1.0, np.abs(own).max()))
+        assert own[-2] == 0.0
