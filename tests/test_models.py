@@ -1,5 +1,7 @@
 """Models on a small separable table; batch and stream decisions."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,6 +138,43 @@ def test_surrogate_of_a_linear_model_is_the_same_by_either_way(data, scorer):
     assert max(abs(a[k] - b[k]) for k in a) < 1e-9
 
 
+def test_perturbed_rows_are_never_whole_in_memory():
+    """The rows around a linear request: what is drawn of them is a byte a cell, and their regression one copy."""
+    rng, d, samples = np.random.default_rng(2), 100, 4000
+    bg = {"edges": np.sort(rng.random((d, 3)), 1), "share": rng.dirichlet(np.ones(4), d), "stats": np.tile([0.5, 0.2, 0.0, 1.0], (d, 4, 1))}
+    x, coef = rng.random(d), rng.normal(size=d)
+    tracemalloc.start()
+    chosen, weights = explain.surrogate_weights(x, 7, bg, coef, -0.3, samples, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * 8 * samples * d
+    # The same as a plain ridge on whole rows.
+    values, same = explain.perturbed(x, 7, bg, samples)
+    score, w = 1 / (1 + np.exp(0.3 - values @ coef)), explain.nearness(same)
+    z = np.c_[same, np.ones(samples)]
+    plain = np.linalg.solve((z * w[:, None]).T @ z + np.diag([1.0] * d + [0.0]), (z * w[:, None]).T @ score)[:d]
+    assert chosen.tolist() == np.argsort(-np.abs(plain), kind="stable")[:5].tolist()
+    z = z[:, [*chosen, d]]
+    plain = np.linalg.solve((z * w[:, None]).T @ z + np.diag([1.0] * 5 + [0.0]), (z * w[:, None]).T @ score)[:5]
+    assert np.allclose(weights, plain, atol=1e-9)
+
+
+def test_background_is_a_recount(spark):
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=700), "b": rng.integers(0, 2, 700).astype(float), "c": 0.1, "d": rng.random(700)})
+    pdf.loc[::9, "d"] = np.nan
+    df = spark.createDataFrame(pdf).withColumn("d", F.nanvl("d", F.lit(None).cast("double"))).repartition(5)
+    bg = explain.background(df, list("abcd"))
+    assert bg["share"].shape == (4, 4) and bg["stats"].shape == (4, 4, 4)
+    for i, c in enumerate("abcd"):
+        v = pdf[c].dropna()
+        quarter = (v.to_numpy()[:, None] > bg["edges"][i]).sum(1)
+        for j in range(4):
+            x = v[quarter == j]
+            want = [x.mean(), x.std(ddof=0), x.min(), x.max()] if len(x) else [0.0] * 4
+            assert bg["share"][i, j] == pytest.approx(len(x) / len(v)) and bg["stats"][i, j] == pytest.approx(want, abs=1e-12)
+
+
 def test_surrogate_of_a_forest(spark, data):
     rows = models.vectors(add_class_weights(data.train, "TARGET"), FEATURES, "TARGET", "weight")
     model, bg = models.forest(rows, n_estimators=10, min_samples_leaf=5), explain.background(data.valid, FEATURES)
