@@ -78,6 +78,8 @@ def sparse_one_hot(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_path(spark, "categories")
     fitted.save(path)
     vector = F.unwrap_udt("features")
+    # Only what is returned travels and is written on the way.
+    rows = rows.select(*_MANY_KEY.split(", "), *_MANY)
     return sparse.SparseCategories.load(spark, path).vectors(rows).select(
         *_MANY_KEY.split(", "), vector["size"].cast("bigint").alias("size"), F.array_join(vector["indices"], ",").alias("indices")
     )

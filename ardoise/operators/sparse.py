@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ardoise.operators.encode import category_pairs
-from ardoise.operators.skew import lookup_join
-from ardoise.sources.workdir import fresh_path, materialise
+from ardoise.operators.skew import BROADCAST_ROWS, lookup_join
+from ardoise.sources.workdir import materialise
+
+#: Columns that are looked up by a shuffle before the rows are written.
+SHUFFLED = 2
 
 
 def _number_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,11 +39,12 @@ def _numbered(pairs: DataFrame, name: str) -> DataFrame:
     """(column, value, index): values numbered from 0 within their column, in order."""
     ranged = pairs.repartitionByRange("column", "value").sortWithinPartitions("column", "value")
     placed = materialise(ranged.mapInArrow(_number_partition, "column string, value string, part int, here bigint"), name)
+    # Numbers are made when the table is read: it is written once.
     # One row per task and column: how many values of the column lie in the tasks before, and where it begins in its own.
     starts = placed.groupBy("column", "part").agg(F.min("here").alias("first"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = starts.select("column", "part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("_shift"))
-    joined = placed.join(F.broadcast(starts), ["column", "part"])
+    joined = placed.join(F.broadcast(materialise(starts, "starts")), ["column", "part"])
     return joined.select("column", "value", (F.col("here") + F.col("_shift")).alias("index"))
 
 
@@ -62,15 +66,24 @@ class SparseCategories:
         """Places of each column in the vector."""
         return {c: n + self.nan_category for c, n in self.known.items()}
 
-    def indices(self, df: DataFrame) -> DataFrame:
-        """Add ``<column>_index``: the value's number in its column; missing for values without one."""
+    def indices(self, df: DataFrame, replace: bool = False) -> DataFrame:
+        """Add ``<column>_index``: the value's number in its column; missing for values without one.  With ``replace`` the
+        numbers stand instead of the columns; after every few columns that are looked up by a shuffle the rows are then
+        written, so that the shuffles of all columns are not on the disks at once."""
+        given, shuffled = df, 0
         for column, n in self.known.items():
             own = self.table.where(F.col("column") == column).select(F.col("value").alias(column), F.col("index").alias("_index"))
-            joined = lookup_join(df, own, [column])
+            if replace and n > BROADCAST_ROWS:
+                if shuffled == SHUFFLED:
+                    df, shuffled = materialise(df, "indices"), 0
+                shuffled += 1
+            # The values are those of the given table, whatever was looked up before.
+            joined = lookup_join(df, own, [column], hot_in=given)
             index = F.col("_index")
             if self.nan_category:
                 index = F.when(F.col(column).isNull(), F.lit(n)).otherwise(index)
-            df = joined.select(*df.columns, index.cast("bigint").alias(f"{column}_index"))
+            kept = [c for c in df.columns if not (replace and c == column)]
+            df = joined.select(*kept, index.cast("bigint").alias(f"{column}_index"))
         return df
 
     def long(self, df: DataFrame, *keep: str) -> DataFrame:
@@ -103,7 +116,7 @@ class SparseCategories:
         # of names.  Here it says how many there are.
         vector = F.from_json(F.to_json(F.struct(parts.alias("v"))), StructType([StructField("v", VectorUDT())]))["v"]
         kept = [c for c in df.columns if c not in self.known]
-        return self.indices(df).select(*kept, vector.alias(output, metadata={"ml_attr": {"num_attrs": start}}))
+        return self.indices(df, replace=True).select(*kept, vector.alias(output, metadata={"ml_attr": {"num_attrs": start}}))
 
     def save(self, path: str) -> None:
         self.table.write.mode("overwrite").parquet(f"{path}/index")
@@ -123,9 +136,7 @@ def fit_sparse(df: DataFrame, columns: Sequence[str], nan_category: bool = True)
     if not columns:
         raise ValueError("no columns to encode")
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
-    path = fresh_path(df.sparkSession, "index")
-    _numbered(category_pairs(text, columns), "values").write.parquet(path)
-    table = df.sparkSession.read.parquet(path)
+    table = _numbered(category_pairs(text, columns), "values")
     # One row per column.
     found = {r["column"]: r["n"] for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
     return SparseCategories(table, {c: found.get(c, 0) for c in columns}, nan_category)

@@ -1,10 +1,13 @@
 """Sparse one-hot encoding beside the dense one."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from ardoise.operators import encode, sparse
-from ardoise.sources.workdir import fresh_path
+from ardoise.operators import encode, skew, sparse
+from ardoise.sources.workdir import CLEANUP, fresh_path, materialise
 
 ROWS = [(1, "b", "x", 0.5), (2, None, "x", 1.5), (3, "a", None, 2.5), (4, "a", "z", 3.5), (4, "a", "z", 3.5), (5, "", "y", 4.5), (6, "é", "x", 5.5)]
 SCHEMA = "k int, one string, two string, n double"
@@ -83,3 +86,32 @@ def test_missing_numbers_are_an_error(spark, rows):
     for bad in (None, float("nan")):
         with pytest.raises(Exception, match="missing value"):
             fitted.vectors(rows.withColumn("n", F.lit(bad).cast("double")), numeric=["n"]).collect()
+
+
+def test_columns_are_looked_up_a_few_at_a_time(spark, monkeypatch):
+    """Each lookup asks the given table for its hot values, not the joins before it; rows are written between them."""
+    df = spark.range(3_000).select("id", *[F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit(c), F.col("id"))).alias(c) for c in "abcde"])
+    fitted = sparse.fit_sparse(df.where("id % 7 > 0"), list("abcde"))
+    want = dense(fitted.vectors(df.withColumnRenamed("id", "k").where("k < 40")))
+    asked, written, hot, write = [], [], skew.hot_keys, sparse.materialise
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(skew, "hot_keys", lambda df, *a: asked.append(df.columns) or hot(df, *a))
+    monkeypatch.setattr(sparse, "materialise", lambda df, name: written.append(df.columns) or write(df, name))
+    got = dense(fitted.vectors(df.withColumnRenamed("id", "k").where("k < 40")))
+    assert got == want and asked == [["k", *"abcde"]] * 5
+    assert written == [["k", "c", "d", "e", "a_index", "b_index"], ["k", "e", "a_index", "b_index", "c_index", "d_index"]]
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    top = os.environ.get("SPARK_LOCAL_DIRS", spark.conf.get("spark.local.dir", "/tmp"))
+
+    def shuffled():
+        return {f for _, _, names in os.walk(top) for f in names if re.fullmatch(r"shuffle_.*[.]data", f)}
+
+    before = shuffled()
+    table = materialise(spark.range(5_000).repartition(7, "id"), "moved")
+    assert not shuffled() - before and spark.conf.get(CLEANUP, None) is None
+    assert table.count() == 5_000
+    spark.range(5_000).repartition(7, "id").write.parquet(fresh_path(spark, "kept"))
+    assert shuffled() - before
