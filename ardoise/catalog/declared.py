@@ -172,7 +172,7 @@ def fit_properties(spark: SparkSession, folder: str) -> DataFrame:
     """
     data = prepared(spark, folder)
     features, rows = data.preparation.features, vectors_of(spark, folder)
-    forest = models.forest(rows, n_estimators=20, min_samples_leaf=5)
+    forest = models.forest_of_any_size(rows, n_estimators=20, min_samples_leaf=5)
     lr = models.logistic(rows)
     total = rows.agg(F.sum("weight")).first()[0]
     p = models.predict(lr, rows)
