@@ -10,7 +10,8 @@ from the distances between a point and the pivots how near the points of a block
 
 A point meets its own block first, then the few most promising ones, then exactly those that the bound on its k-th
 neighbour cannot rule out by then.  A visit returns at most k candidates within the bound: pairs are never written
-out, and both sides of a visit have a fixed greatest size.
+out, and both sides of a visit have a fixed greatest size.  Visits are listed without coordinates; these travel a bounded
+part at a time, and the shuffle files of a part go before the next one.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ PIVOTS, PER_PIVOT = 1_024, 8
 SHELLS = 64
 #: Blocks that a point meets before all others.
 PROMISING = 3
+#: Bytes of visiting points that travel before the next ones do.
+MOVED = 2 << 30
 
 
 def block_candidates(visitors: pd.DataFrame, hosts: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -131,7 +135,7 @@ class Blocks:
 
 
 def cut_blocks(points: DataFrame, block_rows: int) -> tuple[Blocks, DataFrame]:
-    """The blocks and the written points with their place: (id, x, cell, shell, cut)."""
+    """The blocks and the written points, numbered, with their place: (no, id, x, cell, shell, cut)."""
     count = points.count()
     pivots = choose_pivots(points, count, int(min(PIVOTS, max(1, 2 * count // block_rows))))
 
@@ -166,7 +170,8 @@ def cut_blocks(points: DataFrame, block_rows: int) -> tuple[Blocks, DataFrame]:
     cut = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     # One row per shell, at most ``PIVOTS`` times ``SHELLS``.
     blocks = shelled.join(F.broadcast(sizes.select("cell", "shell", "cuts")), ["cell", "shell"])
-    blocks = materialise(blocks.select("id", "x", "cell", "shell", cut.alias("cut")), "blocks")
+    # Keys may repeat or be missing: a number of its own tells a point from others.
+    blocks = materialise(blocks.select(F.monotonically_increasing_id().alias("no"), "id", "x", "cell", "shell", cut.alias("cut")), "blocks")
     return Blocks(pivots, *columns), blocks
 
 
@@ -174,13 +179,12 @@ PLACE = ("cell", "shell", "cut")
 
 
 def trips(bounded: DataFrame, blocks: Blocks, first: int | None, k: int) -> DataFrame:
-    """(id, x, bound, cell, shell, cut): the blocks that points with a bound go to, other than their own.
+    """(no, id, bound, cell, shell, cut): the blocks that points with a bound go to, other than their own.
 
     ``first`` chooses the most promising ones; None all others that the bound cannot rule out.  Rows of ``bounded``
-    have (id, x, cell, shell, cut, bound, before): before is the bound by which the promising ones were chosen.
+    have (no, id, x, cell, shell, cut, bound, before): before is the bound by which the promising ones were chosen.
     """
-    names = ["id", "x", "bound", *PLACE]
-    # Several matrices of points by blocks; a point may go to every block, and each visit has a copy of it.
+    # Several matrices of points by blocks; a point may go to every block.
     step = max(1, VISIT_NUMBERS // 4 // max(1, int(blocks.cuts.sum())))
 
     def visits(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,24 +203,23 @@ def trips(bounded: DataFrame, blocks: Blocks, first: int | None, k: int) -> Data
                 times = blocks.cuts[block]
                 which, block = np.repeat(which, times), np.repeat(block, times)
                 cut = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                out = b.iloc[which][["id", "x", "bound"]].assign(cell=blocks.cell[block], shell=blocks.shell[block], cut=cut)
+                out = b.drop(columns=["x", "before", *PLACE]).iloc[which].assign(cell=blocks.cell[block], shell=blocks.shell[block], cut=cut)
                 at_home = (out["cell"].to_numpy() == b["cell"].to_numpy()[which]) & (out["shell"].to_numpy() == b["shell"].to_numpy()[which])
-                out = out[~(at_home & (cut == b["cut"].to_numpy()[which]))][names]
-                # The copies of the points are made when a piece leaves.
+                out = out[~(at_home & (cut == b["cut"].to_numpy()[which]))]
                 piece = max(1, VISIT_NUMBERS // (len(b["x"].iloc[0]) + 1))
                 for at in range(0, len(out), piece):
                     yield out.iloc[at : at + piece]
 
-    rows = bounded.select("id", "x", *PLACE, "bound", "before")
-    return rows.mapInPandas(visits, "id bigint, x array<double>, bound double, cell int, shell int, cut int")
+    rows = bounded.select("no", "id", "x", *PLACE, "bound", "before")
+    return rows.mapInPandas(visits, "no bigint, id bigint, bound double, cell int, shell int, cut int")
 
 
-def _away(visiting: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """Candidates of all visits."""
+def _away(visiting: DataFrame, points: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Candidates of some visits, whose ``points`` are (no, x)."""
     # A popular block receives its visitors in slices, each with a copy of the block.
-    visiting = materialise(visiting, "visits")
     slices = visiting.groupBy(*PLACE).agg(F.ceil(F.count(F.lit(1)) / F.lit(VISITOR_ROWS)).cast("int").alias("slices"))
     visitors = visiting.join(slices, [*PLACE]).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int"))
+    visitors = visitors.join(points, "no").select("id", "x", "bound", *PLACE, "slice")
     hosts = blocks.join(slices, [*PLACE]).select(
         *[F.col(c).alias(c) for c in ("id", "x", *PLACE)], F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     )
@@ -236,6 +239,7 @@ def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
     if points.isEmpty():
         return points.select("id", F.array().cast("array<struct<distance:double,neighbour:bigint>>").alias("near"))
     blocks, rows = cut_blocks(points, block_rows)
+    width = blocks.pivots.shape[1]
     infinite = float("inf")
 
     def best(found: DataFrame) -> DataFrame:
@@ -256,8 +260,14 @@ def nearest_points(points: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS)
     start = start.withColumn("before", F.coalesce("before", F.lit(infinite)))
     for first in (PROMISING, None):
         now = start.join(bound(found), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(infinite)))
-        visits = trips(now, blocks, first, k)
-        found = materialise(best(found.select("id", F.inline("near")).unionByName(_away(visits, rows, k))), "near")
+        visits = materialise(trips(now, blocks, first, k), "visits")
+        parts, met = max(1, -(-visits.count() * width * 8 // MOVED)), []
+        for r in range(parts):
+            mine = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(parts)) == r
+            of = rows.where(mine).select("no", "x")
+            away = _away(visits.where(mine), of, rows, k)
+            met.append(materialise(best(found.where(mine).select("id", F.inline("near")).unionByName(away)), "near"))
+        found = reduce(DataFrame.unionByName, met)
         if len(blocks.cell) <= PROMISING + 1:
             break
     return found

@@ -42,19 +42,18 @@ def synthetic_points(
     upto = f"cast(_one_upto as decimal(19,0)) * {missing}BD div {few}"
     before = f"cast(_one_upto - 1 as decimal(19,0)) * {missing}BD div {few}"
     times = F.expr(f"cast(({upto}) - ({before}) as int)")
-    x = point(features)
-    bases = rows.select(F.col(key).cast("bigint").alias("source"), x.alias("x")).join(
-        numbered.select("source", times.alias("times")), "source"
-    )
+    # A point is known by the digest of its digits: rows travel without its numbers or their text to find its neighbours, and
+    # a hot one can be named in a condition.
+    digest = F.sha2(F.array_join(F.col("x").cast("array<string>"), ","), 256)
+    bases = rows.select(F.col(key).cast("bigint").alias("source"), point(features).alias("x")).select("source", digest.alias("_at"))
+    bases = bases.join(numbered.select("source", times.alias("times")), "source")
     # All copies of a point look up the same neighbours: a hot point is met by broadcast.
-    lists = points.join(near, "id", "left").select(
-        "x", (F.least(F.col("copies") - 1, F.lit(k))).cast("int").alias("twins"),
+    lists = points.withColumn("_at", digest).join(near, "id", "left").select(
+        "_at", "x", (F.least(F.col("copies") - 1, F.lit(k))).cast("int").alias("twins"),
         F.transform(F.coalesce("near", F.array()), lambda e: e["neighbour"]).alias("others"),
     )
     lists = lists.withColumn("choices", F.least(F.col("twins") + F.size("others"), F.lit(k)))
-    # The digits of the point are its key, as text: a hot one can be named in a condition.
-    digits = F.array_join(F.col("x").cast("array<string>"), ",")
-    new = skew_join(bases.withColumn("_at", digits), lists.withColumn("_at", digits).drop("x"), "_at", "left")
+    new = skew_join(bases, lists, "_at", "left")
     new = new.where((F.col("choices") > 0) & (F.col("times") > 0)).select(
         "source", "x", "twins", "others", "choices",
         F.explode(F.sequence(F.lit(1), F.col("times"))).alias("n"),

@@ -96,3 +96,22 @@ def test_visitors_in_slices_find_the_same(monkeypatch):
     want = brute(x)
     for i, near in whole.groupby("id"):
         assert near["neighbour"].tolist() == [n for _, n in want[i]]
+
+
+def test_visits_travel_in_parts_and_are_written_without_coordinates(spark, monkeypatch):
+    rng, written, materialise = np.random.default_rng(5), [], neighbours.materialise
+    v = rng.random((300, 30))
+    monkeypatch.setattr(neighbours, "MOVED", 1 << 18)
+    monkeypatch.setattr(neighbours, "materialise", lambda df, name: written.append((name, df.columns)) or materialise(df, name))
+    got = visits_and_neighbours(spark, monkeypatch, v, 32)[2]
+    want = brute(v)
+    assert all([n for _, n in got[i]] == [n for _, n in want[i]] for i in want)
+    assert all("x" not in columns for name, columns in written if name == "visits")
+    assert len([name for name, _ in written if name == "near"]) > 5
+    # Two points of one key go where each of them is sent, and meet a point once.
+    twice = spark.createDataFrame([(i // 2, r.tolist()) for i, r in enumerate(v)], "id bigint, x array<double>")
+    for row in neighbours.nearest_points(twice, 5, 32).collect():
+        at = [2 * row.id, 2 * row.id + 1]
+        d = np.sqrt(((v[at][:, None] - v[None]) ** 2).sum(2))
+        d[:, at] = np.inf
+        assert np.allclose([e.distance for e in row.near], np.sort(d.ravel())[:5])
